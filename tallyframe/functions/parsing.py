@@ -34,7 +34,7 @@ def as_number(df, name):
     if isinstance(dtype, T.BooleanType):
         return col(name).cast("double")
     if isinstance(dtype, T.StringType):
-        return F.when(is_number_text(col(name)), strip(col(name))).try_cast("double")
+        return F.when(is_number_text(col(name)), col(name)).try_cast("double")
     return F.lit(None).cast("double")
 
 

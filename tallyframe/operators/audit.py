@@ -5,6 +5,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tallyframe.errors import require_columns
+from tallyframe.functions.local import local_table
 from tallyframe.operators.search import search_rows
 
 ENTRY_SCHEMA = "id long, timestamp string, file_key string, sheet_name string, operation string"
@@ -30,7 +31,7 @@ def append_entries(spark, path, entries, at):
     stamp = at.isoformat(timespec="seconds")
     rows = [(last + n, stamp, *entry) for n, entry in enumerate(entries, start=1)]
     day = F.substring("timestamp", 1, 10)
-    spark.createDataFrame(rows, ENTRY_SCHEMA).withColumn("day", day).coalesce(1).write.mode(
+    local_table(spark, rows, ENTRY_SCHEMA).withColumn("day", day).coalesce(1).write.mode(
         "append"
     ).partitionBy("day").parquet(path)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.columns import all_of, col
+from tallyframe.functions.local import local_table
 
 BUCKETS = 4096
 MIN_HOT_ROWS = 500_000
@@ -25,14 +26,21 @@ LEFT_TAG, RIGHT_TAG = "__in_left", "__in_right"
 
 
 def hot_keys(left, right, keys, *, min_hot_rows=None, buckets=None):
-    """A local table ``keys, cuts_left, cuts_right, on_both``, or None if no key is hot."""
+    """A local table ``keys, cuts_left, cuts_right, on_both``, or None if no key is hot.
+
+    ``right`` may be None where its rows need no counting. Nested keys are left
+    to Spark's own skew handling.
+    """
     min_hot_rows = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
     buckets = buckets or BUCKETS
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     key_columns = [col(k) for k in keys]
-    rows = left.select(*key_columns, one.alias("l"), none.alias("r")).unionAll(
-        right.select(*key_columns, none.alias("l"), one.alias("r"))
-    )
+    nested = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
+    if any(isinstance(left.schema[k].dataType, nested) for k in keys):
+        return None
+    rows = left.select(*key_columns, one.alias("l"), none.alias("r"))
+    if right is not None:
+        rows = rows.unionAll(right.select(*key_columns, none.alias("l"), one.alias("r")))
     bucket = F.pmod(F.xxhash64(*key_columns), F.lit(buckets)).cast("int")
     sums = [F.sum("l").alias("l"), F.sum("r").alias("r")]
 
@@ -45,28 +53,28 @@ def hot_keys(left, right, keys, *, min_hot_rows=None, buckets=None):
         return None
 
     above = (F.col("l") > limits["l"]) | (F.col("r") > limits["r"])
-    spark = left.sparkSession
     schema = rows.select(*key_columns).schema
+    # Instants travel as numbers, so that no time zone of the driver touches them.
+    instants = [f.name for f in schema if isinstance(f.dataType, T.TimestampType)]
     counted = (
         rows.where(bucket.isin(overfull))
         .groupBy(*key_columns)
         .agg(*sums)
         .where(above)
         .select(
-            *key_columns,
-            *[F.greatest(F.lit(1), F.ceil(F.col(s) / limits[s])).cast("int") for s in "lr"],
-            (F.col("l") > 0) & (F.col("r") > 0),
+            *[F.unix_micros(col(k)).alias(k) if k in instants else col(k) for k in keys],
+            *[
+                F.greatest(F.lit(1), F.ceil(F.col(s) / limits[s])).cast("int").alias(f"cuts_{n}")
+                for s, n in (("l", "left"), ("r", "right"))
+            ],
+            ((F.col("l") > 0) & (F.col("r") > 0)).alias("on_both"),
         )
-        .collect()
     )
-    if not counted:
+    found = [tuple(row) for row in counted.collect()]
+    if not found:
         return None
-    schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in schema]
-        + [T.StructField("cuts_left", T.IntegerType()), T.StructField("cuts_right", T.IntegerType())]
-        + [T.StructField("on_both", T.BooleanType())]
-    )
-    return spark.createDataFrame([tuple(row) for row in counted], schema)
+    listed = local_table(left.sparkSession, found, counted.schema)
+    return listed.withColumns({k: F.timestamp_micros(col(k)) for k in instants}) if instants else listed
 
 
 def _cut(df, hot, keys, own, other, repeat_for_other):
@@ -103,14 +111,18 @@ def skew_join(left, right, keys, how, *, right_unique=False, min_hot_rows=None,
     keys are taken from whichever side has them. ``right_unique`` promises at most
     one right row per key, which makes cutting the right side pointless.
     """
-    left_names = [c for c in left.columns if c not in keys]
-    right_names = [c for c in right.columns if c not in keys]
     left_only_output = how in ("left_semi", "left_anti")
     if left_only_output and not right_unique:
         right = right.select(*map(col, keys)).distinct()
         right_unique = True
+    left_names = [c for c in left.columns if c not in keys]
+    right_names = [c for c in right.columns if c not in keys]
 
-    hot = hot_keys(left, right, keys, min_hot_rows=min_hot_rows, buckets=buckets)
+    # One right row per key is never hot, and a left row then never repeats.
+    left_decides = right_unique and how in ("inner", "left", "left_semi", "left_anti")
+    hot = hot_keys(
+        left, None if left_decides else right, keys, min_hot_rows=min_hot_rows, buckets=buckets
+    )
     pieces, flags = [], []
     if hot is not None:
         pieces = ["__piece_left", "__piece_right"]
@@ -136,7 +148,7 @@ def skew_join(left, right, keys, how, *, right_unique=False, min_hot_rows=None,
     )
     if left_only_output:
         return joined.select(*map(col, keys), *map(col, left_names))
-    if flags and how != "inner":
+    if flags and how != "inner" and not left_decides:
         # A repeated row of a hot key may meet no row in one piece although the
         # key is present on both sides; it met its partners in other pieces.
         alone = F.col(LEFT_TAG).isNull() | F.col(RIGHT_TAG).isNull()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.errors import LoadError, require_some
-from tallyframe.functions.columns import col, strip
+from tallyframe.functions.columns import col
+from tallyframe.functions.local import local_table
 from tallyframe.functions.parsing import is_number_text
 from tallyframe.sources.files import (
     POSITION_COLUMNS, SEPARATORS, SOURCE, list_files, readable_path, require_suffix, suffix_of,
@@ -134,6 +135,21 @@ def read_text_columns(spark, paths, header, sep, multi_line=None, corrupt_column
     return scan(whole, True).unionAll(scan(split, False)) if split else scan(whole, True)
 
 
+# One bit per form a cell can take; a column's form is the union of its cells' bits.
+WHOLE, LONG_WHOLE, DECIMAL, TRUTH, OTHER = 1, 2, 4, 8, 16
+
+
+def _form(cell):
+    return (
+        F.when(cell.isNull(), F.lit(None).cast("int"))
+        .when(cell.try_cast("bigint").isNotNull(), WHOLE)
+        .when(cell.rlike(r"^\s*[+-]?\d+\s*$"), LONG_WHOLE)
+        .when(is_number_text(cell), DECIMAL)
+        .when(cell.isin(*TRUE_TOKENS, *FALSE_TOKENS), TRUTH)
+        .otherwise(OTHER)
+    )
+
+
 def infer_types(df, names):
     """The narrowest of bigint, double, boolean, string that holds every filled cell.
 
@@ -141,31 +157,14 @@ def infer_types(df, names):
     a bigint stay text as well; a column without any cell is double.
     """
     require_some(names, "The table has no columns.")
-
-    def every(condition):
-        return F.coalesce(F.bool_and(condition), F.lit(True))
-
-    checks = []
-    for i, name in enumerate(names):
-        cell = col(name)
-        whole = cell.rlike(r"^\s*[+-]?\d+\s*$")
-        checks += [
-            F.count(cell).alias(f"n{i}"),
-            every(whole).alias(f"w{i}"),
-            every(strip(cell).try_cast("bigint").isNotNull() | cell.isNull()).alias(f"l{i}"),
-            every(is_number_text(cell)).alias(f"d{i}"),
-            every(cell.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}"),
-        ]
-    found = df.agg(*checks).first()
+    forms = df.agg(*[F.bit_or(_form(col(n))).alias(f"f{i}") for i, n in enumerate(names)]).first()
     types = {}
-    for i, name in enumerate(names):
-        if found[f"n{i}"] == 0:
-            types[name] = T.DoubleType()
-        elif found[f"w{i}"]:
-            types[name] = T.LongType() if found[f"l{i}"] else T.StringType()
-        elif found[f"d{i}"]:
+    for name, form in zip(names, forms):
+        if form is None or (form & DECIMAL and not form & ~(WHOLE | LONG_WHOLE | DECIMAL)):
             types[name] = T.DoubleType()
-        elif found[f"b{i}"]:
+        elif form == WHOLE:
+            types[name] = T.LongType()
+        elif form == TRUTH:
             types[name] = T.BooleanType()
         else:
             types[name] = T.StringType()
@@ -179,11 +178,27 @@ def apply_types(df, types):
         dtype = types[name]
         if isinstance(dtype, T.StringType):
             return col(name)
-        return strip(col(name)).try_cast(dtype).alias(name)
+        return col(name).try_cast(dtype).alias(name)
 
     return df.select(*[typed(c) if c in types else col(c) for c in df.columns])
 
 
+def _first_header(spark, paths, sep):
+    """Column names from the first record Spark finds at ``paths``."""
+    first = (
+        spark.read.option("header", False)
+        .option("sep", sep)
+        .option("escape", '"')
+        .option("multiLine", True)
+        .csv(paths)
+        .first()
+    )
+    if first is None:
+        raise LoadError(f"Failed to read {paths[0]!r}: No columns to parse from file")
+    cells = [cell or "" for cell in first]
+    return tidy_header([cells[0].removeprefix("\ufeff"), *cells[1:]])
+
+
 def read_delimited(
     spark, path, *, sep=None, infer=True, types=None, multi_line=None, corrupt_column=None
 ):
@@ -199,14 +214,11 @@ def read_delimited(
         if sep is None:
             require_suffix(p, SEPARATORS)
     sep = sep or SEPARATORS[suffix_of(paths[0])]
-    listed = list_files(spark, paths[0]).orderBy(F.desc("size_bytes"), "path").limit(1)
-    head = listed.select("path", F.lit(sep).alias("sep")).mapInPandas(_read_headers, HEADER_SCHEMA).first()
-    if head.error:
-        raise LoadError(f"Failed to read {paths[0]!r}: {head.error}")
-    df = read_text_columns(spark, paths, head.header, sep, multi_line, corrupt_column)
+    header = _first_header(spark, paths, sep)
+    df = read_text_columns(spark, paths, header, sep, multi_line, corrupt_column)
     if types is None and not infer:
         return df
-    return apply_types(df, types or infer_types(df, head.header))
+    return apply_types(df, types or infer_types(df, header))
 
 
 def read_folder(spark, folder, *, infer=True, types=None, multi_line=None):
@@ -236,7 +248,7 @@ def read_folder(spark, folder, *, infer=True, types=None, multi_line=None):
             df = apply_types(df, types or infer_types(df, group.header))
         tables.append((tuple(group.header), df))
     if counts is None:
-        counts = spark.createDataFrame([], f"{SOURCE} string, rows long")
+        counts = local_table(spark, [], f"{SOURCE} string, rows long")
     log = headers.join(counts, F.col("path") == F.col(SOURCE), "left").select(
         F.col("path").alias("source_file"),
         F.lit("Sheet1").alias("sheet"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.errors import UnsupportedFileTypeError
 from tallyframe.functions.columns import col
+from tallyframe.functions.local import local_table
 
 # Readable suffixes and the field separator of the delimited ones.
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
@@ -37,7 +38,7 @@ def list_files(spark, folder):
     """
     listed = spark.read.format("binaryFile").load(folder)
     uris = [re.sub(r"^file:/+", "file:/", name) for name in listed.inputFiles()]
-    names = spark.createDataFrame([(uri,) for uri in uris], "path string")
+    names = local_table(spark, [(uri,) for uri in uris], "path string")
     found = listed.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("length").alias("size_bytes"),

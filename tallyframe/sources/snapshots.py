@@ -7,6 +7,8 @@ snapshot that broke off is never seen and the previous one stays valid.
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tallyframe.functions.local import local_table
+
 ENTRY_SCHEMA = (
     "version string, file_key string, sheet_name string, display_name string, "
     "location string, saved_at string, error string"
@@ -31,7 +33,7 @@ def snapshot_tables(tables, folder, saved_at):
             error = str(failure).splitlines()[0]
         stamp = saved_at.isoformat(timespec="seconds")
         entries.append((version, file_key, sheet, display, location, stamp, error))
-    manifest = spark.createDataFrame(entries, ENTRY_SCHEMA).coalesce(1)
+    manifest = local_table(spark, entries, ENTRY_SCHEMA).coalesce(1)
     manifest.write.mode("errorifexists").parquet(f"{folder}/manifests/{version}")
     return version
 
@@ -45,7 +47,7 @@ def load_manifest(spark, folder):
     except PySparkException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], ENTRY_SCHEMA)
+        return local_table(spark, [], ENTRY_SCHEMA)
     newest = manifests.agg(F.max("version").alias("version")).first().version
     return manifests.where((F.col("version") == newest) & F.col("error").isNull())
 

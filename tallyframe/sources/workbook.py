@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.local import local_table
 from tallyframe.sources.delimited import NA_TOKENS, tidy_header
 from tallyframe.sources.files import WORKBOOK_SUFFIXES
 
@@ -229,7 +230,8 @@ def sheet_table(rows, header, sheets):
     ``_position``, the 0-based row below the header.
     """
     spark = rows.sparkSession
-    wanted = spark.createDataFrame(
+    wanted = local_table(
+        spark,
         [(file, number, top) for file, _, number, top in sheets],
         "source_file string, sheet_no int, top long",
     )

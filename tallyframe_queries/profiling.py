@@ -64,7 +64,8 @@ def customers(spark, folder):
 
 def profiled(name, columns):
     def run(spark, folder):
-        return profile.profile_columns(table(spark, folder, name), [c[0] for c in columns])
+        bare = table(spark, folder, name)
+        return profile.profile_columns(bare, [c[0] for c in columns], per_column=True)
 
     return run
 
