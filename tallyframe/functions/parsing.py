@@ -48,13 +48,36 @@ def is_not_numeric(df, name):
     return col(name).isNotNull()
 
 
+def shape_of(date_format):
+    """A pattern every text in a Spark date format has; it says nothing about valid days."""
+    shape = ""
+    for run in re.finditer(r"'([^']*)'|([A-Za-z])\2*|.", date_format):
+        text = run[0]
+        if text.startswith("'"):
+            shape += re.escape(run[1] or "'")
+        elif text in "[]":
+            shape += "(?:" if text == "[" else ")?"
+        elif not text.isalpha():
+            shape += re.escape(text)
+        elif text[0] in "yudHhKkms" or (text[0] in "ML" and len(text) < 3):
+            shape += rf"\d{{{len(text)}}}" if len(text) > 1 else r"\d+"
+        elif text[0] == "S":
+            shape += rf"\d{{1,{len(text)}}}"
+        else:
+            shape += ".+"
+    return f"^{shape}$"
+
+
 def is_not_date(df, name, formats=DATE_FORMATS):
     """A filled cell that fits none of the formats; numbers and date types always pass."""
     dtype = dtype_of(df, name)
     if isinstance(dtype, MOMENTS) or is_numeric(dtype):
         return F.lit(False)
     text = strip(col(name).cast("string"))
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    # Only texts of a format's shape are parsed; a failing parse costs an exception.
+    parsed = F.coalesce(
+        *[F.when(text.rlike(shape_of(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    )
     return col(name).isNotNull() & parsed.isNull()
 
 

@@ -140,10 +140,12 @@ WHOLE, LONG_WHOLE, DECIMAL, TRUTH, OTHER = 1, 2, 4, 8, 16
 
 
 def _form(cell):
+    # Patterns come before casts: a cast that fails costs an exception per cell.
+    whole = cell.rlike(r"^\s*[+-]?\d+\s*$")
+    fits = (F.length(cell) < 19) | cell.try_cast("bigint").isNotNull()
     return (
         F.when(cell.isNull(), F.lit(None).cast("int"))
-        .when(cell.try_cast("bigint").isNotNull(), WHOLE)
-        .when(cell.rlike(r"^\s*[+-]?\d+\s*$"), LONG_WHOLE)
+        .when(whole, F.when(fits, WHOLE).otherwise(LONG_WHOLE))
         .when(is_number_text(cell), DECIMAL)
         .when(cell.isin(*TRUE_TOKENS, *FALSE_TOKENS), TRUTH)
         .otherwise(OTHER)
