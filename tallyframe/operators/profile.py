@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tallyframe.errors import require_columns, require_some
 from tallyframe.functions.columns import (
-    FLOATING, blank, col, dtype_of, is_numeric, percent, rounded_percent, value_of,
+    FLOATING, INTEGRAL, blank, col, dtype_of, is_numeric, percent, rounded_percent, value_of,
 )
 from tallyframe.functions.local import local_table
 
@@ -22,7 +22,7 @@ EXAMPLE_SCAN_ROWS = 200
 EXAMPLE_COUNT = 5
 REPORT_EXAMPLE_COUNT = 3
 
-EXAMPLE_LANES = 512
+EXAMPLE_HEAD_ROWS = 4096
 
 
 def _cell(df, name):
@@ -37,9 +37,9 @@ def _cell(df, name):
     return value.cast("string")
 
 
-def _cells(df, columns, *extra):
+def _cells(df, columns):
     cells = F.array(*[_cell(df, c) for c in columns])
-    return df.select(*map(col, extra), F.posexplode(cells).alias("ordinal", "value"))
+    return df.select(F.posexplode(cells).alias("ordinal", "value"))
 
 
 def _per_column(columns, values):
@@ -154,30 +154,67 @@ def _described(df, columns, numeric, figures):
     )
 
 
+def _earliest(df, order_by, n):
+    """The first ``n`` rows in order.
+
+    Only the order columns are scanned to find the last of them; the rows are then
+    read with a filter on the first order column that parquet statistics can use.
+    """
+    order = [col(c).asc_nulls_first() for c in order_by]
+    place = F.struct(*map(col, order_by))
+    edge = df.select(*map(col, order_by)).orderBy(*order).limit(n).agg(F.max(place)).first()[0]
+    if edge is None:
+        return df.where(F.lit(False))
+    marks = local_table(
+        df.sparkSession, [tuple(edge)], df.select(*map(col, order_by)).schema
+    ).select(F.struct("*").alias("edge"))
+    rows = df.where(place <= marks.scalar())
+    lead = col(order_by[0])
+    simple = isinstance(dtype_of(df, order_by[0]), (*INTEGRAL, T.StringType))
+    if simple and edge[0] is not None:
+        rows = rows.where((lead <= F.lit(edge[0])) | lead.isNull())
+    return rows
+
+
 def example_values(df, order_by, columns=None, count=EXAMPLE_COUNT, scan=EXAMPLE_SCAN_ROWS):
     """Per column the first ``count`` distinct texts among its first ``scan`` filled cells.
 
-    The first cells are found in two rounds: each of ``EXAMPLE_LANES`` slices of
-    the rows keeps its own first cells, then the slices are merged. Both rounds
-    drop rows before they shuffle, so no task ever holds a whole column.
+    The first ``EXAMPLE_HEAD_ROWS`` rows answer for every column that is filled
+    often enough there; only the others are searched for, one at a time. The rows
+    looked at further are few, whatever the size of the table.
     """
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     columns = list(columns or [c for c in df.columns if c not in order_by])
     require_some(order_by, "order_by is required: Spark rows have no order of their own.")
     require_columns(df, [*columns, *order_by])
-    filled = _cells(df, columns, *order_by).where("value IS NOT NULL")
-    order = [col(c).asc_nulls_first() for c in order_by]
-    lane = F.pmod(F.xxhash64(*map(col, order_by)), F.lit(EXAMPLE_LANES))
-
-    def first(rows, *groups):
-        place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-        return rows.withColumn("place", place).where(F.col("place") <= scan)
-
-    earliest = first(first(filled.withColumn("lane", lane), "ordinal", "lane"), "ordinal")
+    head = _earliest(df, order_by, EXAMPLE_HEAD_ROWS)
+    filled = head.agg(
+        F.count(F.lit(1)), *[F.count_if(~blank(df, c)) for c in columns]
+    ).first()
+    whole_table = filled[0] < EXAMPLE_HEAD_ROWS
+    dense = [whole_table or n >= scan for n in filled[1:]]
+
+    def cells(rows, numbers):
+        listed = F.array(
+            *[F.struct(F.lit(i).alias("ordinal"), _cell(df, columns[i]).alias("value")) for i in numbers]
+        )
+        place = F.struct(*map(col, order_by)).alias("place")
+        return rows.select(place, F.inline(listed)).where("value IS NOT NULL")
+
+    numbers = [i for i, is_dense in enumerate(dense) if is_dense]
+    parts = [cells(head, numbers)] if numbers else []
+    for i, is_dense in enumerate(dense):
+        if not is_dense:
+            narrow = list(dict.fromkeys([*order_by, columns[i]]))
+            rows = df.where(~blank(df, columns[i])).select(*map(col, narrow))
+            parts.append(cells(_earliest(rows, order_by, scan), [i]))
+    ranked = reduce(lambda a, b: a.unionAll(b), parts).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("ordinal").orderBy("place"))
+    )
     texts = F.transform(
-        F.array_sort(F.collect_list(F.struct("place", "value"))), lambda cell: cell["value"]
+        F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda cell: cell["value"]
     )
-    lists = earliest.groupBy("ordinal").agg(
+    lists = ranked.where(F.col("rank") <= scan).groupBy("ordinal").agg(
         F.slice(F.array_distinct(texts), 1, count).alias("examples")
     )
     names = local_table(df.sparkSession, list(enumerate(columns)), "ordinal int, column string")
@@ -193,7 +230,7 @@ def column_statistics(df, order_by, columns=None, per_column=False):
     columns = list(columns or df.columns)
     profile = profile_columns(df, columns, per_column)
     examples = example_values(df, order_by, columns, REPORT_EXAMPLE_COUNT).drop("column")
-    return profile.join(F.broadcast(examples), "ordinal").select(
+    return profile.join(examples, "ordinal").select(
         "ordinal",
         F.col("column").alias("Column"),
         F.col("dtype").alias("Type"),

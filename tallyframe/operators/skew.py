@@ -102,14 +102,17 @@ def _cut(df, hot, keys, own, other, repeat_for_other):
     return df.drop(*spent).withColumnRenamed("__on_both", f"__on_both_{own}")
 
 
-def skew_join(left, right, keys, how, *, right_unique=False, min_hot_rows=None, buckets=None):
+def skew_join(
+    left, right, keys, how, *, right_unique=False, left_unique=False, min_hot_rows=None, buckets=None
+):
     """Join on ``left.k <=> right.k`` for every key, in any of Spark's join modes.
 
     Both sides must carry the key columns under the same names and no other name
     in common. The result holds the left columns, the right non-key columns and
     the flags ``__in_left`` / ``__in_right`` (null when that side has no row);
     keys are taken from whichever side has them. ``right_unique`` promises at most
-    one right row per key, which makes cutting the right side pointless.
+    one right row per key, which makes cutting the right side pointless; with
+    ``left_unique`` as well no key can be hot and nothing is counted.
     """
     left_only_output = how in ("left_semi", "left_anti")
     if left_only_output and not right_unique:
@@ -120,9 +123,10 @@ def skew_join(left, right, keys, how, *, right_unique=False, min_hot_rows=None,
 
     # One right row per key is never hot, and a left row then never repeats.
     left_decides = right_unique and how in ("inner", "left", "left_semi", "left_anti")
-    hot = hot_keys(
-        left, None if left_decides else right, keys, min_hot_rows=min_hot_rows, buckets=buckets
-    )
+    hot = None
+    if not (left_unique and right_unique):
+        counted = None if left_decides else right
+        hot = hot_keys(left, counted, keys, min_hot_rows=min_hot_rows, buckets=buckets)
     pieces, flags = [], []
     if hot is not None:
         pieces = ["__piece_left", "__piece_right"]

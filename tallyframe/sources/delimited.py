@@ -2,7 +2,6 @@
 
 import csv
 import io
-import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +11,7 @@ from tallyframe.functions.columns import col
 from tallyframe.functions.local import local_table
 from tallyframe.functions.parsing import is_number_text
 from tallyframe.sources.files import (
-    POSITION_COLUMNS, SEPARATORS, SOURCE, list_files, readable_path, require_suffix, suffix_of,
+    POSITION_COLUMNS, SEPARATORS, SOURCE, list_files, open_file, readable_path, require_suffix, suffix_of,
     with_position,
 )
 
@@ -44,14 +43,6 @@ def tidy_header(cells):
     return names
 
 
-def _open(path):
-    from pyarrow import fs
-
-    uri = re.sub(r"^file:/+", "file:///", path)
-    system, location = fs.FileSystem.from_uri(uri)
-    return system.open_input_stream(location)
-
-
 def _read_headers(batches):
     """Each file's first record; runs in tasks and reads the start of a file only."""
     import pandas as pd
@@ -60,8 +51,8 @@ def _read_headers(batches):
         rows = []
         for path, sep in zip(batch["path"], batch["sep"]):
             try:
-                with _open(path) as stream:
-                    head = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
+                with open_file(path) as file:
+                    head = file.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
                 lines = csv.reader(io.StringIO(head, newline=""), delimiter=sep)
                 cells = next((line for line in lines if line), None)
                 if cells is None:

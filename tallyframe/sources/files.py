@@ -54,6 +54,14 @@ def readable_path(uri):
     return unquote(uri)
 
 
+def open_file(uri):
+    """A readable, seekable file for a listed URI; meant for use inside tasks."""
+    from pyarrow import fs
+
+    system, location = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    return system.open_input_file(location)
+
+
 def with_position(scan):
     """Add the row's place right after a file scan: file, block offset, running number.
 

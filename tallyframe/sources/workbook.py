@@ -1,11 +1,11 @@
 """Workbooks (.xlsx, .xlsm): many files at once, one file per read, all sheets.
 
-A workbook is a zip of XML parts and cannot be split, so Spark hands whole files
-to tasks and each task streams its files' rows out in batches. What reaches Spark
-is one row per sheet row; tables are then built by header group like any other.
+A workbook is a zip of XML parts and cannot be split, so Spark deals out whole
+files by size and each task streams its files' rows out in batches, one open file
+at a time. What reaches Spark is one row per sheet row; tables are then built by
+header group like any other.
 """
 
-import io
 import posixpath
 import re
 import zipfile
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions.local import local_table
 from tallyframe.sources.delimited import NA_TOKENS, tidy_header
-from tallyframe.sources.files import WORKBOOK_SUFFIXES
+from tallyframe.sources.files import WORKBOOK_SUFFIXES, open_file
 
 ROW_SCHEMA = (
     "source_file string, sheet string, sheet_no int, is_hidden boolean, row_no long, "
@@ -121,11 +121,12 @@ def _sheet_rows(stream, shared, date_styles, day_zero):
             yield position, kinds, cells
 
 
-def workbook_rows(path, content):
+def workbook_rows(path, file):
     """All rows of one workbook as tuples of ``ROW_SCHEMA``; a sheet without rows gives one."""
-    if content[:4] == OLE_MAGIC:
+    if file.read(4) == OLE_MAGIC:
         raise ValueError("the workbook is password-protected or in the old binary format")
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+    file.seek(0)
+    with zipfile.ZipFile(file) as archive:
         book = _xml(archive, "xl/workbook.xml")
         if book is None:
             raise ValueError("not a workbook")
@@ -154,14 +155,15 @@ def _read_workbooks(batches):
 
     names = [field.split()[0] for field in ROW_SCHEMA.split(", ")]
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        for path in batch["path"]:
             rows = []
             try:
-                for row in workbook_rows(path, content):
-                    rows.append(row)
-                    if len(rows) == BATCH_ROWS:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                with open_file(path) as file:
+                    for row in workbook_rows(path, file):
+                        rows.append(row)
+                        if len(rows) == BATCH_ROWS:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
             except (ValueError, KeyError, IndexError, OSError, zipfile.BadZipFile, ElementTree.ParseError) as error:
                 rows.append((path, None, None, None, None, None, None, f"Failed to read: {error}"))
             if rows:
@@ -172,8 +174,8 @@ def read_workbook_rows(spark, path):
     """Every sheet row of the workbooks at ``path``; unreadable files give an error row."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     files = spark.read.format("binaryFile").load(path).where(suffix.isin(*WORKBOOK_SUFFIXES))
-    content = files.select(F.col("_metadata.file_path").alias("path"), "content")
-    return content.mapInPandas(_read_workbooks, ROW_SCHEMA)
+    paths = files.select(F.col("_metadata.file_path").alias("path"))
+    return paths.mapInPandas(_read_workbooks, ROW_SCHEMA)
 
 
 def workbook_log(rows):

@@ -61,6 +61,17 @@ def test_examples_look_at_the_first_200_cells(frame):
     assert found == {"v": ["0"], "w": []}
 
 
+def test_examples_of_sparse_columns_lie_beyond_the_head(spark, monkeypatch):
+    monkeypatch.setattr(profile, "EXAMPLE_HEAD_ROWS", 50)
+    df = spark.range(1000).selectExpr(
+        "id", "CASE WHEN id % 300 = 299 THEN id END AS rare", "concat('x', id DIV 30) AS often"
+    )
+    found = {r.column: r.examples for r in profile.example_values(df, "id", scan=20).collect()}
+    assert found == {"rare": ["299", "599", "899"], "often": ["x0"]}
+    two = {r.column: r.examples for r in profile.example_values(df, ["often", "id"], ["rare"], scan=2).collect()}
+    assert two == {"rare": ["599", "899"]}
+
+
 def test_report_table(frame):
     df = frame(
         "ID long, Name string, Score double",

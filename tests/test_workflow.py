@@ -122,6 +122,18 @@ def test_batch_equals_one_run_per_source(frame, rows):
         assert report.where(F.col("source") == name).first().detail == "; ".join(lines)
 
 
+def test_checkpointed_run_gives_the_same(frame, rows):
+    df = frame("k long, v long", (1, 5), (1, 7), (2, 7))
+    chain = steps(
+        ("remove_duplicates", {"columns": ["k"], "keep": "last"}),
+        ("remove_duplicates", {"columns": ["v"]}),
+    )
+    lazy, lazy_log = workflow.run_workflow(df, chain, "row_id")
+    kept, kept_log = workflow.run_workflow(df, chain, "row_id", checkpoint=True)
+    assert rows(lazy) == rows(kept) == [(1, 1, 7)]
+    assert rows(lazy_log) == rows(kept_log)
+
+
 def test_own_step(frame):
     def half(df, parameters, order_by, scope):
         return workflow.StepOutcome(df.where("A > 1"), "Keep large", "kept", figure=0)
