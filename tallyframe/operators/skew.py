@@ -7,12 +7,18 @@ more than ``MIN_HOT_ROWS`` rows), so there are fewer than ``2 * BUCKETS`` hot
 keys; this bounded list is all that reaches the driver. Without hot keys the join
 is Spark's plain join, free to broadcast or to use a bucketed layout.
 
-The rows of a hot key are cut into pieces by a hash of the whole row and the
-other side's rows of that key are repeated once per piece. The pieces are a pure
-function of the row, so a re-run task rebuilds exactly the same shuffle output.
-Copies of one row share a piece; carry the ingest row id to spread those too.
+With hot keys, each kind of key gets the join that suits its counted rows:
+
+* cold keys: the plain join of the rows that remain;
+* hot on one side, few rows on the other: the few rows, ``FEW_ROWS`` in all at
+  most, are broadcast, and the hot rows stay where they are;
+* many rows on both sides: both sides are cut into pieces by a hash of the whole
+  row and every left piece meets every right piece, spread over all tasks. The
+  pieces are a pure function of the row, so a re-run task rebuilds the same output.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,23 +27,63 @@ from tallyframe.functions.local import local_table
 
 BUCKETS = 4096
 MIN_HOT_ROWS = 500_000
+FEW_ROWS = 50_000
 
 LEFT_TAG, RIGHT_TAG = "__in_left", "__in_right"
 
 
+class HotKeys:
+    """Hot keys with their row counts, and the counts above which a key is hot."""
+
+    def __init__(self, left, keys, schema, rows, limits):
+        self.spark, self.keys, self.schema = left.sparkSession, keys, schema
+        self.rows, self.limits = rows, limits
+
+    def table(self, rows):
+        """``keys, __cuts_left, __cuts_right`` for some of the rows, small enough to broadcast."""
+        width = len(self.keys)
+        cut = [
+            (*row[:width], *(max(1, -int(-n // self.limits[s])) for s, n in zip("lr", row[width:])))
+            for row in rows
+        ]
+        schema = T.StructType(self.schema.fields[:width])
+        schema = schema.add("__cuts_left", T.IntegerType()).add("__cuts_right", T.IntegerType())
+        listed = local_table(self.spark, cut, schema)
+        # Instants were counted as numbers, so that no time zone of the driver touches them.
+        instants = {
+            k: F.timestamp_micros(col(k)) for k, f in zip(self.keys, self.schema) if f.metadata.get("instant")
+        }
+        return F.broadcast(listed.withColumns(instants) if instants else listed)
+
+    def kinds(self):
+        """``(few right rows, few left rows, many on both sides)``."""
+        few_right, few_left, many, budget = [], [], [], {"l": FEW_ROWS, "r": FEW_ROWS}
+        for row in sorted(self.rows, key=lambda row: min(row[-2:])):
+            left_rows, right_rows = row[-2:]
+            if left_rows > self.limits["l"] and right_rows <= min(self.limits["r"], budget["r"]):
+                budget["r"] -= right_rows
+                few_right.append(row)
+            elif right_rows > self.limits["r"] and left_rows <= min(self.limits["l"], budget["l"]):
+                budget["l"] -= left_rows
+                few_left.append(row)
+            else:
+                many.append(row)
+        return few_right, few_left, many
+
+
 def hot_keys(left, right, keys, *, min_hot_rows=None, buckets=None):
-    """A local table ``keys, cuts_left, cuts_right, on_both``, or None if no key is hot.
+    """The ``HotKeys`` of two sides, or None if there are none.
 
-    ``right`` may be None where its rows need no counting. Nested keys are left
-    to Spark's own skew handling.
+    ``right`` may be None where its rows need no counting. Nested keys are left to
+    Spark's own skew handling.
     """
     min_hot_rows = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
     buckets = buckets or BUCKETS
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    key_columns = [col(k) for k in keys]
     nested = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
     if any(isinstance(left.schema[k].dataType, nested) for k in keys):
         return None
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    key_columns = [col(k) for k in keys]
     rows = left.select(*key_columns, one.alias("l"), none.alias("r"))
     if right is not None:
         rows = rows.unionAll(right.select(*key_columns, none.alias("l"), one.alias("r")))
@@ -52,111 +98,56 @@ def hot_keys(left, right, keys, *, min_hot_rows=None, buckets=None):
     if not overfull:
         return None
 
-    above = (F.col("l") > limits["l"]) | (F.col("r") > limits["r"])
-    schema = rows.select(*key_columns).schema
-    # Instants travel as numbers, so that no time zone of the driver touches them.
-    instants = [f.name for f in schema if isinstance(f.dataType, T.TimestampType)]
+    def plain(field):
+        if isinstance(field.dataType, T.TimestampType):
+            return F.unix_micros(col(field.name)).alias(field.name, metadata={"instant": True})
+        return col(field.name)
+
     counted = (
         rows.where(bucket.isin(overfull))
         .groupBy(*key_columns)
         .agg(*sums)
-        .where(above)
-        .select(
-            *[F.unix_micros(col(k)).alias(k) if k in instants else col(k) for k in keys],
-            *[
-                F.greatest(F.lit(1), F.ceil(F.col(s) / limits[s])).cast("int").alias(f"cuts_{n}")
-                for s, n in (("l", "left"), ("r", "right"))
-            ],
-            ((F.col("l") > 0) & (F.col("r") > 0)).alias("on_both"),
-        )
+        .where((F.col("l") > limits["l"]) | (F.col("r") > limits["r"]))
     )
+    counted = counted.select(*[plain(f) for f in counted.schema[: len(keys)]], "l", "r")
     found = [tuple(row) for row in counted.collect()]
-    if not found:
-        return None
-    listed = local_table(left.sparkSession, found, counted.schema)
-    return listed.withColumns({k: F.timestamp_micros(col(k)) for k in instants}) if instants else listed
+    return HotKeys(left, keys, counted.schema, found, limits) if found else None
 
 
-def _cut(df, hot, keys, own, other, repeat_for_other):
-    """Add the piece numbers ``__piece_left`` / ``__piece_right`` to one side."""
-    hot = hot.select(
-        *[col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)],
-        *[F.col(c).alias(f"__{c}") for c in ("cuts_left", "cuts_right", "on_both")],
-    )
-    hashable = [
-        col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ]
+def _with_keys(df, listed, keys, how):
+    """Rows of ``df`` whose key is listed (``left_semi``, ``inner``) or is not (``left_anti``)."""
+    listed = listed.withColumnsRenamed({k: f"__hot_{i}" for i, k in enumerate(keys)})
     same = all_of(col(k).eqNullSafe(F.col(f"__hot_{i}")) for i, k in enumerate(keys))
-    cuts_own, cuts_other = F.col(f"__cuts_{own}"), F.col(f"__cuts_{other}")
-    df = df.join(F.broadcast(hot), same, "left").withColumn(
-        f"__piece_{own}",
-        F.when(cuts_own > 1, F.pmod(F.xxhash64(*hashable), cuts_own).cast("int")).otherwise(0),
-    )
-    every = F.lit(0)
-    if repeat_for_other:
-        every = F.explode(
-            F.when(cuts_other > 1, F.sequence(F.lit(0), cuts_other - 1)).otherwise(F.array(F.lit(0)))
-        )
-    df = df.withColumn(f"__piece_{other}", every)
-    spent = [f"__hot_{i}" for i in range(len(keys))] + ["__cuts_left", "__cuts_right"]
-    return df.drop(*spent).withColumnRenamed("__on_both", f"__on_both_{own}")
+    return df.join(listed, same, how).drop(*[f"__hot_{i}" for i in range(len(keys))])
 
 
-def skew_join(
-    left, right, keys, how, *, right_unique=False, left_unique=False, min_hot_rows=None, buckets=None
-):
-    """Join on ``left.k <=> right.k`` for every key, in any of Spark's join modes.
+def _cut(df, listed, keys, own, other):
+    """Rows of hot keys with ``__piece_<own>`` by row, once per ``__piece_<other>``."""
+    hashable = [
+        col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
+    piece = F.pmod(F.xxhash64(*hashable), F.col(f"__cuts_{own}")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col(f"__cuts_{other}") - 1))
+    cut = _with_keys(df, listed, keys, "inner").withColumn(f"__piece_{own}", piece)
+    return cut.withColumn(f"__piece_{other}", every).drop("__cuts_left", "__cuts_right")
 
-    Both sides must carry the key columns under the same names and no other name
-    in common. The result holds the left columns, the right non-key columns and
-    the flags ``__in_left`` / ``__in_right`` (null when that side has no row);
-    keys are taken from whichever side has them. ``right_unique`` promises at most
-    one right row per key, which makes cutting the right side pointless; with
-    ``left_unique`` as well no key can be hot and nothing is counted.
-    """
-    left_only_output = how in ("left_semi", "left_anti")
-    if left_only_output and not right_unique:
-        right = right.select(*map(col, keys)).distinct()
-        right_unique = True
-    left_names = [c for c in left.columns if c not in keys]
-    right_names = [c for c in right.columns if c not in keys]
-
-    # One right row per key is never hot, and a left row then never repeats.
-    left_decides = right_unique and how in ("inner", "left", "left_semi", "left_anti")
-    hot = None
-    if not (left_unique and right_unique):
-        counted = None if left_decides else right
-        hot = hot_keys(left, counted, keys, min_hot_rows=min_hot_rows, buckets=buckets)
-    pieces, flags = [], []
-    if hot is not None:
-        pieces = ["__piece_left", "__piece_right"]
-        flags = ["__on_both_left", "__on_both_right"]
-        left = _cut(left, hot, keys, "left", "right", repeat_for_other=not right_unique)
-        right = _cut(right, hot, keys, "right", "left", repeat_for_other=True)
-        if right_unique:
-            right = right.withColumn("__piece_right", F.lit(0))
 
+def _join(left, right, keys, how, pieces=()):
+    """The plain join; keys come from whichever side has them, flags say which do."""
+    left_names = [c for c in left.columns if c not in (*keys, *pieces)]
+    right_names = [c for c in right.columns if c not in (*keys, *pieces)]
     lhs = left.withColumn(LEFT_TAG, F.lit(True))
-    rhs = right.withColumn(RIGHT_TAG, F.lit(True)).select(
-        *[col(k).alias(f"__right_{i}") for i, k in enumerate(keys)],
-        *[F.col(p).alias(f"{p}_r") for p in pieces],
-        *map(col, right_names), RIGHT_TAG, *flags[1:],
+    rhs = right.select(
+        *[col(k).alias(f"__right_{i}") for i, k in enumerate([*keys, *pieces])],
+        *map(col, right_names),
+        F.lit(True).alias(RIGHT_TAG),
     )
-    joined = lhs.join(
-        rhs,
-        all_of(
-            [col(k).eqNullSafe(F.col(f"__right_{i}")) for i, k in enumerate(keys)]
-            + [F.col(p) == F.col(f"{p}_r") for p in pieces]
-        ),
-        how,
+    same = all_of(
+        col(k).eqNullSafe(F.col(f"__right_{i}")) for i, k in enumerate([*keys, *pieces])
     )
-    if left_only_output:
+    joined = lhs.join(rhs, same, how)
+    if how in ("left_semi", "left_anti"):
         return joined.select(*map(col, keys), *map(col, left_names))
-    if flags and how != "inner" and not left_decides:
-        # A repeated row of a hot key may meet no row in one piece although the
-        # key is present on both sides; it met its partners in other pieces.
-        alone = F.col(LEFT_TAG).isNull() | F.col(RIGHT_TAG).isNull()
-        joined = joined.where(~(alone & F.coalesce(*map(F.col, flags), F.lit(False))))
     return joined.select(
         *[
             F.when(F.col(LEFT_TAG), col(k)).otherwise(F.col(f"__right_{i}")).alias(k)
@@ -167,3 +158,56 @@ def skew_join(
         LEFT_TAG,
         RIGHT_TAG,
     )
+
+
+# What a join mode comes to where every key surely has rows on the named side.
+WITH_LEFT_ROWS = {"right": "inner", "full_outer": "left"}
+WITH_RIGHT_ROWS = {"left": "inner", "full_outer": "right"}
+
+
+def skew_join(
+    left, right, keys, how, *, right_unique=False, left_unique=False, min_hot_rows=None, buckets=None
+):
+    """Join on ``left.k <=> right.k`` for every key, in any of Spark's join modes.
+
+    Both sides must carry the key columns under the same names and no other name
+    in common. The result holds the keys, the left columns, the right columns and
+    the flags ``__in_left`` / ``__in_right`` (null when that side has no row).
+    ``right_unique`` promises at most one right row per key, whose rows then need
+    no counting; with ``left_unique`` as well no key can be hot.
+    """
+    if how in ("left_semi", "left_anti") and not right_unique:
+        right, right_unique = right.select(*map(col, keys)).distinct(), True
+    hot = None
+    if not (left_unique and right_unique):
+        left_decides = right_unique and how in ("inner", "left", "left_semi", "left_anti")
+        counted = None if left_decides else right
+        hot = hot_keys(left, counted, keys, min_hot_rows=min_hot_rows, buckets=buckets)
+    if hot is None:
+        return _join(left, right, keys, how)
+
+    def rows_of(df, listed, how="left_semi"):
+        return _with_keys(df, hot.table(listed), keys, how)
+
+    few_right, few_left, many = hot.kinds()
+    cold = [rows_of(df, hot.rows, "left_anti") for df in (left, right)]
+    parts = [_join(*cold, keys, how)]
+    if few_right:
+        small = F.broadcast(rows_of(right, few_right))
+        parts.append(_join(rows_of(left, few_right), small, keys, WITH_LEFT_ROWS.get(how, how)))
+    if few_left:
+        small = F.broadcast(rows_of(left, few_left))
+        parts.append(_join(small, rows_of(right, few_left), keys, WITH_RIGHT_ROWS.get(how, how)))
+    if many:
+        listed = hot.table(many)
+        # Every key here has rows on both sides, so all modes come to an inner join.
+        parts.append(
+            _join(
+                _cut(left, listed, keys, "left", "right"),
+                _cut(right, listed, keys, "right", "left"),
+                keys,
+                "inner",
+                ["__piece_left", "__piece_right"],
+            )
+        )
+    return reduce(lambda a, b: a.unionAll(b), parts)

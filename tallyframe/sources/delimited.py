@@ -2,6 +2,7 @@
 
 import csv
 import io
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,39 +218,50 @@ def read_delimited(
 def read_folder(spark, folder, *, infer=True, types=None, multi_line=None):
     """``(tables, log)`` of every csv and tsv file directly in a folder.
 
-    ``tables`` is ``[(header, df), ...]``, one per distinct header and separator,
-    most files first; a folder of any number of files is scanned as that many
-    DataFrames. ``log`` has a row per file: status, error, columns, rows, size.
+    ``tables`` is ``[(header, df), ...]``, one per distinct header, most files
+    first; a folder of any number of files is scanned as that many DataFrames.
+    ``log`` has a row per file: status, error, rows, columns, size, time, header.
     """
     headers = file_headers(spark, folder)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     groups = (
         headers.where("error IS NULL")
-        .groupBy("header", suffix.alias("suffix"))
-        .agg(F.count(F.lit(1)).alias("files"), F.collect_list("path").alias("paths"), F.min("path").alias("first"))
+        .groupBy("header")
+        .agg(
+            F.count(F.lit(1)).alias("files"),
+            F.min("path").alias("first"),
+            *[
+                F.collect_list(F.when(suffix == known, F.col("path"))).alias(known[1:])
+                for known in SEPARATORS
+            ],
+        )
         .orderBy(F.desc("files"), "first")
         .collect()
     )
-    tables, counts = [], None
+    tables, counts = [], local_table(spark, [], f"{SOURCE} string, rows long")
     for group in groups:
-        sep = SEPARATORS[group.suffix]
-        paths = [readable_path(p) for p in group.paths]
-        df = read_text_columns(spark, paths, group.header, sep, multi_line)
-        rows = df.groupBy(SOURCE).agg(F.count(F.lit(1)).alias("rows"))
-        counts = rows if counts is None else counts.unionAll(rows)
+        scans = [
+            read_text_columns(
+                spark, [readable_path(p) for p in group[known[1:]]], group.header, sep, multi_line
+            )
+            for known, sep in SEPARATORS.items()
+            if group[known[1:]]
+        ]
+        df = reduce(lambda a, b: a.unionAll(b), scans)
+        counts = counts.unionAll(df.groupBy(SOURCE).agg(F.count(F.lit(1)).alias("rows")))
         if types is not None or infer:
             df = apply_types(df, types or infer_types(df, group.header))
         tables.append((tuple(group.header), df))
-    if counts is None:
-        counts = local_table(spark, [], f"{SOURCE} string, rows long")
+    readable = F.col("error").isNull()
     log = headers.join(counts, F.col("path") == F.col(SOURCE), "left").select(
         F.col("path").alias("source_file"),
         F.lit("Sheet1").alias("sheet"),
-        F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"),
+        F.when(readable, "ok").otherwise("failed").alias("status"),
         "error",
-        F.when(F.col("error").isNull(), F.coalesce("rows", F.lit(0))).alias("rows"),
-        F.when(F.col("error").isNull(), F.size("header")).alias("columns"),
+        F.when(readable, F.coalesce("rows", F.lit(0))).alias("rows"),
+        F.when(readable, F.size("header")).alias("columns"),
         "size_bytes",
         "modified",
+        "header",
     )
     return tables, log

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import audit
 from tallyframe.plans.specs import workflow_from
-from tallyframe.plans.workflow import run_tagged, run_workflow, run_workflow_batch
+from tallyframe.plans.workflow import (
+    run_tagged, run_workflow, run_workflow_batch, run_workflow_folder,
+)
 from tallyframe.session import shared_folder
 from tallyframe.sources import delimited, reports, snapshots
+from tallyframe.sources.consolidation import consolidate_folder
 from tallyframe.sources.parquet import read_parquet
 from tallyframe_queries.inputs import CUSTOMER_NULLS, sql, table, view, with_views
 
@@ -155,31 +158,61 @@ def delimited_documents(spark, folder):
     return delimited.read_delimited(spark, path).select("doc_id", "text", "lang")
 
 
-def folder_log(spark, folder):
-    """Rows per header group of a folder with csv files of three tables."""
+def exported(spark, folder):
+    """A folder with csv files of three tables, two of which share a header."""
     path = shared_folder(spark, "exports")
     for definition in (PARTY, PARTY_SUPPLIER, OTHER):
         view(spark, folder, definition).write.mode("append").option("header", True).csv(path)
-    tables, log = delimited.read_folder(spark, path)
-    headers = delimited.file_headers(spark, path).select(F.col("path").alias("source_file"), "header")
+    return path
+
+
+def folder_log(spark, folder):
+    """Rows per header group."""
+    _, log = delimited.read_folder(spark, exported(spark, folder))
     return (
         log.where("status = 'ok'")
-        .join(headers, "source_file")
         .groupBy(F.array_join("header", ", ").alias("columns"))
         .agg(F.sum("rows").alias("rows"))
     )
 
 
 def folder_tables(spark, folder):
-    """The same folder consolidated: all rows of the files with the larger header."""
-    path = shared_folder(spark, "exports")
-    for definition in (PARTY, PARTY_SUPPLIER, OTHER):
-        view(spark, folder, definition).write.mode("append").option("header", True).csv(path)
-    tables, _ = delimited.read_folder(spark, path)
+    """All rows of the files with the parties' header."""
+    tables, _ = delimited.read_folder(spark, exported(spark, folder))
     parties = [df for header, df in tables if "balance" in header]
     return reduce(lambda a, b: a.unionByName(b), parties).select("id", "nation", "balance")
 
 
+def folder_consolidated(spark, folder):
+    stamped, _ = consolidate_folder(spark, exported(spark, folder), "2024-01-31T00:00:00")
+    return stamped.drop("__source_file__")
+
+
+FILE_RULES = [
+    {"rule_type": "no_negative", "column": "balance"},
+    {"rule_type": "unique", "column": "id"},
+]
+_, FILE_STEPS = workflow_from(
+    {
+        "steps": [
+            {"step_type": "remove_duplicates", "parameters": {"columns": ["id"]}},
+            {"step_type": "validate", "parameters": {"rules": FILE_RULES}},
+        ]
+    }
+)
+
+
+def folder_workflow(spark, folder):
+    """Every file as a source of its own; sums over the files, whose number varies."""
+    _, report = run_workflow_folder(spark, exported(spark, folder), FILE_STEPS)
+    issues = F.regexp_extract("detail", r"validate: (\d+) issue", 1).try_cast("bigint")
+    return report.groupBy("status").agg(
+        F.sum("rows_before").alias("rows_before"),
+        F.sum("rows_after").alias("rows_after"),
+        F.sum(issues).alias("issues"),
+    )
+
+
 def parquet_row_ids(spark, folder):
     return read_parquet(spark, f"{folder}/orders.parquet", "row_id").select("o_orderkey", "row_id")
 
@@ -282,6 +315,17 @@ QUERIES = {
         "SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS balance"
         " FROM customer UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier",
     ),
+    "consolidate_folder": (
+        folder_consolidated,
+        f"SELECT id, CAST(nation AS BIGINT) AS nation, balance, 'Sheet1' AS __source_sheet__,"
+        f" '2024-01-31T00:00:00' AS __import_timestamp__ FROM ({PARTIES})",
+    ),
+    "workflow_folder": (
+        folder_workflow,
+        "SELECT 'OK' AS status, count(*) AS rows_before, count(*) AS rows_after,"
+        f" count(*) FILTER (balance < 0) AS issues FROM ({PARTIES}) UNION ALL"
+        " SELECT 'FAILED_STEP', count(*), count(*), NULL FROM part",
+    ),
     "parquet_row_ids": (parquet_row_ids, "SELECT o_orderkey, o_orderkey AS row_id FROM orders"),
     "snapshot_restore": (
         snapshot_restored, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",

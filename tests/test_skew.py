@@ -1,10 +1,13 @@
 """Joins with hot keys give the same rows as plain joins and spread the hot rows."""
 
+import contextlib
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.local import local_table
-from tallyframe.operators import compare, rules
+from tallyframe.operators import compare, rules, skew
 from tallyframe.operators.combine import join_tables
 from tallyframe.operators.lookup import lookup_and_copy
 from tallyframe.operators.skew import _cut, hot_keys, skew_join
@@ -43,12 +46,26 @@ def test_same_rows_as_a_plain_join(spark, rows, mode, swap):
     assert rows(hot, *names) == rows(expected(left, right, mode), *names)
 
 
-def test_hot_keys_and_their_pieces(spark):
+def test_hot_keys_and_their_kinds(spark, monkeypatch):
+    left, right = side(spark, "l", LEFT), side(spark, "r", RIGHT)
+    hot = hot_keys(left, right, ["k"], min_hot_rows=19, buckets=16)
+    assert {row[0] for row in hot.rows} == {None, 1, 2, 5, 6, 7}
+    few_right, few_left, many = ({row[0] for row in kind} for kind in hot.kinds())
+    assert (few_right, few_left, many) == ({None, 1, 5}, {6, 7}, {2})
+    cuts = {r.k: tuple(r)[1:] for r in hot.table(hot.rows).collect()}
+    assert cuts[1] == (4, 1) and cuts[2] == (2, 2) and cuts[6] == (1, 2)
+    monkeypatch.setattr(skew, "FEW_ROWS", 2)
+    few_right, few_left, many = ({row[0] for row in kind} for kind in hot.kinds())
+    assert few_right == {1, 5} and few_left == {6, 7} and many == {None, 2}
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_without_broadcasts_everything_hot_is_cut(spark, rows, mode, monkeypatch):
+    monkeypatch.setattr(skew, "FEW_ROWS", 1)
     left, right = side(spark, "l", LEFT), side(spark, "r", RIGHT)
-    found = {r.k: r for r in hot_keys(left, right, ["k"], min_hot_rows=20, buckets=16).collect()}
-    assert set(found) == {None, 1, 2, 5, 6, 7}
-    assert (found[1].cuts_left, found[1].cuts_right, found[1].on_both) == (3, 1, True)
-    assert (found[6].cuts_left, found[6].cuts_right, found[6].on_both) == (1, 2, False)
+    names = ["k", "lid"] if mode in ("left_semi", "left_anti") else ["k", "lid", "rid"]
+    hot = skew_join(left, right, ["k"], mode, min_hot_rows=5, buckets=16)
+    assert rows(hot, *names) == rows(expected(left, right, mode), *names)
 
 
 def test_no_hot_keys_means_a_plain_join(spark):
@@ -56,13 +73,35 @@ def test_no_hot_keys_means_a_plain_join(spark):
     assert hot_keys(left, right, ["k"]) is None
 
 
-def test_hot_rows_are_spread_evenly(spark):
-    left, right = side(spark, "l", [(1, 4000), (2, 5)]), side(spark, "r", [(1, 1)])
+def test_rows_hot_on_both_sides_are_spread_evenly(spark):
+    left, right = side(spark, "l", [(1, 4000), (2, 5)]), side(spark, "r", [(1, 1000)])
     hot = hot_keys(left, right, ["k"], min_hot_rows=400, buckets=16)
-    cut = _cut(left, hot, ["k"], "left", "right", repeat_for_other=False)
-    sizes = [r["count"] for r in cut.where("k = 1").groupBy("__piece_left").count().collect()]
-    assert len(sizes) == 10 and max(sizes) < 500
-    assert cut.where("k = 2").select("__piece_left").distinct().count() == 1
+    cut = _cut(left, hot.table(hot.rows), ["k"], "left", "right")
+    sizes = [r["count"] for r in cut.groupBy("__piece_left", "__piece_right").count().collect()]
+    assert len(sizes) == 10 * 3 and max(sizes) < 500
+
+
+def test_identical_hot_rows_are_never_shuffled(spark):
+    copies = spark.range(20000).selectExpr("1L AS k", "'same' AS l")
+    one = local_table(spark, [(1, "x")], "k long, r string")
+    joined = skew_join(copies, one, ["k"], "left", right_unique=True, min_hot_rows=100, buckets=16)
+    assert joined.where("r = 'x'").count() == 20000
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        joined.explain("simple")
+    assert "BroadcastHashJoin" in text.getvalue() and "hashpartitioning" not in text.getvalue()
+
+
+def test_instants_as_hot_keys(spark, rows):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        left = spark.range(40).selectExpr("timestamp_seconds(id DIV 20) AS k", "id AS lid")
+        right = spark.range(1, 3).selectExpr("timestamp_seconds(id) AS k", "id AS rid")
+        joined = skew_join(left, right, ["k"], "full_outer", min_hot_rows=5, buckets=8)
+        assert rows(joined.groupBy("rid").count()) == [(None, 20), (1, 20), (2, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_two_text_keys(spark, rows):

@@ -8,8 +8,11 @@ from tallyframe.errors import LoadError, UnsupportedFileTypeError
 from tallyframe.functions.local import local_table
 from tallyframe.operators import audit
 from tallyframe.operators.rules import Rule
+from tallyframe.plans.specs import Step
+from tallyframe.plans.workflow import run_workflow_folder
 from tallyframe.session import shared_folder
 from tallyframe.sources import delimited, files, parquet, reports, snapshots, workbook
+from tallyframe.sources.consolidation import consolidate_folder, file_summary
 from tallyframe.streaming import folder as stream_folder
 
 
@@ -104,7 +107,7 @@ def test_folder(spark, write, tmp_path, rows):
     write("sub/deep.csv", "id,v\n9,9\n")
     tables, log = delimited.read_folder(spark, str(tmp_path))
     assert sorted((header, df.count()) for header, df in tables) == [
-        (("id", "v"), 1), (("id", "v"), 3), (("other",), 1),
+        (("id", "v"), 4), (("other",), 1),
     ]
     assert tables[0][0] == ("id", "v")
     name = F.regexp_extract("source_file", r"([^/]+)$", 1)
@@ -114,6 +117,42 @@ def test_folder(spark, write, tmp_path, rows):
     ]
 
 
+def test_folder_consolidation_and_workflow(spark, write, tmp_path, rows):
+    write("a.csv", "id,v\n1,x\n1,x\n2,y\n")
+    write("b.csv", "id,v\n1,x\n")
+    write("c.csv", "other\n1\n")
+    write("empty.csv", "")
+    stamped, log = consolidate_folder(spark, str(tmp_path), "now")
+    name = F.regexp_extract("source_file", r"([^/]+)$", 1)
+    assert stamped.columns == ["id", "v", "__source_file__", "__source_sheet__", "__import_timestamp__"]
+    assert stamped.count() == 4
+    assert rows(log, name, "consolidated") == [
+        ("a.csv", True), ("b.csv", True), ("c.csv", False), ("empty.csv", False),
+    ]
+    chain = [
+        Step("remove_duplicates", {"columns": ["id"]}),
+        Step("column_map", {"mappings": [{"source": "id", "destination": "ID"}], "keep_unmapped": True}),
+    ]
+    results, report = run_workflow_folder(spark, str(tmp_path), chain)
+    file = F.regexp_extract("source", r"([^/]+)$", 1)
+    assert rows(report.drop("detail").withColumn("source", file)) == [
+        ("a.csv", 3, 2, "OK"), ("b.csv", 1, 1, "OK"), ("c.csv", 1, 1, "FAILED_STEP"), ("empty.csv", 0, 0, "ERROR"),
+    ]
+    details = {r[0]: r.detail for r in report.select(file, "detail").collect()}
+    assert details["a.csv"] == "remove_duplicates: Removed 1 row(s); column_map: Result has 2 column(s)"
+    assert results[0].columns == ["ID", "_source_file", "v"] and results[0].count() == 3
+
+
+def test_file_summary(spark, write):
+    path = write("a.csv", "id,v\n1,x\n1,x\n2,\n")
+    found = {r.Property: r.Value for r in file_summary(spark, path, delimited.read_delimited(spark, path)).collect()}
+    assert found.pop("Last Modified") != "-"
+    assert found == {
+        "File Name": "a.csv", "Active Sheet": "Sheet1", "Sheet Count": "1", "File Size": "16 B",
+        "Row Count": "3", "Column Count": "2", "Duplicate Rows": "1", "Blank Cells": "1", "Fill Rate": "83.3",
+    }
+
+
 def test_parquet_row_ids(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.range(100).coalesce(1).write.parquet(path)
