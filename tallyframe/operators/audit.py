@@ -2,6 +2,7 @@
 
 from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyframe.errors import require_columns
@@ -25,8 +26,8 @@ def append_entries(spark, path, entries, at):
     last = 0
     try:
         last = spark.read.parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     stamp = at.isoformat(timespec="seconds")
     rows = [(last + n, stamp, *entry) for n, entry in enumerate(entries, start=1)]

@@ -63,9 +63,10 @@ def compare_tables(
         .when(modified, MODIFIED)
         .otherwise(UNCHANGED)
     )
-    changed = F.array_compact(F.array(*[F.when(d, F.lit(c)) for c, d in differences.items()])) \
-        if shared else F.array().cast("array<string>")
     nothing = F.array().cast("array<string>")
+    # One short array per differing column, joined: stays inside generated code.
+    changed = [F.when(d, F.array(F.lit(c))).otherwise(nothing) for c, d in differences.items()]
+    changed = F.concat(*changed) if shared else nothing
     key_columns = []
     for name in keys:
         wide = common_type(dtype_of(master, name), dtype_of(second, name))

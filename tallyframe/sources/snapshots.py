@@ -4,7 +4,7 @@ Each snapshot goes to a new version folder; its manifest is written last, so a
 snapshot that broke off is never seen and the previous one stays valid.
 """
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from tallyframe.functions.local import local_table
@@ -44,8 +44,8 @@ def load_manifest(spark, folder):
         manifests = spark.read.option("recursiveFileLookup", True).schema(ENTRY_SCHEMA).parquet(
             f"{folder.rstrip('/')}/manifests"
         )
-    except PySparkException as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return local_table(spark, [], ENTRY_SCHEMA)
     newest = manifests.agg(F.max("version").alias("version")).first().version

@@ -194,6 +194,19 @@ BODY = (
 )
 
 
+def test_task_functions_need_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    for function in (delimited._read_headers, workbook._read_workbooks):
+        (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(function))
+        code = "import pickle, sys; f = pickle.load(open('f.pkl', 'rb')); list(f([]));" \
+            "assert not any(m.startswith('tallyframe') for m in sys.modules)"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
 def test_workbooks(spark, tmp_path, rows):
     make_workbook(
         tmp_path / "a.xlsx",
