@@ -4,6 +4,7 @@ import csv
 import io
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,14 +180,18 @@ def apply_types(df, types):
 
 def _first_header(spark, paths, sep):
     """Column names from the first record Spark finds at ``paths``."""
-    first = (
+    reader = (
         spark.read.option("header", False)
         .option("sep", sep)
         .option("escape", '"')
         .option("multiLine", True)
-        .csv(paths)
-        .first()
     )
+    try:
+        first = reader.csv(paths).first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(", ".join(paths)) from error
+        raise
     if first is None:
         raise LoadError(f"Failed to read {paths[0]!r}: No columns to parse from file")
     cells = [cell or "" for cell in first]

@@ -81,7 +81,7 @@ def test_errors(spark, write, tmp_path):
         delimited.read_delimited(spark, write("a.pdf", "x"))
     with pytest.raises(LoadError):
         delimited.read_delimited(spark, write("empty.csv", ""))
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+    with pytest.raises(FileNotFoundError):
         delimited.read_delimited(spark, str(tmp_path / "none.csv"))
 
 
