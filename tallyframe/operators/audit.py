@@ -50,8 +50,9 @@ def count_entries(entries):
 
 def prune_entries(entries, days, now, timestamp="timestamp"):
     """``(kept, removed)``: entries of the last ``days`` days before ``now``, and the count of others."""
-    cutoff = now - timedelta(days=days)
-    expired = F.col(timestamp).cast("timestamp_ntz") < F.lit(cutoff).cast("timestamp_ntz")
+    # As text, since a datetime literal would be moved to the session's time zone.
+    cutoff = F.lit((now - timedelta(days=days)).isoformat(sep=" ")).cast("timestamp_ntz")
+    expired = F.col(timestamp).cast("timestamp_ntz") < cutoff
     removed = entries.agg(F.count_if(expired).alias("removed"))
     return entries.where(~expired), removed
 

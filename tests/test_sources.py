@@ -292,6 +292,17 @@ def test_audit_log(spark, tmp_path, rows):
     assert audit.query_entries(log).first().timestamp == "2024-01-20T00:00:00"
 
 
+def test_pruning_knows_no_time_zone(spark, rows):
+    log = local_table(spark, [(1, "2024-01-14T23:59:59"), (2, "2024-01-15T00:00:00")], "id long, timestamp string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        kept, _ = audit.prune_entries(log, 10, datetime(2024, 1, 25))
+        assert rows(kept, "id") == [(2,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_snapshots(spark, tmp_path, rows):
     path = str(tmp_path / "snap")
     assert snapshots.restore_tables(spark, path) == {}
