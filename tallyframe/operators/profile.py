@@ -157,23 +157,23 @@ def _described(df, columns, numeric, figures):
 def _earliest(df, order_by, n):
     """The first ``n`` rows in order.
 
-    Only the order columns are scanned to find the last of them; the rows are then
-    read with a filter on the first order column that parquet statistics can use.
+    Only the order columns are scanned to find the last of them. Where these are
+    whole numbers or texts, the rows are then read with a filter on the first one
+    that parquet statistics can use.
     """
     order = [col(c).asc_nulls_first() for c in order_by]
     place = F.struct(*map(col, order_by))
-    edge = df.select(*map(col, order_by)).orderBy(*order).limit(n).agg(F.max(place)).first()[0]
+    last = df.select(*map(col, order_by)).orderBy(*order).limit(n).agg(F.max(place).alias("last"))
+    types = [dtype_of(df, c) for c in order_by]
+    if not all(isinstance(t, (*INTEGRAL, T.StringType)) for t in types):
+        return df.where(place <= last.scalar())
+    edge = last.first()[0]
     if edge is None:
         return df.where(F.lit(False))
-    marks = local_table(
-        df.sparkSession, [tuple(edge)], df.select(*map(col, order_by)).schema
-    ).select(F.struct("*").alias("edge"))
-    rows = df.where(place <= marks.scalar())
+    marks = [F.lit(value).cast(t).alias(c) for value, t, c in zip(edge, types, order_by)]
+    rows = df.where(place <= F.struct(*marks))
     lead = col(order_by[0])
-    simple = isinstance(dtype_of(df, order_by[0]), (*INTEGRAL, T.StringType))
-    if simple and edge[0] is not None:
-        rows = rows.where((lead <= F.lit(edge[0])) | lead.isNull())
-    return rows
+    return rows if edge[0] is None else rows.where((lead <= marks[0]) | lead.isNull())
 
 
 def example_values(df, order_by, columns=None, count=EXAMPLE_COUNT, scan=EXAMPLE_SCAN_ROWS):

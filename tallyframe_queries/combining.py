@@ -1,3 +1,5 @@
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallyframe.operators import combine
@@ -72,6 +74,19 @@ def consolidated(spark, folder):
     return combine.consolidate(sources(spark, folder), STAMP)
 
 
+def header_groups(spark, folder):
+    """Per header group its sources and all their rows."""
+    listed = sources(spark, folder)
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("rows")).withColumn("source_file", F.lit(file))
+        for file, _, df in listed
+    ]
+    rows = reduce(lambda a, b: a.unionAll(b), counts)
+    return combine.header_group_table(spark, listed).join(rows, "source_file").groupBy(
+        F.col("group_index").cast("bigint").alias("group_index"), "columns"
+    ).agg(F.count(F.lit(1)).alias("sources"), F.sum("rows").alias("rows"))
+
+
 def consolidate_report(spark, folder):
     listed = sources(spark, folder)
     report = combine.consolidation_report(spark, listed, combine.consolidate(listed, STAMP))
@@ -118,6 +133,13 @@ QUERIES = {
         " 'customer' AS \"Source File\" FROM customer UNION ALL"
         " SELECT p_brand, CAST(p_partkey AS DOUBLE) + 0.5, 'part' FROM part",
     ),
+    "header_groups": (
+        header_groups,
+        "SELECT CAST(0 AS BIGINT) AS group_index, 'id, name, balance' AS columns,"
+        " CAST(2 AS BIGINT) AS sources, (SELECT count(*) FROM customer)"
+        " + (SELECT count(*) FROM supplier) AS rows UNION ALL"
+        " SELECT 1, 'id, name', 1, count(*) FROM part",
+    ),
     "consolidate": (
         consolidated,
         STAMPED.format("customer", sql(PARTY))

@@ -72,6 +72,18 @@ def test_examples_of_sparse_columns_lie_beyond_the_head(spark, monkeypatch):
     assert two == {"rare": ["599", "899"]}
 
 
+def test_examples_ordered_by_instants_in_any_time_zone(spark, monkeypatch):
+    monkeypatch.setattr(profile, "EXAMPLE_HEAD_ROWS", 3)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.range(20).selectExpr("timestamp_seconds(id) AS at", "19 - id AS v")
+        found = profile.example_values(df, "at", ["v"], scan=3).first()
+        assert found.examples == ["19", "18", "17"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_report_table(frame):
     df = frame(
         "ID long, Name string, Score double",
