@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name: (function of session and folder, checking SQL)."""
 
-from tallyframe.llm import quality_rules
+from tallyframe.llm import mixing, quality_rules
 from tallyframe.llm.common import table
 
 
@@ -8,6 +8,11 @@ def op1_quality_rules(spark, folder):
     return quality_rules.quality_table(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_mixing(spark, folder):
+    return mixing.mix_table(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
+    "op2_mixing": (op2_mixing, None),
 }
