@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name: (function of session and folder, checking SQL)."""
 
-from tallyframe.llm import mixing, quality_rules
+from tallyframe.llm import mixing, packing, quality_rules, secret_scan
 from tallyframe.llm.common import table
 
 
@@ -12,7 +12,17 @@ def op2_mixing(spark, folder):
     return mixing.mix_table(table(spark, folder, "documents"))
 
 
+def op5_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op9_secret_scan(spark, folder):
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_mixing": (op2_mixing, None),
+    "op5_packing": (op5_packing, None),
+    "op9_secret_scan": (op9_secret_scan, None),
 }
