@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name: (function of session and folder, checking SQL)."""
 
-from tallyframe.llm import mixing, packing, quality_rules, secret_scan
+from tallyframe.llm import language_id, mixing, packing, quality_rules, secret_scan, sharding
 from tallyframe.llm.common import table
 
 
@@ -12,10 +12,18 @@ def op2_mixing(spark, folder):
     return mixing.mix_table(table(spark, folder, "documents"))
 
 
+def op3_language_id(spark, folder):
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def op5_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op8_sharding(spark, folder):
+    return sharding.shard(table(spark, folder, "documents"))
+
+
 def op9_secret_scan(spark, folder):
     return secret_scan.scan(table(spark, folder, "documents"))
 
@@ -23,6 +31,8 @@ def op9_secret_scan(spark, folder):
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_mixing": (op2_mixing, None),
+    "op3_language_id": (op3_language_id, None),
     "op5_packing": (op5_packing, None),
+    "op8_sharding": (op8_sharding, None),
     "op9_secret_scan": (op9_secret_scan, None),
 }
