@@ -1,5 +1,6 @@
 """Helpers the corpus operators share."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -63,3 +64,63 @@ def running_start(df, groups, bucket, order, amount, name):
     return joined.withColumn(name, F.col("_before") + F.col("_within")).drop(
         "_before", "_within", *[f"_k{i}" for i in range(len(keys))]
     )
+
+
+def runs(batches):
+    """Arrow batches sorted by their first column, a long: (table, starts of runs) pieces of whole runs.
+
+    Runs have to be of bounded length, as the last one is held back until its end is seen.
+    """
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = part if rest is None else pa.concat_tables([rest, part]).combine_chunks()
+        keys = part.column(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        if len(starts) > 1:
+            yield part.slice(0, starts[-1]).combine_chunks(), starts
+        rest = part.slice(starts[-1])
+    if rest is not None:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
+def forest(left, right, nodes):
+    """Roots (smallest member) of ``nodes`` nodes under the links left[i] - right[i], in numpy."""
+    root = np.arange(nodes)
+    while True:
+        low = np.minimum(root[left], root[right])
+        before = root.copy()
+        np.minimum.at(root, root[left], low)
+        np.minimum.at(root, root[right], low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def components(links):
+    """(node, root) for every node of ``links`` (a, b): the smallest node reachable.
+
+    Alternates two star operations until nothing changes: every node's larger neighbours, then its
+    smaller ones, are linked to its smallest. A node may have any number of links: neighbours are only
+    aggregated and joined, and adaptive execution splits the joins. Every round is written down.
+    """
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = staged(links.distinct(), "links")
+    state = None
+    while True:
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state or not now[0]:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+                links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            )
+        state = now
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(F.col("a").alias("_a")).agg(F.least(F.min("b"), F.min("a")).alias("_low"))
+        large = both.where("b > a").join(low, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("_low").alias("b"))
+        large = staged(large.where("a <> b").distinct(), "links")
+        low = large.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_low"))
+        moved = large.join(low, F.col("a") == F.col("_a")).where("b <> _low").select(F.col("b").alias("a"), F.col("_low").alias("b"))
+        kept = low.select(F.col("_a").alias("a"), F.col("_low").alias("b"))
+        links = staged(moved.unionByName(kept).distinct(), "links")

@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name: (function of session and folder, checking SQL)."""
 
-from tallyframe.llm import language_id, mixing, packing, quality_rules, secret_scan, sharding
+from tallyframe.llm import embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, sharding
 from tallyframe.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_language_id(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
 
 
+def op4_embedding_dedup(spark, folder):
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op5_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_mixing": (op2_mixing, None),
     "op3_language_id": (op3_language_id, None),
+    "op4_embedding_dedup": (op4_embedding_dedup, None),
     "op5_packing": (op5_packing, None),
     "op8_sharding": (op8_sharding, None),
     "op9_secret_scan": (op9_secret_scan, None),
