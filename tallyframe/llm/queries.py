@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name: (function of session and folder, checking SQL)."""
 
-from tallyframe.llm import embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, sharding
+from tallyframe.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality_rules, secret_scan, sharding
 from tallyframe.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op6_minhash_dedup(spark, folder):
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_sharding(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_language_id": (op3_language_id, None),
     "op4_embedding_dedup": (op4_embedding_dedup, None),
     "op5_packing": (op5_packing, None),
+    "op6_minhash_dedup": (op6_minhash_dedup, None),
     "op8_sharding": (op8_sharding, None),
     "op9_secret_scan": (op9_secret_scan, None),
 }
