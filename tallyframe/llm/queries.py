@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name: (function of session and folder, checking SQL)."""
 
-from tallyframe.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality_rules, secret_scan, sharding
+from tallyframe.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality_rules, secret_scan, sharding, toxicity
 from tallyframe.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_minhash_dedup(spark, folder):
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_toxicity(spark, folder):
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_sharding(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_embedding_dedup": (op4_embedding_dedup, None),
     "op5_packing": (op5_packing, None),
     "op6_minhash_dedup": (op6_minhash_dedup, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op8_sharding": (op8_sharding, None),
     "op9_secret_scan": (op9_secret_scan, None),
 }
