@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name: (function of session and folder, checking SQL)."""
 
-from tallyframe.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality_rules, secret_scan, sharding, toxicity
+from tallyframe.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity
 from tallyframe.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op9_secret_scan(spark, folder):
     return secret_scan.scan(table(spark, folder, "documents"))
 
 
+def op10_suffix_dedup(spark, folder):
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_mixing": (op2_mixing, None),
@@ -50,4 +54,5 @@ QUERIES = {
     "op7_toxicity": (op7_toxicity, None),
     "op8_sharding": (op8_sharding, None),
     "op9_secret_scan": (op9_secret_scan, None),
+    "op10_suffix_dedup": (op10_suffix_dedup, None),
 }
