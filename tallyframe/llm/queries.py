@@ -1,5 +1,6 @@
 """The queries of the corpus operators, by name: (function of session and folder, checking SQL)."""
 
+import corpus_pipeline
 from tallyframe.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity
 from tallyframe.llm.common import table
 
@@ -55,4 +56,5 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
