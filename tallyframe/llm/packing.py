@@ -13,11 +13,13 @@ input are ignored. Sequence ids are unique; their gaps tell the tasks apart. A t
 reads the same rows and packs them alike, as long as its input is stored (a table, files).
 """
 
+import itertools
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 
 from tallyframe.llm.common import utf8
@@ -25,8 +27,9 @@ from tallyframe.llm.common import utf8
 LENGTH = 4096
 END_ID = 2
 OPEN_WINDOWS = 2048  # open at most in a task; beyond, their contents are cut into full sequences
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 CACHED_BYTES = 64  # longest word that is remembered
+STEP_BYTES = 1 << 20  # of text, or one longer document, encoded at a time
 
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -38,13 +41,29 @@ def vocabulary(name="word_bpe_49k.json"):
     return public_tokenizers.path(name)
 
 
+class Grown:
+    """A numpy array that values are appended to."""
+
+    def __init__(self, values, kind):
+        self.data, self.size = np.array(values, kind), len(values)
+
+    def append(self, values):
+        size = self.size + len(values)
+        if size > len(self.data):
+            self.data = np.concatenate([self.data, np.empty(max(size, len(self.data)), self.data.dtype)])
+        self.data[self.size : size] = values
+        self.size = size
+
+
 class Encoder:
     """Ids of whole texts, one word at a time.
 
     The tokenizer never joins characters across the white space that separates words, so the ids of a
-    text are those of its words; each new word is encoded once.
+    text are those of its words; each new word is encoded once, as long as a worker remembers it.
     """
 
+    opened = {}
+
     def __init__(self, path, end_id=END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -52,10 +71,17 @@ class Encoder:
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.clear()
 
+    @classmethod
+    def of(cls, path, end_id=END_ID):
+        """The worker's encoder, which outlives a task."""
+        if (path, end_id) not in cls.opened:
+            cls.opened[path, end_id] = cls(path, end_id)
+        return cls.opened[path, end_id]
+
     def clear(self):
         self.index = {None: 0}  # None ends a text
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.ids = np.array([self.end_id], np.uint32)
+        self.starts, self.lengths = Grown([0], np.int64), Grown([1], np.int64)
+        self.ids = Grown([self.end_id], np.uint32)
 
     def _learn(self, words):
         encoded = self.tokenizer.encode_batch_fast(
@@ -63,32 +89,35 @@ class Encoder:
         )
         encoded = [e.ids for e in encoded]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.uint32, lengths.sum())])
-        self.index.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.index.update(zip(words, range(self.starts.size, self.starts.size + len(words))))
+        self.starts.append(self.ids.size + np.cumsum(lengths) - lengths)
+        self.lengths.append(lengths)
+        self.ids.append(np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, lengths.sum()))
 
     def encode(self, texts):
         """A list of id arrays, each with the end id, for a list of UTF-8 texts or None."""
-        if len(self.index) > CACHED_WORDS:
+        if self.starts.size > CACHED_WORDS:
             self.clear()
         words, ends = [], []
         for text in texts:
             words += (text or b"").split()
             words.append(None)
             ends.append(len(words))
-        new = list(set(words).difference(self.index))
-        if new:
+        at = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(words[i] for i in unknown))
             self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
+            at[unknown] = [self.index[words[i]] for i in unknown]
+            for word in new:
+                if len(word) > CACHED_BYTES:
+                    del self.index[word]
+        lengths = self.lengths.data[at]
         stops = np.cumsum(lengths)
-        places = np.arange(stops[-1] if len(stops) else 0) + np.repeat(self.starts[at] - (stops - lengths), lengths)
-        ids = self.ids[places]
+        places = np.arange(stops[-1] if len(stops) else 0)
+        places += np.repeat(self.starts.data[at] - (stops - lengths), lengths)
+        ids = self.ids.data[places]
         bounds = [0, *(int(stops[e - 1]) for e in ends)]
-        for word in new:
-            if word is not None and len(word) > CACHED_BYTES:
-                del self.index[word]
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
@@ -107,7 +136,8 @@ class Packer:
         for start in range(0, whole, self.length):
             self.emit([(doc, start, ids[start : start + self.length], total)])
         if whole < total:
-            self._place((doc, whole, ids[whole:], total))
+            # Copied, as a slice would keep all that was encoded with it.
+            self._place((doc, whole, ids[whole:].astype(np.uint16 if ids.max() < 1 << 16 else np.uint32), total))
 
     def _place(self, piece):
         size, length = len(piece[2]), self.length
@@ -156,6 +186,15 @@ class Packer:
             self._place(piece)
 
 
+def steps(batch):
+    """The batch in pieces of about ``STEP_BYTES`` of text, as a text's words take many times its size."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    step = np.cumsum(sizes, dtype=np.int64) // STEP_BYTES
+    starts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+    for a, b in zip(starts, np.append(starts[1:], len(sizes))):
+        yield batch.slice(a, b - a)
+
+
 def pack(docs, path=None, length=LENGTH, end_id=END_ID, with_ids=False):
     """One row per piece of a document; ``with_ids`` adds the piece's ids, little-endian 32-bit, as binary."""
     path = path or vocabulary()
@@ -164,7 +203,7 @@ def pack(docs, path=None, length=LENGTH, end_id=END_ID, with_ids=False):
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
-        encoder, rows = Encoder(path, end_id), []
+        encoder, rows = Encoder.of(path, end_id), []
         number = TaskContext.get().partitionId() << 40
         doc_type = None
 
@@ -187,9 +226,12 @@ def pack(docs, path=None, length=LENGTH, end_id=END_ID, with_ids=False):
 
         packer = Packer(emit, length)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             doc_type = batch.schema.field(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(utf8(batch.column(1)))):
-                packer.add(doc, ids)
+            for part in steps(batch):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(utf8(part.column(1)))):
+                    packer.add(doc, ids)
             yield ready()
         if doc_type is not None:
             packer.flush()
