@@ -25,6 +25,7 @@ from tallyframe.plans.specs import workflow_from
 from tallyframe.plans.workflow import run_tagged
 from tallyframe.session import build_session, shared_folder
 from tallyframe.sources.delimited import read_delimited
+from tallyframe.sources.files import POSITION_COLUMNS
 from tallyframe.sources.parquet import read_parquet
 from tallyframe.sources.reports import write_table
 
@@ -34,7 +35,7 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 CACHE = os.environ.get("BENCH_CACHE", "1") == "1"
 
 KEYS = ["l_orderkey", "l_linenumber"]
-CSV_COLUMNS = ["row_id", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"]
+CSV_COLUMNS = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"]
 THREE_RULES = [
     rules.Rule("required", "l_orderkey"),
     rules.Rule("dtype_numeric", "l_returnflag"),
@@ -63,7 +64,7 @@ def loaded(df):
 
 
 def headline(spark):
-    lines = loaded(read_parquet(spark, f"{FOLDER}/lineitem.parquet", "row_id"))
+    lines = loaded(read_parquet(spark, f"{FOLDER}/lineitem.parquet", positions=True))
     orders = loaded(spark.read.parquet(f"{FOLDER}/orders.parquet"))
     part = loaded(spark.read.parquet(f"{FOLDER}/part.parquet"))
     raised = lines.withColumn("l_extendedprice", F.col("l_extendedprice") + 1)
@@ -78,15 +79,16 @@ def headline(spark):
     return {
         "load_csv_and_profile": load_and_profile,
         "profile": lambda: run(profile.profile_columns(lines, CSV_COLUMNS, per_column=True)),
-        "duplicate_mask": lambda: run(dedupe.mark_duplicates(lines, KEYS, "row_id")),
+        "duplicate_mask": lambda: run(dedupe.mark_duplicates(lines, KEYS, POSITION_COLUMNS)),
+        "duplicate_mask_narrow": lambda: run(dedupe.duplicate_mask(lines, KEYS, POSITION_COLUMNS)),
         "duplicate_report": lambda: run(dedupe.duplicate_report(lines, KEYS)),
-        "remove_duplicates": lambda: run(dedupe.drop_duplicates(lines, KEYS, "row_id")),
+        "remove_duplicates": lambda: run(dedupe.drop_duplicates(lines, KEYS, POSITION_COLUMNS)),
         "remove_duplicates_highest": lambda: run(
-            dedupe.drop_duplicates(lines, KEYS, "row_id", "highest", "l_extendedprice")
+            dedupe.drop_duplicates(lines, KEYS, POSITION_COLUMNS, "highest", "l_extendedprice")
         ),
         "validate_three_rules": lambda: run(rules.validation_summary(lines, THREE_RULES)),
-        "validate_unique": lambda: run(rules.validate(lines, [rules.Rule("unique", "l_partkey")], "row_id")),
-        "compare_all_modified": lambda: run(compare.compare_tables(lines, raised, ["row_id"])),
+        "validate_unique": lambda: run(rules.validate(lines, [rules.Rule("unique", "l_partkey")], POSITION_COLUMNS)),
+        "compare_all_modified": lambda: run(compare.compare_tables(lines, raised, KEYS)),
         "compare_orders_summary": lambda: run(
             compare.compare_summary(compare.compare_tables(orders, later, ["o_orderkey"]), ["o_orderkey"])
         ),
@@ -105,7 +107,7 @@ def headline(spark):
             combine.join_tables(orders.withColumnRenamed("o_orderkey", "l_orderkey"), lines, ["l_orderkey"], "outer")
         ),
         "union": lambda: run(combine.union_tables([lines, raised], ["a", "b"])),
-        "workflow_by_source": lambda: [run(df) for df in run_tagged(lines, STEPS, "row_id", "l_returnflag")],
+        "workflow_by_source": lambda: [run(df) for df in run_tagged(lines, STEPS, POSITION_COLUMNS, "l_returnflag")],
     }
 
 

@@ -94,11 +94,32 @@ def match_key(df, name, dtype, ignore_case=False, ignore_whitespace=False):
     return key + F.lit(0.0).cast(dtype) if isinstance(dtype, FLOATING) else key
 
 
+def _whole_and_floating(a, b):
+    return any(isinstance(x, INTEGRAL) and isinstance(y, FLOATING) for x, y in ((a, b), (b, a)))
+
+
+def _exact_key(df, name):
+    """A whole number or a double as text, equal only for equal numbers.
+
+    As doubles, whole numbers beyond 2 ** 53 would meet their neighbours.
+    """
+    value = value_of(df, name)
+    if isinstance(dtype_of(df, name), INTEGRAL):
+        return value.cast("string")
+    value = value.cast("double")
+    whole = F.when((value % 1 == 0) & (F.abs(value) < 2.0**63), value).try_cast("bigint")
+    return F.coalesce(whole.cast("string"), value.cast("string"))
+
+
 def match_keys(left, right, names, ignore_case=False, ignore_whitespace=False):
     """``(left keys, right keys)`` as prepared columns of a common type per name."""
     pairs = []
     for name in names:
-        dtype = common_type(dtype_of(left, name), dtype_of(right, name))
+        types = dtype_of(left, name), dtype_of(right, name)
+        if not (ignore_case or ignore_whitespace) and _whole_and_floating(*types):
+            pairs.append((_exact_key(left, name), _exact_key(right, name)))
+            continue
+        dtype = common_type(*types)
         pairs.append(
             tuple(match_key(df, name, dtype, ignore_case, ignore_whitespace) for df in (left, right))
         )

@@ -1,6 +1,7 @@
 """Predicates that decide whether a text is a number, a date, or matches a pattern."""
 
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,22 +85,82 @@ def is_not_date(df, name, formats=DATE_FORMATS):
 def spark_pattern(pattern):
     """A Python pattern, matched at the start of the text, as a Spark ``rlike`` pattern.
 
-    Named groups and ``\\Z`` are spelled differently in Java; the flags make ``\\d``,
-    ``\\w``, ``\\s`` cover Unicode and ``$`` and ``.`` know only ``\\n``, as in Python.
+    Spelled differently in Java: named groups, ``\\Z``, ``\\N{...}``, ``{,n}``, braces that are no
+    quantifier, and ``[`` or ``&&`` inside a class. The flags make ``\\d``, ``\\w``, ``\\s`` cover Unicode
+    and ``$`` and ``.`` know only ``\\n``, as in Python. What Java lacks is rejected here, before any job.
     """
     try:
         re.compile(pattern)
     except re.error as error:
         raise ValueError(f"Invalid regex pattern {pattern!r}: {error}") from error
-    if "(?(" in pattern:
-        raise ValueError(f"Conditional groups are not supported: {pattern!r}")
-    java = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', 'U')}>", pattern)
-    java = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', 'U')}>", java)
-    java = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", java)
-    return rf"(?dU)\A(?:{java})"
+    out, at, in_class, class_start = [], 0, False, 0
+    while at < len(pattern):
+        rest = pattern[at:]
+        if rest.startswith("\\"):
+            named = re.match(r"\\N\{([^}]*)\}", rest)
+            if named:
+                piece, size = re.escape(unicodedata.lookup(named[1])), len(named[0])
+            elif rest.startswith("\\Z") and not in_class:
+                piece, size = r"\z", 2
+            else:
+                piece, size = rest[:2], 2
+        elif in_class:
+            first = at == class_start
+            if rest[0] == "]" and not first:
+                in_class, piece = False, "]"
+            else:
+                piece = "\\" + rest[0] if rest[0] in "[&]" else rest[0]
+            size = 1
+        elif rest[0] == "[":
+            in_class = True
+            piece = "[^" if rest.startswith("[^") else "["
+            size = len(piece)
+            class_start = at + size
+        elif rest[0] == "{":
+            quantifier = re.match(r"\{(\d*)(,?)(\d*)\}", rest)
+            if quantifier and (quantifier[1] or quantifier[2]) and quantifier[0] != "{}":
+                low, comma, high = quantifier.groups()
+                piece, size = "{" + (low or "0") + comma + high + "}", len(quantifier[0])
+            else:
+                piece, size = r"\{", 1
+        elif rest[0] == "}":
+            piece, size = r"\}", 1
+        elif rest.startswith("(?P<"):
+            name = re.match(r"\(\?P<(\w+)>", rest)
+            piece, size = f"(?<{_java_name(name[1])}>", len(name[0])
+        elif rest.startswith("(?P="):
+            name = re.match(r"\(\?P=(\w+)\)", rest)
+            piece, size = rf"\k<{_java_name(name[1])}>", len(name[0])
+        elif rest.startswith("(?("):
+            raise ValueError(f"Conditional groups are not supported: {pattern!r}")
+        elif flags := re.match(r"\(\?([aiLmsux]+)[:)-]", rest):
+            if set(flags[1]) & set("aLu"):
+                raise ValueError(f"Flags a, L and u are not supported: {pattern!r}")
+            piece, size = rest[:2], 2
+        else:
+            piece, size = rest[0], 1
+        out.append(piece)
+        at += size
+    return rf"(?dU)\A(?:{''.join(out)})"
+
+
+def _java_name(name):
+    return re.sub(r"[^A-Za-z0-9]", "U", name)
+
+
+def _compiled(spark, pattern, java, known=set()):
+    """Reject a pattern that Java cannot compile; one row tells."""
+    if java not in known:
+        try:
+            spark.range(1).select(F.concat(F.col("id").cast("string")).rlike(java)).collect()
+        except Exception as error:
+            raise ValueError(f"Spark cannot compile the pattern {pattern!r}: {error}") from error
+        known.add(java)
 
 
 def does_not_match(df, name, pattern):
     """A filled cell whose text does not match ``pattern`` from its start."""
+    java = spark_pattern(pattern)
+    _compiled(df.sparkSession, pattern, java)
     text = value_of(df, name).cast("string")
-    return F.coalesce(~text.rlike(spark_pattern(pattern)), F.lit(False))
+    return F.coalesce(~text.rlike(java), F.lit(False))

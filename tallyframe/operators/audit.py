@@ -12,10 +12,6 @@ from tallyframe.operators.search import search_rows
 ENTRY_SCHEMA = "id long, timestamp string, file_key string, sheet_name string, operation string"
 SEARCHED = ("file_key", "sheet_name", "operation")
 
-# Rows shown by a query and rows in an export.
-QUERY_LIMIT = 500
-EXPORT_LIMIT = 10_000
-
 
 def append_entries(spark, path, entries, at):
     """Append ``[(file_key, sheet_name, operation), ...]`` made at the datetime ``at``.
@@ -37,11 +33,12 @@ def append_entries(spark, path, entries, at):
     ).partitionBy("day").parquet(path)
 
 
-def query_entries(entries, search=None, limit=QUERY_LIMIT, columns=SEARCHED, newest="id"):
-    """Newest first, at most ``limit``; ``search`` looks into ``columns``, case aside."""
+def query_entries(entries, search=None, limit=None, columns=SEARCHED, newest="id"):
+    """Newest first, all of them unless ``limit`` is given; ``search`` looks into ``columns``, case aside."""
     require_columns(entries, [*columns, newest])
     found = search_rows(entries, search, columns) if search else entries
-    return found.orderBy(F.col(newest).desc()).limit(limit)
+    ordered = found.orderBy(F.col(newest).desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def count_entries(entries):
@@ -49,16 +46,25 @@ def count_entries(entries):
 
 
 def prune_entries(entries, days, now, timestamp="timestamp"):
-    """``(kept, removed)``: entries of the last ``days`` days before ``now``, and the count of others."""
+    """``(kept, removed)``: entries of the last ``days`` days before ``now``, and the count of others.
+
+    Entries without a timestamp are kept, as nothing says they are old. Of a log laid out by day, only
+    the files of days that may be kept are read for the rows, and none for older days.
+    """
     # As text, since a datetime literal would be moved to the session's time zone.
-    cutoff = F.lit((now - timedelta(days=days)).isoformat(sep=" ")).cast("timestamp_ntz")
-    expired = F.col(timestamp).cast("timestamp_ntz") < cutoff
+    edge = now - timedelta(days=days)
+    cutoff = F.lit(edge.isoformat(sep=" ")).cast("timestamp_ntz")
+    expired = F.coalesce(F.col(timestamp).cast("timestamp_ntz") < cutoff, F.lit(False))
     removed = entries.agg(F.count_if(expired).alias("removed"))
-    return entries.where(~expired), removed
+    kept = entries.where(~expired)
+    if "day" in entries.columns:
+        day = F.col("day").cast("string")
+        kept = kept.where(day.isNull() | (day >= edge.date().isoformat()))
+    return kept, removed
 
 
-def audit_export(entries, limit=EXPORT_LIMIT):
-    """The export table: newest entries under their display names."""
+def audit_export(entries, limit=None):
+    """The export table: entries under their display names, newest first."""
     return query_entries(entries, limit=limit).select(
         F.col("timestamp").alias("Timestamp"),
         F.col("file_key").alias("File"),

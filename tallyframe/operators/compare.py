@@ -7,7 +7,7 @@ sides are paired with each other, as in any equi-join.
 
 from pyspark.sql import functions as F
 
-from tallyframe.errors import require_columns, require_some
+from tallyframe.errors import require_columns, require_distinct, require_some
 from tallyframe.functions.columns import any_of, col, common_type, dtype_of, known, match_keys
 from tallyframe.operators.skew import LEFT_TAG, RIGHT_TAG, skew_join
 
@@ -17,7 +17,7 @@ MISSING, NEW, MODIFIED, UNCHANGED = (
 
 
 def _check(master, second, keys):
-    require_some(keys, "At least one key column is required to compare tables.")
+    require_some(keys, "Comparing tables takes at least one key column.")
     require_columns(master, keys, "Master key column")
     require_columns(second, keys, "Second key column")
 
@@ -73,6 +73,9 @@ def compare_tables(
         key_columns.append(
             F.when(F.col(LEFT_TAG), at_left[name].cast(wide)).otherwise(at_right[name].cast(wide)).alias(name)
         )
+    rest = [c for t in (master, second) for c in t.columns if c not in keys and c not in shared]
+    both = [f"{n}_{side}" for n in shared for side in ("master", "second")]
+    require_distinct([*keys, "status", "changed_columns", *both, *rest])
     return pairs.select(
         *key_columns,
         status.alias("status"),

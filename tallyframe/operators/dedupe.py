@@ -6,9 +6,8 @@ row id, or any column list that identifies a row). Nulls are equal to each other
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyframe.errors import require_columns, require_some
+from tallyframe.errors import require_columns, require_free, require_some
 from tallyframe.functions.columns import (
     all_of, col, is_numeric, match_key, rounded_percent, value_of,
 )
@@ -17,10 +16,10 @@ KEEP_STRATEGIES = ("first", "last", "highest")
 
 
 def _check(df, keys, order_by, keep):
-    require_some(keys, "At least one column must be selected to find duplicates.")
+    require_some(keys, "Duplicates need at least one key column.")
     require_columns(df, [*keys, *order_by])
     if keep not in KEEP_STRATEGIES:
-        raise ValueError(f"Unknown keep strategy: {keep!r}; expected one of {KEEP_STRATEGIES}")
+        raise ValueError(f"keep={keep!r} is none of {KEEP_STRATEGIES}")
 
 
 def _names(value):
@@ -70,7 +69,7 @@ def drop_duplicates(df, keys, order_by, keep="first", rank_by=None):
     """
     keys, order_by = _names(keys), _names(order_by)
     _check(df, keys, order_by, keep)
-    require_some(order_by, "order_by is required: Spark rows have no order of their own.")
+    require_some(order_by, "Name the columns that order the rows (order_by).")
     return _kept(df, keys, order_by, keep, rank_by)
 
 
@@ -81,19 +80,8 @@ def mark_duplicates(df, keys, order_by, keep="first", rank_by=None, mask="is_dup
     rows are shuffled once, on key plus row order, so a hot key is spread evenly.
     """
     keys, order_by = _names(keys), _names(order_by)
-    _check(df, keys, order_by, keep)
-    require_some(order_by, "order_by is required: Spark rows have no order of their own.")
-    if keep in ("first", "last") and len(order_by) == 1:
-        pick = F.min if keep == "first" else F.max
-        kept = df.groupBy(*[k.alias(f"__kept_{i}") for i, k in enumerate(_keys(df, keys))]).agg(
-            pick(col(order_by[0])).alias("__kept_at_0")
-        )
-    else:
-        kept = _kept(df, keys, order_by, keep, rank_by).select(
-            *[k.alias(f"__kept_{i}") for i, k in enumerate(_keys(df, keys))],
-            *[col(c).alias(f"__kept_at_{i}") for i, c in enumerate(order_by)],
-        )
-    kept = kept.withColumn("__is_kept", F.lit(True))
+    require_free(df, [mask])
+    kept = _kept_places(df, keys, order_by, keep, rank_by).withColumn("__is_kept", F.lit(True))
     same = all_of(
         [k.eqNullSafe(F.col(f"__kept_{i}")) for i, k in enumerate(_keys(df, keys))]
         + [col(c).eqNullSafe(F.col(f"__kept_at_{i}")) for i, c in enumerate(order_by)]
@@ -103,6 +91,37 @@ def mark_duplicates(df, keys, order_by, keep="first", rank_by=None, mask="is_dup
     )
 
 
+def _kept_places(df, keys, order_by, keep, rank_by):
+    """``__kept_<i>, __kept_at_<i>``: keys and order columns of the rows that stay, one per key."""
+    _check(df, keys, order_by, keep)
+    require_some(order_by, "Name the columns that order the rows (order_by).")
+    if keep in ("first", "last") and len(order_by) == 1:
+        pick = F.min if keep == "first" else F.max
+        return df.groupBy(*[k.alias(f"__kept_{i}") for i, k in enumerate(_keys(df, keys))]).agg(
+            pick(col(order_by[0])).alias("__kept_at_0")
+        )
+    return _kept(df, keys, order_by, keep, rank_by).select(
+        *[k.alias(f"__kept_{i}") for i, k in enumerate(_keys(df, keys))],
+        *[col(c).alias(f"__kept_at_{i}") for i, c in enumerate(order_by)],
+    )
+
+
+def duplicate_mask(df, keys, order_by, keep="first", rank_by=None, mask="is_duplicate"):
+    """The mask alone: the order columns, which must identify a row in the whole table, and its flag.
+
+    Only key, order and rank columns are read and shuffled; no row is joined.
+    """
+    keys, order_by = _names(keys), _names(order_by)
+    _check(df, keys, order_by, keep)
+    require_some(order_by, "Name the columns that order the rows (order_by).")
+    require_free(df.select(*map(col, order_by)), [mask])
+    places = _kept_places(df, keys, order_by, keep, rank_by)
+    kept = places.select(*[F.col(f"__kept_at_{i}").alias(c) for i, c in enumerate(order_by)], F.lit(False).alias("__m"))
+    rows = df.select(*map(col, order_by), F.lit(True).alias("__m"))
+    # A row identified by its order columns is flagged unless it is among those that stay.
+    return rows.unionAll(kept).groupBy(*map(col, order_by)).agg(F.min("__m").alias(mask))
+
+
 def duplicate_rows(df, keys, order_by, keep="first", rank_by=None):
     """Only the flagged rows."""
     flagged = mark_duplicates(df, keys, order_by, keep, rank_by, mask="__flag")
@@ -136,5 +155,4 @@ def duplicate_report(df, keys, keep="first"):
 
 def full_row_duplicates(df):
     """One row: how many rows repeat an earlier row in every column."""
-    groupable = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    return count_duplicates(df, groupable)
+    return count_duplicates(df, df.columns)

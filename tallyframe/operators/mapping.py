@@ -14,12 +14,12 @@ class ColumnMapping(NamedTuple):
 def _reject_repeats(names, what):
     repeated = sorted({n for n in names if names.count(n) > 1})
     if repeated:
-        raise ValueError(f"{what} column(s) mapped more than once: {repeated}")
+        raise ValueError(f"{what} columns named twice: {repeated}")
 
 
 def map_columns(df, mappings, keep_unmapped=False):
     """Mapped columns under their new names, in mapping order, then the unmapped ones if kept."""
-    require_some(mappings, "At least one column mapping is required.")
+    require_some(mappings, "The mapping is empty.")
     pairs = [ColumnMapping(*m) for m in mappings]
     sources = [p.source_column for p in pairs]
     require_columns(df, sources, "Source column")

@@ -13,17 +13,14 @@ from pyspark.sql import types as T
 
 from tallyframe.errors import require_columns, require_some
 from tallyframe.functions.columns import (
-    FLOATING, INTEGRAL, blank, col, dtype_of, is_numeric, percent, rounded_percent, value_of,
+    FLOATING, blank, col, dtype_of, is_numeric, percent, rounded_percent, value_of,
 )
 from tallyframe.functions.local import local_table
 
-# How many cells are looked at for examples, and how many are shown.
-EXAMPLE_SCAN_ROWS = 200
+# How many examples are shown.
 EXAMPLE_COUNT = 5
 REPORT_EXAMPLE_COUNT = 3
 
-EXAMPLE_HEAD_ROWS = 4096
-
 
 def _cell(df, name):
     value = value_of(df, name)
@@ -37,9 +34,19 @@ def _cell(df, name):
     return value.cast("string")
 
 
-def _cells(df, columns):
+def _cells(df, columns, place=()):
     cells = F.array(*[_cell(df, c) for c in columns])
-    return df.select(F.posexplode(cells).alias("ordinal", "value"))
+    return df.select(*place, F.posexplode(cells).alias("ordinal", "value"))
+
+
+def _distinct(df, columns, order_by=()):
+    """Each column's distinct texts with their counts and, given an order, their first place."""
+    if not order_by:
+        return _cells(df, columns).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(*map(col, order_by)) if len(order_by) > 1 else col(order_by[0])
+    return _cells(df, columns, [place.alias("place")]).groupBy("ordinal", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("place")
+    )
 
 
 def _per_column(columns, values):
@@ -69,10 +76,13 @@ def profile_columns(df, columns=None, per_column=False):
             for i, (name, is_num) in enumerate(zip(columns, numeric))
         ]
         return _described(df, columns, numeric, reduce(lambda a, b: a.unionAll(b), figures))
+    return _described(df, columns, numeric, _figures(_distinct(df, columns), columns, numeric))
+
+
+def _figures(distinct, columns, numeric):
     present = F.col("value").isNotNull()
-    distinct = _cells(df, columns).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
     number = F.when(_per_column(columns, numeric), F.col("value").try_cast("double"))
-    figures = distinct.groupBy("ordinal").agg(
+    return distinct.groupBy("ordinal").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("null_count"),
         F.count("value").alias("unique_count"),
@@ -81,7 +91,6 @@ def profile_columns(df, columns=None, per_column=False):
         F.min(number).alias("min_value"),
         F.max(number).alias("max_value"),
     )
-    return _described(df, columns, numeric, figures)
 
 
 def _column_figures(df, ordinal, name, numeric):
@@ -154,69 +163,23 @@ def _described(df, columns, numeric, figures):
     )
 
 
-def _earliest(df, order_by, n):
-    """The first ``n`` rows in order.
+def _examples(distinct, count):
+    """``ordinal, examples``: each column's first distinct texts; a task passes on ``count`` per column."""
+    first = Window.partitionBy("ordinal").orderBy("place")
+    ranked = distinct.where("value IS NOT NULL").withColumn("rank", F.row_number().over(first))
+    texts = F.array_sort(F.collect_list(F.struct("rank", "value")))
+    return ranked.where(F.col("rank") <= count).groupBy("ordinal").agg(
+        F.transform(texts, lambda cell: cell["value"]).alias("examples")
+    )
 
-    Only the order columns are scanned to find the last of them. Where these are
-    whole numbers or texts, the rows are then read with a filter on the first one
-    that parquet statistics can use.
-    """
-    order = [col(c).asc_nulls_first() for c in order_by]
-    place = F.struct(*map(col, order_by))
-    last = df.select(*map(col, order_by)).orderBy(*order).limit(n).agg(F.max(place).alias("last"))
-    types = [dtype_of(df, c) for c in order_by]
-    if not all(isinstance(t, (*INTEGRAL, T.StringType)) for t in types):
-        return df.where(place <= last.scalar())
-    edge = last.first()[0]
-    if edge is None:
-        return df.where(F.lit(False))
-    marks = [F.lit(value).cast(t).alias(c) for value, t, c in zip(edge, types, order_by)]
-    rows = df.where(place <= F.struct(*marks))
-    lead = col(order_by[0])
-    return rows if edge[0] is None else rows.where((lead <= marks[0]) | lead.isNull())
-
-
-def example_values(df, order_by, columns=None, count=EXAMPLE_COUNT, scan=EXAMPLE_SCAN_ROWS):
-    """Per column the first ``count`` distinct texts among its first ``scan`` filled cells.
-
-    The first ``EXAMPLE_HEAD_ROWS`` rows answer for every column that is filled
-    often enough there; only the others are searched for, one at a time. The rows
-    looked at further are few, whatever the size of the table.
-    """
+
+def example_values(df, order_by, columns=None, count=EXAMPLE_COUNT):
+    """Per column the first ``count`` distinct texts of the whole column, in row order."""
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     columns = list(columns or [c for c in df.columns if c not in order_by])
-    require_some(order_by, "order_by is required: Spark rows have no order of their own.")
+    require_some(order_by, "Name the columns that order the rows (order_by).")
     require_columns(df, [*columns, *order_by])
-    head = _earliest(df, order_by, EXAMPLE_HEAD_ROWS)
-    filled = head.agg(
-        F.count(F.lit(1)), *[F.count_if(~blank(df, c)) for c in columns]
-    ).first()
-    whole_table = filled[0] < EXAMPLE_HEAD_ROWS
-    dense = [whole_table or n >= scan for n in filled[1:]]
-
-    def cells(rows, numbers):
-        listed = F.array(
-            *[F.struct(F.lit(i).alias("ordinal"), _cell(df, columns[i]).alias("value")) for i in numbers]
-        )
-        place = F.struct(*map(col, order_by)).alias("place")
-        return rows.select(place, F.inline(listed)).where("value IS NOT NULL")
-
-    numbers = [i for i, is_dense in enumerate(dense) if is_dense]
-    parts = [cells(head, numbers)] if numbers else []
-    for i, is_dense in enumerate(dense):
-        if not is_dense:
-            narrow = list(dict.fromkeys([*order_by, columns[i]]))
-            rows = df.where(~blank(df, columns[i])).select(*map(col, narrow))
-            parts.append(cells(_earliest(rows, order_by, scan), [i]))
-    ranked = reduce(lambda a, b: a.unionAll(b), parts).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("ordinal").orderBy("place"))
-    )
-    texts = F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda cell: cell["value"]
-    )
-    lists = ranked.where(F.col("rank") <= scan).groupBy("ordinal").agg(
-        F.slice(F.array_distinct(texts), 1, count).alias("examples")
-    )
+    lists = _examples(_distinct(df, columns, order_by), count)
     names = local_table(df.sparkSession, list(enumerate(columns)), "ordinal int, column string")
     empty = F.array().cast("array<string>")
     return names.join(lists, "ordinal", "left").select(
@@ -224,13 +187,20 @@ def example_values(df, order_by, columns=None, count=EXAMPLE_COUNT, scan=EXAMPLE
     )
 
 
-def column_statistics(df, order_by, columns=None, per_column=False):
-    """The column report: type, shares, range and up to three examples per column."""
+def column_statistics(df, order_by, columns=None):
+    """The column report: type, shares, range and up to three examples per column.
+
+    Figures and examples come from one shuffle of distinct texts, which Spark reuses.
+    """
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     columns = list(columns or df.columns)
-    profile = profile_columns(df, columns, per_column)
-    examples = example_values(df, order_by, columns, REPORT_EXAMPLE_COUNT).drop("column")
-    return profile.join(examples, "ordinal").select(
+    require_some(columns, "The table has no columns.")
+    require_columns(df, [*columns, *order_by])
+    numeric = [is_numeric(dtype_of(df, c)) for c in columns]
+    distinct = _distinct(df, columns, order_by)
+    profile = _described(df, columns, numeric, _figures(distinct, columns, numeric))
+    examples = _examples(distinct, REPORT_EXAMPLE_COUNT)
+    return profile.join(examples, "ordinal", "left").select(
         "ordinal",
         F.col("column").alias("Column"),
         F.col("dtype").alias("Type"),
@@ -239,7 +209,7 @@ def column_statistics(df, order_by, columns=None, per_column=False):
         F.col("duplicate_pct").alias("Duplicate %"),
         F.col("min_value").alias("Min"),
         F.col("max_value").alias("Max"),
-        F.array_join("examples", ", ").alias("Example Values"),
+        F.array_join(F.coalesce("examples", F.array().cast("array<string>")), ", ").alias("Example Values"),
     )
 
 
@@ -266,10 +236,9 @@ def table_metadata(df):
 
     Equal rows are counted first; everything else follows from those counts.
     """
-    groupable = [c for c in df.columns if not isinstance(dtype_of(df, c), T.MapType)]
     blanks = sum((blank(df, c).cast("long") for c in df.columns), F.lit(0).cast("long"))
-    prepared = df.select(*[value_of(df, c).alias(c) for c in groupable], blanks.alias("__blanks"))
-    distinct = prepared.groupBy(*map(col, groupable), "__blanks").agg(F.count(F.lit(1)).alias("__n"))
+    prepared = df.select(*[value_of(df, c).alias(c) for c in df.columns], blanks.alias("__blanks"))
+    distinct = prepared.groupBy(*map(col, df.columns), "__blanks").agg(F.count(F.lit(1)).alias("__n"))
     width = len(df.columns)
     totals = distinct.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"),

@@ -1,20 +1,16 @@
 """Null-safe equi-joins that stay balanced when a few keys hold most of the rows.
 
-Before the join, one small job counts the rows of both sides in ``BUCKETS`` key
-hashes. Only if a bucket is overfull does a second job count the keys in such
-buckets. A key is hot when it holds more than ``1 / BUCKETS`` of its side (and
-more than ``MIN_HOT_ROWS`` rows), so there are fewer than ``2 * BUCKETS`` hot
-keys; this bounded list is all that reaches the driver. Without hot keys the join
-is Spark's plain join, free to broadcast or to use a bucketed layout.
-
-With hot keys, each kind of key gets the join that suits its counted rows:
-
-* cold keys: the plain join of the rows that remain;
-* hot on one side, few rows on the other: the few rows, ``FEW_ROWS`` in all at
-  most, are broadcast, and the hot rows stay where they are;
-* many rows on both sides: both sides are cut into pieces by a hash of the whole
-  row and every left piece meets every right piece, spread over all tasks. The
-  pieces are a pure function of the row, so a re-run task rebuilds the same output.
+Before the join, one small job counts the rows of both sides in ``BUCKETS`` key hashes. Only if a bucket
+holds more than ``MIN_HOT_ROWS`` rows does a second job count the keys in such buckets. A key is hot when
+a side has more rows of it than that, however large the table: it is what one task should get. There are
+at most rows / ``MIN_HOT_ROWS`` hot keys, and this list is all that reaches the driver. Without hot keys
+the join is Spark's plain join, free to broadcast or to use a bucketed layout.
+
+Hot keys are joined apart. A side with many rows of a key is cut into pieces of a bounded number of rows,
+and the other side's rows of the key meet every piece, so the work is spread over all tasks; nothing is
+broadcast but the list of keys. Rows are dealt to pieces by their running number in the scan, so that
+equal rows are spread as well; a re-run of the same files numbers them alike. Inputs whose rows can come
+in another order when computed again should be written or checkpointed first.
 """
 
 from functools import reduce
@@ -27,7 +23,6 @@ from tallyframe.functions.local import local_table
 
 BUCKETS = 4096
 MIN_HOT_ROWS = 500_000
-FEW_ROWS = 50_000
 
 LEFT_TAG, RIGHT_TAG = "__in_left", "__in_right"
 
@@ -56,19 +51,9 @@ class HotKeys:
         return F.broadcast(listed.withColumns(instants) if instants else listed)
 
     def kinds(self):
-        """``(few right rows, few left rows, many on both sides)``."""
-        few_right, few_left, many, budget = [], [], [], {"l": FEW_ROWS, "r": FEW_ROWS}
-        for row in sorted(self.rows, key=lambda row: min(row[-2:])):
-            left_rows, right_rows = row[-2:]
-            if left_rows > self.limits["l"] and right_rows <= min(self.limits["r"], budget["r"]):
-                budget["r"] -= right_rows
-                few_right.append(row)
-            elif right_rows > self.limits["r"] and left_rows <= min(self.limits["l"], budget["l"]):
-                budget["l"] -= left_rows
-                few_left.append(row)
-            else:
-                many.append(row)
-        return few_right, few_left, many
+        """``(keys with rows on both sides, keys of one side only)``."""
+        both = [row for row in self.rows if min(row[-2:]) > 0]
+        return both, [row for row in self.rows if min(row[-2:]) == 0]
 
 
 def hot_keys(left, right, keys, *, min_hot_rows=None, buckets=None):
@@ -91,9 +76,7 @@ def hot_keys(left, right, keys, *, min_hot_rows=None, buckets=None):
     sums = [F.sum("l").alias("l"), F.sum("r").alias("r")]
 
     histogram = rows.groupBy(bucket.alias("bucket")).agg(*sums).collect()
-    limits = {
-        side: max(min_hot_rows, sum(row[side] for row in histogram) / buckets) for side in "lr"
-    }
+    limits = {side: min_hot_rows for side in "lr"}
     overfull = [row.bucket for row in histogram if any(row[s] > limits[s] for s in "lr")]
     if not overfull:
         return None
@@ -122,14 +105,11 @@ def _with_keys(df, listed, keys, how):
 
 
 def _cut(df, listed, keys, own, other):
-    """Rows of hot keys with ``__piece_<own>`` by row, once per ``__piece_<other>``."""
-    hashable = [
-        col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ]
-    piece = F.pmod(F.xxhash64(*hashable), F.col(f"__cuts_{own}")).cast("int")
+    """Rows of hot keys with ``__piece_<own>`` by running number, once per ``__piece_<other>``."""
     every = F.explode(F.sequence(F.lit(0), F.col(f"__cuts_{other}") - 1))
-    cut = _with_keys(df, listed, keys, "inner").withColumn(f"__piece_{own}", piece)
-    return cut.withColumn(f"__piece_{other}", every).drop("__cuts_left", "__cuts_right")
+    cut = _with_keys(df.withColumn("__number", F.monotonically_increasing_id()), listed, keys, "inner")
+    cut = cut.withColumn(f"__piece_{own}", F.pmod("__number", F.col(f"__cuts_{own}")).cast("int"))
+    return cut.withColumn(f"__piece_{other}", every).drop("__cuts_left", "__cuts_right", "__number")
 
 
 def _join(left, right, keys, how, pieces=()):
@@ -160,11 +140,6 @@ def _join(left, right, keys, how, pieces=()):
     )
 
 
-# What a join mode comes to where every key surely has rows on the named side.
-WITH_LEFT_ROWS = {"right": "inner", "full_outer": "left"}
-WITH_RIGHT_ROWS = {"left": "inner", "full_outer": "right"}
-
-
 def skew_join(
     left, right, keys, how, *, right_unique=False, left_unique=False, min_hot_rows=None, buckets=None
 ):
@@ -178,7 +153,7 @@ def skew_join(
     """
     if how in ("left_semi", "left_anti") and not right_unique:
         right, right_unique = right.select(*map(col, keys)).distinct(), True
-    hot = None
+    hot = counted = None
     if not (left_unique and right_unique):
         left_decides = right_unique and how in ("inner", "left", "left_semi", "left_anti")
         counted = None if left_decides else right
@@ -189,25 +164,47 @@ def skew_join(
     def rows_of(df, listed, how="left_semi"):
         return _with_keys(df, hot.table(listed), keys, how)
 
-    few_right, few_left, many = hot.kinds()
     cold = [rows_of(df, hot.rows, "left_anti") for df in (left, right)]
     parts = [_join(*cold, keys, how)]
-    if few_right:
-        small = F.broadcast(rows_of(right, few_right))
-        parts.append(_join(rows_of(left, few_right), small, keys, WITH_LEFT_ROWS.get(how, how)))
-    if few_left:
-        small = F.broadcast(rows_of(left, few_left))
-        parts.append(_join(small, rows_of(right, few_left), keys, WITH_RIGHT_ROWS.get(how, how)))
-    if many:
-        listed = hot.table(many)
-        # Every key here has rows on both sides, so all modes come to an inner join.
-        parts.append(
-            _join(
-                _cut(left, listed, keys, "left", "right"),
-                _cut(right, listed, keys, "right", "left"),
-                keys,
-                "inner",
-                ["__piece_left", "__piece_right"],
-            )
-        )
+    pieces = ["__piece_left", "__piece_right"]
+
+    def cut_join(listed, how):
+        listed = hot.table(listed)
+        sides = _cut(left, listed, keys, "left", "right"), _cut(right, listed, keys, "right", "left")
+        return _join(*sides, keys, how, pieces)
+
+    if counted is None:
+        # The right side's one row of a key meets every piece, so any of these modes holds piece by piece.
+        parts.append(cut_join(hot.rows, how))
+    else:
+        both, alone = hot.kinds()
+        if both:
+            # Every key here has rows on both sides, so all modes come to an inner join.
+            parts.append(cut_join(both, "inner"))
+        if alone:
+            # Nothing to meet: Spark plans this without a shuffle.
+            parts.append(_join(rows_of(left, alone), right.where(F.lit(False)), keys, how))
+            parts.append(_join(left.where(F.lit(False)), rows_of(right, alone), keys, how))
     return reduce(lambda a, b: a.unionAll(b), parts)
+
+
+def mark_counted(df, counted, keys, flag, limit=None):
+    """Add ``flag``: the row's key is in ``counted`` (the keys, each once, and ``__n``, its rows in ``df``).
+
+    ``df`` appears once in the plan and nothing runs while it is made. The rows of a key with more than
+    ``limit`` are dealt to pieces by their running number, and the key's one counted row meets each. What
+    is broadcast are hashes of such keys: at most rows / ``limit`` of 16 bytes.
+    """
+    limit = limit or MIN_HOT_ROWS
+    number = F.xxhash64(*map(col, keys))
+    cuts = counted.select(number.alias("__hash"), F.ceil(F.col("__n") / limit).cast("int").alias("__cuts"))
+    hot = cuts.where("__cuts > 1").groupBy("__hash").agg(F.max("__cuts").alias("__cuts"))
+    hot = F.broadcast(hot)
+    cuts = F.coalesce("__cuts", F.lit(1))
+    rows = df.withColumns({"__number": F.monotonically_increasing_id(), "__key": number})
+    rows = rows.join(hot, F.col("__key") == F.col("__hash"), "left").withColumn("__piece", F.pmod("__number", cuts).cast("int"))
+    rows = rows.drop("__number", "__key", "__hash", "__cuts")
+    met = counted.select(*map(col, keys), number.alias("__key")).join(hot, F.col("__key") == F.col("__hash"), "left")
+    met = met.select(*map(col, keys), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("__piece"))
+    joined = _join(rows, met, keys, "left", ["__piece"])
+    return joined.withColumn(flag, F.coalesce(F.col(RIGHT_TAG), F.lit(False))).drop(LEFT_TAG, RIGHT_TAG)

@@ -13,7 +13,7 @@ from tallyframe.functions.columns import col
 from tallyframe.functions.local import local_table
 from tallyframe.functions.parsing import is_number_text
 from tallyframe.sources.files import (
-    POSITION_COLUMNS, SEPARATORS, SOURCE, list_files, open_file, readable_path, require_suffix, suffix_of,
+    BLOCK, POSITION, POSITION_COLUMNS, SEPARATORS, SOURCE, list_files, readable_path, require_suffix, suffix_of,
     with_position,
 )
 
@@ -27,53 +27,115 @@ NA_TOKENS = (
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
-HEADER_BYTES = 1 << 20
 HEADER_SCHEMA = "path string, header array<string>, error string"
 
 
 def tidy_header(cells):
-    """Column names as read: blanks become ``Unnamed: n``, repeats get ``.1``, ``.2``, ..."""
+    """Column names as read: blanks become ``Unnamed: n``, repeats get ``.1``, ``.2``, ...
+
+    Names that differ in case alone are repeats too, since Spark would not tell them apart.
+    """
     names, seen = [], set()
     for position, cell in enumerate(cells):
         base = cell if cell.strip() else f"Unnamed: {position}"
         name, copy = base, 0
-        while name in seen:
+        while name.lower() in seen:
             copy += 1
             name = f"{base}.{copy}"
-        seen.add(name)
+        seen.add(name.lower())
         names.append(name)
     return names
 
 
-def _read_headers(batches):
-    """Each file's first record; runs in tasks and reads the start of a file only."""
+def separator_of(path):
+    """A column: the field separator that a file's suffix stands for, or null."""
+    suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.when(suffix == ".csv", ",").when(suffix == ".tsv", "\t")
+
+
+def scan_lines(spark, paths, sep=None):
+    """``path, first_line, spans_lines, widths`` per file, from one scan of lines.
+
+    ``spans_lines``: a quoted field is left open at the end of some line, so the file cannot be read in
+    blocks. ``widths`` counts the lines of each number of fields. Lines are combined before anything is
+    shuffled, and files without any line have no row.
+    """
+    lines = with_position(spark.read.text(paths)).where("trim(value) <> ''")
+    sep = F.lit(sep) if sep else separator_of(F.col(SOURCE))
+    lines = lines.select(SOURCE, BLOCK, POSITION, "value", sep.alias("sep")).where("sep IS NOT NULL")
+    # Without its complete quoted parts, a line has separators between fields only.
+    bare = F.when(F.contains("value", F.lit('"')), F.regexp_replace("value", '"[^"]*"', "")).otherwise(F.col("value"))
+    lines = lines.withColumn("bare", bare)
+    lines = lines.select(
+        SOURCE, F.struct(BLOCK, POSITION).alias("at"), "value",
+        (F.length("bare") - F.length(F.replace("bare", F.col("sep"))) + 1).alias("width"),
+        F.contains("bare", F.lit('"')) & (F.col("bare").rlike(r'^\s*"') | F.contains("bare", F.concat("sep", F.lit('"'))))
+    ).toDF(SOURCE, "at", "value", "width", "open")
+    counted = lines.groupBy(SOURCE, "width").agg(
+        F.count(F.lit(1)).alias("lines"), F.max("open").alias("open"), F.min_by("value", "at").alias("value"),
+        F.min("at").alias("at"),
+    )
+    return counted.groupBy(F.col(SOURCE).alias("path")).agg(
+        F.min_by("value", "at").alias("first_line"), F.max("open").alias("spans_lines"),
+        F.map_from_entries(F.collect_list(F.struct("width", "lines"))).alias("widths"),
+    )
+
+
+def _parse_headers(batches):
+    """Column names from each file's first line; runs in tasks on lines, whatever store they are from."""
     import pandas as pd
 
     for batch in batches:
         rows = []
-        for path, sep in zip(batch["path"], batch["sep"]):
+        for path, sep, line in zip(batch["path"], batch["sep"], batch["first_line"]):
+            if line is None or not line.strip("\ufeff \t"):
+                rows.append((path, None, "No columns to parse from file"))
+                continue
             try:
-                with open_file(path) as file:
-                    head = file.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
-                lines = csv.reader(io.StringIO(head, newline=""), delimiter=sep)
-                cells = next((line for line in lines if line), None)
-                if cells is None:
-                    rows.append((path, None, "No columns to parse from file"))
-                else:
-                    rows.append((path, tidy_header(cells), None))
-            except (OSError, csv.Error) as error:
+                cells = next(csv.reader(io.StringIO(line.removeprefix("\ufeff"), newline=""), delimiter=sep))
+                rows.append((path, tidy_header(cells), None))
+            except (StopIteration, csv.Error) as error:
                 rows.append((path, None, str(error)))
         yield pd.DataFrame(rows, columns=["path", "header", "error"])
 
 
 def file_headers(spark, folder):
-    """``path, size_bytes, modified, header, error`` per delimited file in a folder."""
-    listed = list_files(spark, folder)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    sep = F.when(suffix == ".csv", ",").when(suffix == ".tsv", "\t")
-    listed = listed.withColumn("sep", sep).where("sep IS NOT NULL")
-    headers = listed.select("path", "sep").mapInPandas(_read_headers, HEADER_SCHEMA)
-    return listed.drop("sep").join(headers, "path")
+    """One row per csv or tsv file: ``path, size_bytes, modified, header, error, spans_lines, short_rows``.
+
+    A file with a row of more fields than its header is an error, as a cell would be lost. ``short_rows``
+    counts rows with fewer; their missing cells are null.
+    """
+    listed = list_files(spark, folder).withColumn("sep", separator_of(F.col("path"))).where("sep IS NOT NULL")
+    paths = [readable_path(row.path) for row in listed.where("size_bytes > 0").select("path").collect()]
+    if paths:
+        lines = scan_lines(spark, paths)
+        listed = listed.join(lines, "path", "left")
+    else:
+        listed = listed.selectExpr(
+            "*", "CAST(NULL AS STRING) first_line", "false spans_lines", "CAST(map() AS map<int, long>) widths"
+        )
+    schema = HEADER_SCHEMA
+    headers = listed.select("path", "sep", "first_line").mapInPandas(_parse_headers, schema)
+    found = listed.drop("sep", "first_line").join(headers, "path")
+    return found.select(
+        "path", "size_bytes", "modified", "header", _width_error("header", "error").alias("error"),
+        F.coalesce("spans_lines", F.lit(False)).alias("spans_lines"), _rows_where("header", "<").alias("short_rows"),
+    )
+
+
+def _rows_where(header, compare):
+    """Lines with fewer (or more) fields than the header; known where no field spans lines."""
+    entries = F.map_entries("widths")
+    size = F.size(header)
+    fits = (lambda e: e["key"] < size) if compare == "<" else (lambda e: e["key"] > size)
+    total = F.aggregate(F.filter(entries, fits), F.lit(0).cast("long"), lambda a, e: a + e["value"])
+    return F.when(F.col("spans_lines"), F.lit(None)).otherwise(F.coalesce(total, F.lit(0)))
+
+
+def _width_error(header, error):
+    surplus = _rows_where(header, ">")
+    found = F.concat(surplus.cast("string"), F.lit(" row(s) have more fields than the header"))
+    return F.coalesce(F.col(error), F.when(surplus > 0, found))
 
 
 def header_group_counts(headers):
@@ -81,11 +143,30 @@ def header_group_counts(headers):
     return headers.where("error IS NULL").groupBy("header").agg(F.count(F.lit(1)).alias("files"))
 
 
-def _files_with_line_breaks(spark, paths):
-    """Files in which a quoted field spans lines; only those cannot be split into blocks."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    odd = spark.read.text(paths).where(quotes % 2 == 1).select("_metadata.file_path")
-    return [row.file_path for row in odd.distinct().collect()]
+SURPLUS = "__surplus"
+
+
+def _reader(spark, schema, sep, whole_files):
+    # Spark's own limit of columns is below what a header may hold.
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("sep", sep)
+        .option("escape", '"')
+        .option("multiLine", whole_files)
+        .option("maxColumns", max(20_480, len(schema) + 16))
+        .option("mode", "PERMISSIVE")
+    )
+
+
+def _check_whole_files(spark, paths, header, sep):
+    """Raise if a row of these files, read whole, has a filled field beyond the header."""
+    names = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
+    schema = T.StructType([*names, T.StructField(SURPLUS, T.StringType())])
+    # All fields are parsed, as a pruned reader would not look for more than it is asked for.
+    reader = _reader(spark, schema, sep, True).option("columnPruning", False)
+    if not reader.csv(paths).where(F.col(SURPLUS).isNotNull()).isEmpty():
+        raise LoadError(f"A row has more fields than the header of {len(header)} columns in {paths}")
 
 
 def read_text_columns(spark, paths, header, sep, multi_line=None, corrupt_column=None):
@@ -95,37 +176,34 @@ def read_text_columns(spark, paths, header, sep, multi_line=None, corrupt_column
     files are scanned for such fields and only those that have them are read whole.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if multi_line is None:
+        found = scan_lines(spark, paths, sep).where("spans_lines").select("path").collect()
+        broken = {row.path for row in found}
+        if not broken:
+            return _scan(spark, paths, header, sep, False, corrupt_column)
+        listed = [row.path for p in paths for row in list_files(spark, p).select("path").collect()]
+        whole = [readable_path(p) for p in sorted(broken)]
+        split = [readable_path(p) for p in listed if p not in broken]
+        parts = [_scan(spark, whole, header, sep, True, corrupt_column)]
+        if split:
+            parts.append(_scan(spark, split, header, sep, False, corrupt_column))
+        return reduce(lambda a, b: a.unionAll(b), parts)
+    return _scan(spark, paths, header, sep, multi_line, corrupt_column)
+
+
+def _scan(spark, paths, header, sep, whole_files, corrupt_column=None):
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     extra = []
     if corrupt_column:
         schema = schema.add(corrupt_column, T.StringType())
         extra = [corrupt_column]
-
-    def scan(some_paths, whole_files):
-        reader = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("sep", sep)
-            .option("escape", '"')
-            .option("multiLine", whole_files)
-            .option("mode", "PERMISSIVE")
-        )
-        if corrupt_column:
-            reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-        return with_position(reader.csv(some_paths)).select(
-            *[F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in header],
-            *map(col, [*extra, *POSITION_COLUMNS]),
-        )
-
-    if multi_line is not None:
-        return scan(paths, multi_line)
-    broken = _files_with_line_breaks(spark, paths)
-    if not broken:
-        return scan(paths, False)
-    listed = [row.path for p in paths for row in list_files(spark, p).select("path").collect()]
-    whole = [readable_path(p) for p in broken]
-    split = [readable_path(p) for p in listed if p not in set(broken)]
-    return scan(whole, True).unionAll(scan(split, False)) if split else scan(whole, True)
+    reader = _reader(spark, schema, sep, whole_files)
+    if corrupt_column:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+    return with_position(reader.csv(paths)).select(
+        *[F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in header],
+        *map(col, [*extra, *POSITION_COLUMNS]),
+    )
 
 
 # One bit per form a cell can take; a column's form is the union of its cells' bits.
@@ -145,14 +223,7 @@ def _form(cell):
     )
 
 
-def infer_types(df, names):
-    """The narrowest of bigint, double, boolean, string that holds every filled cell.
-
-    One aggregation over all columns. Dates stay text; whole numbers too long for
-    a bigint stay text as well; a column without any cell is double.
-    """
-    require_some(names, "The table has no columns.")
-    forms = df.agg(*[F.bit_or(_form(col(n))).alias(f"f{i}") for i, n in enumerate(names)]).first()
+def _types(names, forms):
     types = {}
     for name, form in zip(names, forms):
         if form is None or (form & DECIMAL and not form & ~(WHOLE | LONG_WHOLE | DECIMAL)):
@@ -166,6 +237,51 @@ def infer_types(df, names):
     return types
 
 
+def _forms(names):
+    return [F.bit_or(_form(col(n))).alias(f"f{i}") for i, n in enumerate(names)]
+
+
+def infer_types(df, names):
+    """The narrowest of bigint, double, boolean, string that holds every filled cell.
+
+    One aggregation over all columns. Dates stay text; whole numbers too long for
+    a bigint stay text as well; a column without any cell is double.
+    """
+    require_some(names, "The table has no columns.")
+    return _types(names, df.agg(*_forms(names)).first())
+
+
+def typed_by_file(df, names):
+    """``[(types, df), ...]``: the rows of the files whose cells have the same types, typed.
+
+    Every file gets the types of its own cells. One aggregation by file; the driver sees the kinds of
+    types that occur, not the files.
+    """
+    kinds = [f"k{i}" for i in range(len(names))]
+    by_file = df.groupBy(F.col(SOURCE).alias("__file")).agg(*_forms(names))
+    # Forms that come to the same type are one kind.
+    simple = {f"k{i}": _kind(F.col(f"f{i}")) for i in range(len(names))}
+    by_file = by_file.select("__file", *[c.alias(k) for k, c in simple.items()])
+    by_file = by_file.withColumn("__kind", F.concat_ws(",", *kinds)).select("__file", "__kind")
+    tables = []
+    for row in by_file.select("__kind").distinct().orderBy("__kind").collect():
+        types = dict(zip(names, (KINDS[k]() for k in row[0].split(","))))
+        files = by_file.where(F.col("__kind") == row[0])
+        rows = df.join(files, F.col(SOURCE) == F.col("__file")).select(*map(col, df.columns))
+        tables.append((types, apply_types(rows, types)))
+    return tables
+
+
+KINDS = {"d": T.DoubleType, "l": T.LongType, "b": T.BooleanType, "s": T.StringType}
+
+
+def _kind(form):
+    decimal = (form.bitwiseAND(DECIMAL) > 0) & (form.bitwiseAND(TRUTH | OTHER) == 0)
+    return (
+        F.when(form.isNull() | decimal, "d").when(form == WHOLE, "l").when(form == TRUTH, "b").otherwise("s")
+    )
+
+
 def apply_types(df, types):
     """Cast text columns; a cell that does not fit its type becomes null."""
 
@@ -178,22 +294,28 @@ def apply_types(df, types):
     return df.select(*[typed(c) if c in types else col(c) for c in df.columns])
 
 
-def _first_header(spark, paths, sep):
-    """Column names from the first record Spark finds at ``paths``."""
-    reader = (
-        spark.read.option("header", False)
-        .option("sep", sep)
-        .option("escape", '"')
-        .option("multiLine", True)
-    )
+def _first_records(spark, paths, sep):
+    """Column names of each file, and the files whose quoted fields span lines."""
     try:
-        first = reader.csv(paths).first()
+        lines = scan_lines(spark, paths, sep)
+        rows = lines.select("path", F.lit(sep).alias("sep"), "first_line", "spans_lines", "widths")
+        headers = rows.mapInPandas(_parse_headers, HEADER_SCHEMA)
+        found = rows.join(headers, "path").select(
+            "path", "header", _width_error("header", "error").alias("error"), "spans_lines"
+        ).collect()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(", ".join(paths)) from error
         raise
-    if first is None:
+    if not found:
         raise LoadError(f"Failed to read {paths[0]!r}: No columns to parse from file")
+    return sorted(found, key=lambda row: row.path)
+
+
+def _spanning_header(spark, path, sep):
+    """Column names of a file whose first record may span lines."""
+    reader = spark.read.option("header", False).option("sep", sep).option("escape", '"')
+    first = reader.option("multiLine", True).option("maxColumns", 1 << 20).csv(readable_path(path)).first()
     cells = [cell or "" for cell in first]
     return tidy_header([cells[0].removeprefix("\ufeff"), *cells[1:]])
 
@@ -204,8 +326,10 @@ def read_delimited(
     """A csv or tsv file, or several with one header, as a typed table.
 
     Row positions are in ``_source_file, _block_start, _position``. Pass ``types``
-    (name to Spark type) to skip the inference scan, and ``multi_line`` to skip
-    the check for line breaks inside quotes.
+    (name to Spark type) to skip the inference scan, and ``multi_line`` to say
+    whether quoted fields hold line breaks. Files whose headers differ, and rows
+    with more fields than the header, are errors; with ``corrupt_column`` such
+    rows are kept there as text. Rows with fewer fields are filled with nulls.
     """
     paths = [path] if isinstance(path, str) else list(path)
     require_some(paths, "At least one file is required.")
@@ -213,50 +337,73 @@ def read_delimited(
         if sep is None:
             require_suffix(p, SEPARATORS)
     sep = sep or SEPARATORS[suffix_of(paths[0])]
-    header = _first_header(spark, paths, sep)
-    df = read_text_columns(spark, paths, header, sep, multi_line, corrupt_column)
+    files = _first_records(spark, paths, sep)
+    headers = {}
+    for row in files:
+        # With a column for broken lines, rows of more fields are kept there.
+        fatal = row.error and not row.spans_lines and (row.header is None or not corrupt_column)
+        if fatal:
+            raise LoadError(f"Failed to read {row.path!r}: {row.error}")
+        header = _spanning_header(spark, row.path, sep) if row.spans_lines else row.header
+        headers.setdefault(tuple(header), row.path)
+    if len(headers) > 1:
+        raise LoadError(f"The files have different headers: {dict((p, list(h)) for h, p in headers.items())}")
+    header = list(next(iter(headers)))
+    broken = [readable_path(row.path) for row in files if row.spans_lines]
+    if multi_line is None and broken:
+        if not corrupt_column:
+            _check_whole_files(spark, broken, header, sep)
+        parts = [_scan(spark, broken, header, sep, True, corrupt_column)]
+        split = [readable_path(row.path) for row in files if not row.spans_lines]
+        if split:
+            parts.append(_scan(spark, split, header, sep, False, corrupt_column))
+        df = reduce(lambda a, b: a.unionAll(b), parts)
+    else:
+        df = _scan(spark, paths, header, sep, bool(multi_line), corrupt_column)
     if types is None and not infer:
         return df
     return apply_types(df, types or infer_types(df, header))
 
 
-def read_folder(spark, folder, *, infer=True, types=None, multi_line=None):
+def read_folder(spark, folder, *, infer=True, types=None, multi_line=None, by_file=False):
     """``(tables, log)`` of every csv and tsv file directly in a folder.
 
     ``tables`` is ``[(header, df), ...]``, one per distinct header, most files
     first; a folder of any number of files is scanned as that many DataFrames.
-    ``log`` has a row per file: status, error, rows, columns, size, time, header.
+    With ``by_file`` every file is typed by its own cells, and files of one header
+    and types make a table. ``log`` has a row per file of the folder: status
+    (``ok``, ``failed``, or ``skipped`` for other suffixes), error, rows, rows with
+    fewer fields than the header, columns, size, time, header.
     """
     headers = file_headers(spark, folder)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    separators = {known[1:]: known for known in SEPARATORS}
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    # The lists of files to scan, which Spark's reader keeps on the driver as well.
     groups = (
         headers.where("error IS NULL")
-        .groupBy("header")
-        .agg(
-            F.count(F.lit(1)).alias("files"),
-            F.min("path").alias("first"),
-            *[
-                F.collect_list(F.when(suffix == known, F.col("path"))).alias(known[1:])
-                for known in SEPARATORS
-            ],
-        )
-        .orderBy(F.desc("files"), "first")
+        .groupBy("header", "spans_lines", suffix.alias("suffix"))
+        .agg(F.collect_list("path").alias("paths"))
         .collect()
     )
+    scans = {}
+    for group in sorted(groups, key=lambda g: (min(g.paths), g.spans_lines)):
+        paths = [readable_path(p) for p in sorted(group.paths)]
+        sep = SEPARATORS[separators[group.suffix]]
+        whole = group.spans_lines if multi_line is None else multi_line
+        if group.spans_lines:
+            _check_whole_files(spark, paths, group.header, sep)
+        scans.setdefault(tuple(group.header), []).append((paths, _scan(spark, paths, group.header, sep, whole)))
+    order = sorted(scans, key=lambda h: (-sum(len(p) for p, _ in scans[h]), min(min(p) for p, _ in scans[h])))
     tables, counts = [], local_table(spark, [], f"{SOURCE} string, rows long")
-    for group in groups:
-        scans = [
-            read_text_columns(
-                spark, [readable_path(p) for p in group[known[1:]]], group.header, sep, multi_line
-            )
-            for known, sep in SEPARATORS.items()
-            if group[known[1:]]
-        ]
-        df = reduce(lambda a, b: a.unionAll(b), scans)
+    for header in order:
+        df = reduce(lambda a, b: a.unionAll(b), [scan for _, scan in scans[header]])
         counts = counts.unionAll(df.groupBy(SOURCE).agg(F.count(F.lit(1)).alias("rows")))
+        if types is None and infer and by_file:
+            tables += [(header, typed) for _, typed in typed_by_file(df, list(header))]
+            continue
         if types is not None or infer:
-            df = apply_types(df, types or infer_types(df, group.header))
-        tables.append((tuple(group.header), df))
+            df = apply_types(df, types or infer_types(df, list(header)))
+        tables.append((header, df))
     readable = F.col("error").isNull()
     log = headers.join(counts, F.col("path") == F.col(SOURCE), "left").select(
         F.col("path").alias("source_file"),
@@ -264,9 +411,23 @@ def read_folder(spark, folder, *, infer=True, types=None, multi_line=None):
         F.when(readable, "ok").otherwise("failed").alias("status"),
         "error",
         F.when(readable, F.coalesce("rows", F.lit(0))).alias("rows"),
+        F.when(readable, F.col("short_rows")).alias("short_rows"),
         F.when(readable, F.size("header")).alias("columns"),
         "size_bytes",
         "modified",
         "header",
     )
-    return tables, log
+    others = list_files(spark, folder).where(separator_of(F.col("path")).isNull())
+    skipped = others.select(
+        F.col("path").alias("source_file"),
+        F.lit(None).cast("string").alias("sheet"),
+        F.lit("skipped").alias("status"),
+        F.concat(F.lit("no reader for suffix "), F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("error"),
+        F.lit(None).cast("long").alias("rows"),
+        F.lit(None).cast("long").alias("short_rows"),
+        F.lit(None).cast("int").alias("columns"),
+        "size_bytes",
+        "modified",
+        F.lit(None).cast("array<string>").alias("header"),
+    )
+    return tables, log.unionByName(skipped)

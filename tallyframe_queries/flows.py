@@ -13,6 +13,7 @@ from tallyframe.plans.workflow import (
 from tallyframe.session import shared_folder
 from tallyframe.sources import delimited, reports, snapshots
 from tallyframe.sources.consolidation import consolidate_folder
+from tallyframe.sources.files import POSITION
 from tallyframe.sources.parquet import read_parquet
 from tallyframe_queries.inputs import CUSTOMER_NULLS, sql, table, view, with_views
 
@@ -103,7 +104,11 @@ def batch_result(spark, folder):
 
 
 def batch_report(spark, folder):
-    return batch(spark, folder)[1].drop("detail")
+    return batch(spark, folder)[1].where("status = 'OK'")
+
+
+def batch_failures(spark, folder):
+    return batch(spark, folder)[1].where("status <> 'OK'").drop("detail")
 
 
 BEST = "row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC NULLS LAST, event_id) = 1"
@@ -121,6 +126,10 @@ LOG = (
 )
 
 
+# Some entries have no time.
+UNDATED = ("events", [LOG[1][0], "CASE WHEN event_id % 5 <> 0 THEN ts END AS timestamp", *LOG[1][2:]])
+
+
 def audit_search(spark, folder):
     return audit.query_entries(view(spark, folder, LOG), "K\": 4")
 
@@ -130,15 +139,25 @@ def audit_count(spark, folder):
 
 
 def audit_prune(spark, folder):
-    return audit.prune_entries(view(spark, folder, LOG), 10, NOW)[0].drop("timestamp")
+    return audit.prune_entries(view(spark, folder, UNDATED), 10, NOW)[0]
 
 
 def audit_prune_count(spark, folder):
-    return audit.prune_entries(view(spark, folder, LOG), 10, NOW)[1]
+    return audit.prune_entries(view(spark, folder, UNDATED), 10, NOW)[1]
 
 
 def audit_export(spark, folder):
-    return audit.audit_export(view(spark, folder, LOG)).drop("Timestamp")
+    return audit.audit_export(view(spark, folder, LOG))
+
+
+def audit_append(spark, folder):
+    """Entries appended in two runs and read back."""
+    path = shared_folder(spark, "audit")
+    for number, name in enumerate(("nation", "region")):
+        rows = table(spark, folder, name).orderBy(f"{name[0]}_{name}key").collect()
+        entries = [(f"{name}.csv", "Sheet1", row[1]) for row in rows]
+        audit.append_entries(spark, path, entries, datetime(2024, 1, 30 + number))
+    return spark.read.parquet(path).select("id", "timestamp", "file_key", "sheet_name", "operation")
 
 
 def delimited_customers(spark, folder):
@@ -214,7 +233,8 @@ def folder_workflow(spark, folder):
 
 
 def parquet_row_ids(spark, folder):
-    return read_parquet(spark, f"{folder}/orders.parquet", "row_id").select("o_orderkey", "row_id")
+    orders = read_parquet(spark, f"{folder}/orders.parquet", positions=True)
+    return orders.select("o_orderkey", F.col(POSITION).alias("row_id"))
 
 
 def snapshot_restored(spark, folder):
@@ -263,15 +283,23 @@ QUERIES = {
     "workflow_batch": (batch_result, LAST_OF_NATION),
     "workflow_batch_report": (
         batch_report,
-        "SELECT source, count(*) AS rows_before, count(DISTINCT nation) AS rows_after,"
-        f" 'OK' AS status FROM ({PARTIES}) GROUP BY source UNION ALL"
-        " SELECT 'part.csv', count(*), count(*), 'FAILED_STEP' FROM part",
+        f"WITH p AS ({PARTIES}), k AS ({LAST_OF_NATION}), n AS (SELECT source, count(*) AS after,"
+        " count(*) FILTER (balance < 0) AS issues FROM k GROUP BY source),"
+        " b AS (SELECT source, count(*) AS before FROM p GROUP BY source)"
+        " SELECT source, before AS rows_before, after AS rows_after, 'OK' AS status,"
+        " concat('remove_duplicates: Removed ', CAST(before - after AS VARCHAR), ' row(s); validate: ',"
+        " CAST(issues AS VARCHAR), ' issue(s) found') AS detail FROM b JOIN n USING (source)",
+    ),
+    "workflow_batch_failures": (
+        batch_failures,
+        "SELECT 'part.csv' AS source, count(*) AS rows_before, count(*) AS rows_after,"
+        " 'FAILED_STEP' AS status FROM part",
     ),
     "audit_search": (
         audit_search,
         with_views(
             "SELECT * FROM l WHERE contains(lower(operation), 'k\": 4') OR contains(file_key, 'k\": 4')"
-            " OR contains(sheet_name, 'k\": 4') ORDER BY id DESC LIMIT 500",
+            " OR contains(sheet_name, 'k\": 4')",
             l=LOG,
         ),
     ),
@@ -279,23 +307,28 @@ QUERIES = {
     "audit_prune": (
         audit_prune,
         with_views(
-            "SELECT id, file_key, sheet_name, operation FROM l"
-            " WHERE timestamp >= TIMESTAMP '2024-01-21 00:00:00'",
-            l=LOG,
+            "SELECT * FROM l WHERE timestamp IS NULL OR timestamp >= TIMESTAMP '2024-01-21 00:00:00'",
+            l=UNDATED,
         ),
     ),
     "audit_prune_count": (
         audit_prune_count,
-        "SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-21 00:00:00') AS removed FROM events",
+        "SELECT count(*) FILTER (event_id % 5 <> 0 AND ts < TIMESTAMP '2024-01-21 00:00:00') AS removed FROM events",
     ),
     "audit_export": (
         audit_export,
         with_views(
-            'SELECT file_key AS "File", sheet_name AS "Sheet", operation AS "Operation"'
-            " FROM l ORDER BY id DESC LIMIT 10000",
+            'SELECT timestamp AS "Timestamp", file_key AS "File", sheet_name AS "Sheet",'
+            ' operation AS "Operation" FROM l',
             l=LOG,
         ),
     ),
+    "audit_append": (
+        audit_append,
+        "SELECT n_nationkey + 1 AS id, '2024-01-30T00:00:00' AS timestamp, 'nation.csv' AS file_key,"
+        " 'Sheet1' AS sheet_name, n_name AS operation FROM nation UNION ALL"
+        " SELECT r_regionkey + 26, '2024-01-31T00:00:00', 'region.csv', 'Sheet1', r_name FROM region",
+    ),
     "read_delimited": (
         delimited_customers,
         with_views(

@@ -1,5 +1,5 @@
 from tallyframe.functions.local import local_table
-from tallyframe.operators import profile
+from tallyframe.operators import dedupe, profile
 from tallyframe.sources.reports import profile_tables, size_text
 from pyspark.sql import functions as F
 
@@ -55,45 +55,42 @@ def test_examples_in_row_order(frame):
     assert found["n"] == ["0", "1", "2", "3", "4"]
 
 
-def test_examples_look_at_the_first_200_cells(frame):
-    df = frame("v long, w string", *[(0 if i < 200 else i, None) for i in range(230)])
-    found = {r.column: r.examples for r in profile.example_values(df, "row_id").collect()}
-    assert found == {"v": ["0"], "w": []}
+def test_examples_come_from_the_whole_column(spark):
+    df = spark.range(3000).selectExpr(
+        "id", "CASE WHEN id % 1000 = 999 THEN id END AS rare", "concat('x', id DIV 700) AS often", "NULL AS none"
+    )
+    found = {r.column: r.examples for r in profile.example_values(df, "id").collect()}
+    assert found == {"rare": ["999", "1999", "2999"], "often": ["x0", "x1", "x2", "x3", "x4"], "none": []}
+    two = {r.column: r.examples for r in profile.example_values(df, ["often", "id"], ["rare"], 2).collect()}
+    assert two == {"rare": ["999", "1999"]}
 
 
-def test_examples_of_sparse_columns_lie_beyond_the_head(spark, monkeypatch):
-    monkeypatch.setattr(profile, "EXAMPLE_HEAD_ROWS", 50)
-    df = spark.range(1000).selectExpr(
-        "id", "CASE WHEN id % 300 = 299 THEN id END AS rare", "concat('x', id DIV 30) AS often"
-    )
-    found = {r.column: r.examples for r in profile.example_values(df, "id", scan=20).collect()}
-    assert found == {"rare": ["299", "599", "899"], "often": ["x0"]}
-    two = {r.column: r.examples for r in profile.example_values(df, ["often", "id"], ["rare"], scan=2).collect()}
-    assert two == {"rare": ["599", "899"]}
+def test_statistics_share_one_shuffle_and_run_nothing_early(spark):
+    df = spark.range(100).selectExpr("id", "id % 7 AS v")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "none expected")
+    report = profile.column_statistics(df, "id")
+    assert list(tracker.getJobIdsForGroup("planning")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r["Example Values"] for r in report.orderBy("ordinal").collect()] == ["0, 1, 2", "0, 1, 2"]
 
 
-def test_examples_ordered_by_instants_in_any_time_zone(spark, monkeypatch):
-    monkeypatch.setattr(profile, "EXAMPLE_HEAD_ROWS", 3)
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
-    try:
-        df = spark.range(20).selectExpr("timestamp_seconds(id) AS at", "19 - id AS v")
-        found = profile.example_values(df, "at", ["v"], scan=3).first()
-        assert found.examples == ["19", "18", "17"]
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", zone)
+def test_maps_are_compared(spark):
+    df = spark.sql("SELECT map('x', id % 2) AS m, 1 AS k FROM range(4)")
+    assert tuple(dedupe.full_row_duplicates(df).first()) == (4, 2)
+    assert profile.table_metadata(df).first().duplicate_rows == 2
 
 
 def test_report_table(frame):
     df = frame(
-        "ID long, Name string, Score double",
-        (1, "Alice", 10.5), (2, "Bob", 20.0), (None, "Bob", 20.0), (4, "Carol", None),
+        "code long, side string, level double",
+        (7, "north", -2.25), (8, "east", 4.0), (None, "east", 4.0), (9, "west", None),
     )
-    report = profile.column_statistics(df, "row_id", ["ID", "Name", "Score"]).orderBy("ordinal").collect()
-    assert [r["Column"] for r in report] == ["ID", "Name", "Score"]
-    assert report[0]["Example Values"] == "1, 2, 4" and report[0]["Null %"] == 25.0
-    assert (report[2]["Min"], report[2]["Max"]) == (10.5, 20.0)
-    tables = profile_tables(df, "row_id", ["ID", "Name", "Score"])
+    report = profile.column_statistics(df, "row_id", ["code", "side", "level"]).orderBy("ordinal").collect()
+    assert [r["Column"] for r in report] == ["code", "side", "level"]
+    assert report[0]["Example Values"] == "7, 8, 9" and report[0]["Null %"] == 25.0
+    assert (report[2]["Min"], report[2]["Max"]) == (-2.25, 4.0)
+    tables = profile_tables(df, "row_id", ["code", "side", "level"])
     summary = {r.Metric: r.Value for r in tables["summary"].collect()}
     assert summary == {
         "Row Count": "4", "Column Count": "3", "Duplicate Rows": "0", "Blank Cells": "2", "Fill Rate": "83.3",
@@ -101,7 +98,7 @@ def test_report_table(frame):
 
 
 def test_table_metadata(frame):
-    df = frame("VIN string, Engine string", ("A1", "E1"), ("A1", "E1"), ("A2", "E2")).drop("row_id")
+    df = frame("site string, dock long", ("oslo", 4), ("oslo", 4), ("bern", 4)).drop("row_id")
     assert tuple(profile.table_metadata(df).first()) == (3, 2, 1, 0, 100.0)
     assert tuple(profile.table_metadata(df.where("false")).first()) == (0, 2, 0, 0, 0.0)
 

@@ -46,26 +46,21 @@ def test_same_rows_as_a_plain_join(spark, rows, mode, swap):
     assert rows(hot, *names) == rows(expected(left, right, mode), *names)
 
 
-def test_hot_keys_and_their_kinds(spark, monkeypatch):
+def test_hot_keys_and_their_kinds(spark):
     left, right = side(spark, "l", LEFT), side(spark, "r", RIGHT)
     hot = hot_keys(left, right, ["k"], min_hot_rows=19, buckets=16)
     assert {row[0] for row in hot.rows} == {None, 1, 2, 5, 6, 7}
-    few_right, few_left, many = ({row[0] for row in kind} for kind in hot.kinds())
-    assert (few_right, few_left, many) == ({None, 1, 5}, {6, 7}, {2})
+    both, alone = ({row[0] for row in kind} for kind in hot.kinds())
+    assert (both, alone) == ({None, 1, 2, 7}, {5, 6})
     cuts = {r.k: tuple(r)[1:] for r in hot.table(hot.rows).collect()}
     assert cuts[1] == (4, 1) and cuts[2] == (2, 2) and cuts[6] == (1, 2)
-    monkeypatch.setattr(skew, "FEW_ROWS", 2)
-    few_right, few_left, many = ({row[0] for row in kind} for kind in hot.kinds())
-    assert few_right == {1, 5} and few_left == {6, 7} and many == {None, 2}
 
 
-@pytest.mark.parametrize("mode", MODES)
-def test_without_broadcasts_everything_hot_is_cut(spark, rows, mode, monkeypatch):
-    monkeypatch.setattr(skew, "FEW_ROWS", 1)
-    left, right = side(spark, "l", LEFT), side(spark, "r", RIGHT)
-    names = ["k", "lid"] if mode in ("left_semi", "left_anti") else ["k", "lid", "rid"]
-    hot = skew_join(left, right, ["k"], mode, min_hot_rows=5, buckets=16)
-    assert rows(hot, *names) == rows(expected(left, right, mode), *names)
+def test_hot_means_a_number_of_rows_whatever_the_table(spark):
+    left = spark.range(20_000).selectExpr("id % 5000 AS k", "id AS lid")
+    right = local_table(spark, [(1, 1)], "k long, rid long")
+    assert hot_keys(left, right, ["k"], min_hot_rows=4, buckets=16) is None
+    assert len(hot_keys(left, right, ["k"], min_hot_rows=3, buckets=16).rows) == 5000
 
 
 def test_no_hot_keys_means_a_plain_join(spark):
@@ -81,15 +76,32 @@ def test_rows_hot_on_both_sides_are_spread_evenly(spark):
     assert len(sizes) == 10 * 3 and max(sizes) < 500
 
 
-def test_identical_hot_rows_are_never_shuffled(spark):
-    copies = spark.range(20000).selectExpr("1L AS k", "'same' AS l")
-    one = local_table(spark, [(1, "x")], "k long, r string")
-    joined = skew_join(copies, one, ["k"], "left", right_unique=True, min_hot_rows=100, buckets=16)
-    assert joined.where("r = 'x'").count() == 20000
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        joined.explain("simple")
-    assert "BroadcastHashJoin" in text.getvalue() and "hashpartitioning" not in text.getvalue()
+def test_identical_hot_rows_are_spread(spark):
+    copies = spark.range(40_000).selectExpr("1L AS k", "'same' AS l")
+    few = spark.range(200).selectExpr("1L AS k", "'x' AS r")
+    joined = skew_join(copies, few, ["k"], "left", min_hot_rows=500, buckets=16)
+    assert joined.count() == 40_000 * 200
+    hot = hot_keys(copies, few, ["k"], min_hot_rows=500, buckets=16)
+    cut = _cut(copies, hot.table(hot.rows), ["k"], "left", "right")
+    sizes = [r["count"] for r in cut.groupBy("__piece_left").count().collect()]
+    assert len(sizes) == 80 and max(sizes) <= 600
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        done = skew_join(copies, few, ["k"], "inner", min_hot_rows=500, buckets=16)
+        tasks = [r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) >= 4 and max(tasks) < 0.5 * 40_000 * 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_marking_counted_keys(spark, rows):
+    df = side(spark, "l", LEFT)
+    counted = df.groupBy("k").agg(F.count("*").alias("__n")).where("__n > 1")
+    marked = skew.mark_counted(df, counted, ["k"], "often", limit=7)
+    assert marked.columns == ["k", "lid", "often"]
+    assert rows(marked.groupBy("k", "often").count()) == sorted(
+        [(k, n > 1, n) for k, n in LEFT], key=lambda r: (r[0] is not None, r[0] or 0)
+    )
 
 
 def test_instants_as_hot_keys(spark, rows):

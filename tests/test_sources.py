@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tallyframe.errors import LoadError, UnsupportedFileTypeError
 from tallyframe.functions.local import local_table
-from tallyframe.operators import audit
+from tallyframe.operators import audit, dedupe
 from tallyframe.operators.rules import Rule
 from tallyframe.plans.specs import Step
 from tallyframe.plans.workflow import run_workflow_folder
 from tallyframe.session import shared_folder
 from tallyframe.sources import delimited, files, parquet, reports, snapshots, workbook
+from tallyframe.sources.files import POSITION_COLUMNS
 from tallyframe.sources.consolidation import consolidate_folder, file_summary
 from tallyframe.streaming import folder as stream_folder
 
@@ -113,7 +114,7 @@ def test_folder(spark, write, tmp_path, rows):
     name = F.regexp_extract("source_file", r"([^/]+)$", 1)
     assert rows(log, name, "status", "rows", "columns") == [
         ("a.csv", "ok", 2, 2), ("b%20b.csv", "ok", 1, 2), ("c.csv", "ok", 1, 1),
-        ("d.tsv", "ok", 1, 2), ("empty.csv", "failed", None, None),
+        ("d.tsv", "ok", 1, 2), ("empty.csv", "failed", None, None), ("skip.txt", "skipped", None, None),
     ]
 
 
@@ -153,10 +154,79 @@ def test_file_summary(spark, write):
     }
 
 
-def test_parquet_row_ids(spark, tmp_path):
+def test_parquet_positions_identify_rows_of_several_files(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
-    spark.range(100).coalesce(1).write.parquet(path)
-    assert parquet.read_parquet(spark, path, "row").where("row <> id").isEmpty()
+    spark.range(100, numPartitions=1).write.parquet(path)
+    spark.range(50, numPartitions=1).write.mode("append").parquet(path)
+    df = parquet.read_parquet(spark, path, positions=True)
+    assert df.columns == ["id", *POSITION_COLUMNS]
+    assert df.where("_position <> id").isEmpty()
+    assert df.select(*POSITION_COLUMNS).distinct().count() == 150
+    flagged = dedupe.mark_duplicates(df, ["id"], POSITION_COLUMNS)
+    assert flagged.where("is_duplicate").count() == 50
+
+
+def test_wide_header_and_ragged_rows(spark, write, tmp_path, rows):
+    names = [f"a_rather_long_column_name_{i:06d}" for i in range(40_000)]
+    write("wide.csv", ",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
+    assert len(",".join(names)) > 1 << 20
+    found = delimited.file_headers(spark, str(tmp_path)).first()
+    assert found.header == names and found.error is None
+    (tmp_path / "wide.csv").unlink()
+    write("long.csv", "a,b\n1,2\n3,4,5\n")
+    write("short.csv", "a,b\n1,2\n3\n\n4\n")
+    write("quoted.csv", 'a,b\n"x, y",2\n"say ""hi"", you",6" pipe\n')
+    write("broken.csv", 'a,b\n"two\nlines",2\n')
+    tables, log = delimited.read_folder(spark, str(tmp_path))
+    name = F.regexp_extract("source_file", r"([^/]+)$", 1)
+    assert rows(log, name, "status", "rows", "short_rows", "error") == [
+        ("broken.csv", "ok", 1, None, None),
+        ("long.csv", "failed", None, None, "1 row(s) have more fields than the header"),
+        ("quoted.csv", "ok", 2, 0, None),
+        ("short.csv", "ok", 3, 2, None),
+    ]
+    assert rows(tables[0][1], "a", "b") == [
+        ("1", "2"), ("3", None), ("4", None), ("say \"hi\", you", "6\" pipe"), ("two\nlines", "2"), ("x, y", "2"),
+    ]
+    with pytest.raises(LoadError, match="more fields"):
+        delimited.read_delimited(spark, str(tmp_path / "long.csv"))
+    write("broken_long.csv", 'a,b\n"two\nlines",2,3\n')
+    with pytest.raises(LoadError, match="more fields"):
+        delimited.read_delimited(spark, str(tmp_path / "broken_long.csv"))
+
+
+def test_a_lone_quote_leaves_the_file_splittable(spark, write):
+    found = delimited.scan_lines(spark, write("q.csv", 'a,b\n6" pipe,x\n"y",z"\n')).first()
+    assert found.spans_lines is False and found.widths == {2: 3}
+
+
+def test_several_files_need_one_header(spark, write, rows):
+    same = [write("a.csv", "a,b\n1,x\n"), write("b.csv", "a,b\n2,y\n")]
+    assert rows(delimited.read_delimited(spark, same), "a", "b") == [(1, "x"), (2, "y")]
+    with pytest.raises(LoadError, match="different headers"):
+        delimited.read_delimited(spark, [same[0], write("c.csv", "b,a\nx,1\n")])
+
+
+def test_names_that_differ_in_case(spark, write):
+    df = delimited.read_delimited(spark, write("case.csv", "ID,id,Id.1\n1,2,3\n"))
+    assert df.columns[:3] == ["ID", "id.1", "Id.1.1"]
+    assert tuple(df.first())[:3] == (1, 2, 3)
+
+
+def test_files_are_typed_by_their_own_cells(spark, write, tmp_path, rows):
+    write("a.csv", "k,amount\n1,9\n1,10\n")
+    write("b.csv", "k,amount\n1,9\n1,ten\n1,10\n")
+    steps = [
+        Step("remove_duplicates", {"columns": ["k"], "keep": "highest", "rank_by": "amount"}),
+        Step("validate", {"rules": [{"rule_type": "custom_expression", "parameter": "amount > 9.5"}]}),
+    ]
+    results, report = run_workflow_folder(spark, str(tmp_path), steps)
+    file = F.regexp_extract("source", r"([^/]+)$", 1)
+    assert rows(report.withColumn("source", file), "source", "rows_after", "status", "detail") == [
+        ("a.csv", 1, "OK", "remove_duplicates: Removed 1 row(s); validate: 0 issue(s) found"),
+        ("b.csv", 1, "OK", "remove_duplicates: Removed 2 row(s); validate: 1 issue(s) found"),
+    ]
+    assert rows(results[0], "amount") == [("10",), ("ten",)]
 
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -200,7 +270,7 @@ def test_task_functions_need_no_package_on_executors(tmp_path):
 
     from pyspark import cloudpickle
 
-    for function in (delimited._read_headers, workbook._read_workbooks):
+    for function in (delimited._parse_headers, workbook._read_workbooks):
         (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(function))
         code = "import pickle, sys; f = pickle.load(open('f.pkl', 'rb')); list(f([]));" \
             "assert not any(m.startswith('tallyframe') for m in sys.modules)"
