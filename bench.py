@@ -35,7 +35,7 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 CACHE = os.environ.get("BENCH_CACHE", "1") == "1"
 
 KEYS = ["l_orderkey", "l_linenumber"]
-CSV_COLUMNS = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"]
+CSV_COLUMNS = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate"]
 THREE_RULES = [
     rules.Rule("required", "l_orderkey"),
     rules.Rule("dtype_numeric", "l_returnflag"),

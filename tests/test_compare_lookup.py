@@ -5,36 +5,72 @@ from tallyframe.operators import compare
 from tallyframe.operators.lookup import lookup_and_copy, lookup_report
 
 
-@pytest.fixture
-def people(spark):
-    schema = "ID long, Name string, Dept string"
-    master = local_table(spark, [(1, "Alice", "Eng"), (2, "Bob", "Sales"), (3, "Carol", "Eng")], schema)
-    second = local_table(spark, [(2, "Bob", "Sales"), (3, "Caroline", "Eng"), (4, "Dave", "HR")], schema)
-    return master, second
+COLUMNS = "tank long, content string, litres double"
+MORNING = [(t, ("milk", "oil", None)[t % 3], float(t)) for t in range(1, 13)] + [(None, "rain", None)]
+# In the evening three tanks are gone, two are new, one was refilled, one holds something else.
+EVENING = [
+    (t, "juice" if t == 5 else c, 99.0 if t == 6 else v) for t, c, v in MORNING if t not in (2, 3, 11)
+] + [(20, "oil", None), (21, None, 2.0)]
 
 
-def test_statuses_and_changed_columns(people, rows):
-    pairs = compare.compare_tables(*people, ["ID"])
-    assert rows(pairs, "ID", "status") == [
-        (1, "missing_in_second"), (2, "unchanged"), (3, "modified"), (4, "new_in_second"),
-    ]
-    modified = pairs.where("status = 'modified'").first()
-    assert modified.changed_columns == ["Name"]
-    assert (modified.Name_master, modified.Name_second) == ("Carol", "Caroline")
-    summary = compare.compare_summary(pairs, ["ID"]).first()
-    assert (summary.matched, summary.missing_in_second, summary.new_in_second, summary.modified) == (2, 1, 1, 1)
+@pytest.fixture
+def tanks(spark):
+    return local_table(spark, MORNING, COLUMNS), local_table(spark, EVENING, COLUMNS)
+
+
+def expected_pairs():
+    first, second = ({t: rest for t, *rest in side} for side in (MORNING, EVENING))
+    out = {}
+    for tank in first.keys() | second.keys():
+        if tank not in second:
+            out[tank] = ("missing_in_second", [])
+        elif tank not in first:
+            out[tank] = ("new_in_second", [])
+        else:
+            names = ["content", "litres"]
+            changed = [n for n, a, b in zip(names, first[tank], second[tank]) if a != b]
+            out[tank] = ("modified" if changed else "unchanged", changed)
+    return out
+
+
+def test_statuses_and_changed_columns(tanks):
+    pairs = compare.compare_tables(*tanks, ["tank"])
+    assert {r.tank: (r.status, r.changed_columns) for r in pairs.collect()} == expected_pairs()
+    changed = pairs.where("tank = 5").first()
+    assert (changed.content_master, changed.content_second) == (None, "juice")
+    counts = {}
+    for status, _ in expected_pairs().values():
+        counts[status] = counts.get(status, 0) + 1
+    summary = compare.compare_summary(pairs, ["tank"]).first()
+    assert summary.matched == counts["modified"] + counts["unchanged"] == 10
+    assert (summary.missing_in_second, summary.new_in_second, summary.modified) == (3, 2, 2)
+
+
+def test_missing_is_new_the_other_way_round(tanks, rows):
+    morning, evening = tanks
+    assert rows(compare.rows_missing(morning, evening, ["tank"]), "tank") == [(2,), (3,), (11,)]
+    assert rows(compare.rows_missing(evening, morning, ["tank"]), "tank") == [(20,), (21,)]
+
+
+def test_equal_tables_have_no_differences(tanks):
+    morning, _ = tanks
+    pairs = compare.compare_tables(morning, morning, ["tank", "content"])
+    assert pairs.where("status <> 'unchanged'").isEmpty()
 
 
-def test_missing_is_new_the_other_way_round(people, rows):
-    master, second = people
-    assert rows(compare.rows_missing(master, second, ["ID"])) == [(1, "Alice", "Eng")]
-    assert rows(compare.rows_missing(second, master, ["ID"])) == [(4, "Dave", "HR")]
+def test_result_names_must_differ(spark, tanks):
+    named = local_table(spark, [(1, "x")], "tank long, Status string")
+    for sides in ((tanks[0], named), (named, tanks[0])):
+        with pytest.raises(ValueError, match="one name"):
+            compare.compare_tables(*sides, ["tank"])
 
 
-def test_equal_tables_have_no_differences(people):
-    master, _ = people
-    pairs = compare.compare_tables(master, master, ["ID", "Name"])
-    assert pairs.where("status <> 'unchanged'").isEmpty()
+def test_whole_numbers_beyond_doubles_stay_apart(spark, rows):
+    big = 2**53
+    a = local_table(spark, [(big,), (big + 1,), (3,), (None,)], "k long")
+    b = local_table(spark, [(float(big),), (3.0,), (3.5,), (None,)], "k double")
+    pairs = compare.compare_tables(a, b, ["k"])
+    assert rows(pairs.groupBy("status").count()) == [("missing_in_second", 1), ("new_in_second", 1), ("unchanged", 3)]
 
 
 def test_null_keys_match_and_numbers_compare_by_value(spark, rows):
@@ -76,51 +112,57 @@ def test_repeated_keys_pair_up(spark):
     assert (summary.matched, summary.modified) == (6, 4)
 
 
-@pytest.mark.parametrize("keys", [[], ["Nope"]])
-def test_compare_errors(people, keys):
+@pytest.mark.parametrize("keys", [[], ["barrel"], ["tank", "barrel"]])
+def test_compare_errors(tanks, keys):
     with pytest.raises(ValueError):
-        compare.compare_tables(*people, keys)
+        compare.compare_tables(*tanks, keys)
     with pytest.raises(ValueError):
-        compare.compare_tables(people[0], people[1].drop("Dept"), ["Dept"])
+        compare.compare_tables(tanks[0], tanks[1].drop("litres"), ["litres"])
+
+
+# Stations with their heights, the first of repeated names counting; readings to be completed.
+STATIONS = [("alta", 469, "n"), ("bode", 88, None), ("alta", 1, "s"), (None, 7, "x"), ("cima", None, "w")]
+READINGS = [("cima", 5), ("alta", None), ("dune", 3), (None, None), ("alta", 2), ("bode", 1)]
 
 
 @pytest.fixture
-def signals(frame):
-    master = frame(
-        "SignalName string, Unit string, Owner string",
-        ("Sig1", "V", "X"), ("Sig2", "A", "Y"), ("Sig3", "Hz", "Z"),
-    )
-    target = frame("SignalName string, Unit string", ("Sig2", None), ("Sig3", None), ("Sig4", None))
-    return target, master
+def stations(frame):
+    master = frame("station string, height long, side string", *STATIONS)
+    return frame("station string, height long", *READINGS), master
 
 
-def test_lookup_overwrites_matched_rows(signals, rows):
-    target, master = signals
-    found = lookup_and_copy(target, master, "SignalName", ["Unit"], "row_id", matched="hit")
-    assert rows(found, "SignalName", "Unit", "hit") == [
-        ("Sig2", "A", True), ("Sig3", "Hz", True), ("Sig4", None, False),
-    ]
-    assert tuple(lookup_report(target, master, "SignalName").first()) == ("SignalName", 2, 1)
+def first_station():
+    found = {}
+    for name, *rest in STATIONS:
+        found.setdefault(name, rest)
+    return found
 
 
-def test_lookup_adds_a_new_column(frame, rows):
-    master = frame("ID long, Category string", (1, "X"), (2, "Y"))
-    found = lookup_and_copy(frame("ID long", (1,), (2,), (3,)), master, "ID", ["Category"], "row_id")
-    assert rows(found, "ID", "Category") == [(1, "X"), (2, "Y"), (3, None)]
+def test_lookup_overwrites_matched_rows(stations):
+    target, master = stations
+    found = lookup_and_copy(target, master, "station", ["height"], "row_id", matched="hit")
+    known = first_station()
+    expected = [(n, known[n][0] if n in known else h, n in known) for n, h in READINGS]
+    assert [(r.station, r.height, r.hit) for r in found.orderBy("row_id").collect()] == expected
+    assert tuple(lookup_report(target, master, "station").first()) == ("station", 5, 1)
 
 
-def test_lookup_composite_keys(frame, rows):
+def test_lookup_adds_a_new_column(stations):
+    target, master = stations
+    found = lookup_and_copy(target, master, "station", ["side"], "row_id")
+    known = first_station()
+    expected = [known[n][1] if n in known else None for n, _ in READINGS]
+    assert [r.side for r in found.orderBy("row_id").collect()] == expected
+
+
+def test_lookup_composite_keys(frame):
     master = frame(
-        "VIN string, Engine string, Owner string",
-        ("V1", "E1", "Alice"), ("V1", "E2", "Bob"), ("V2", "E1", "Carol"),
+        "line long, stop string, zone long", *[(i % 4, "abc"[i % 3], i) for i in range(24)], (None, "a", 50)
     )
-    target = frame("VIN string, Engine string", ("V1", "E1"), ("V1", "E2"), ("V2", "E9"))
-    keys = ["VIN", "Engine"]
-    found = lookup_and_copy(target, master, keys, ["Owner"], "row_id")
-    assert rows(found, "VIN", "Engine", "Owner") == [
-        ("V1", "E1", "Alice"), ("V1", "E2", "Bob"), ("V2", "E9", None),
-    ]
-    assert tuple(lookup_report(target, master, keys).first()) == ("VIN + Engine", 2, 1)
+    target = frame("line long, stop string", (0, "a"), (0, "d"), (3, "b"), (None, "a"), (9, "c"))
+    found = lookup_and_copy(target, master, ["line", "stop"], ["zone"], "row_id")
+    assert [r.zone for r in found.orderBy("row_id").collect()] == [0, None, 7, 50, None]
+    assert tuple(lookup_report(target, master, ["line", "stop"]).first()) == ("line + stop", 3, 2)
 
 
 def test_composite_keys_never_run_together(frame):
@@ -158,9 +200,8 @@ def test_lookup_key_options(frame):
 
 @pytest.mark.parametrize(
     "match, copied",
-    [([], ["Unit"]), (["Nope"], ["Unit"]), (["SignalName"], []), (["SignalName"], ["Nope"]),
-     (["SignalName"], ["SignalName"])],
+    [([], ["height"]), (["town"], ["height"]), (["station"], []), (["station"], ["town"]), (["station"], ["station"])],
 )
-def test_lookup_errors(signals, match, copied):
+def test_lookup_errors(stations, match, copied):
     with pytest.raises(ValueError):
-        lookup_and_copy(*signals, match, copied, "row_id")
+        lookup_and_copy(*stations, match, copied, "row_id")

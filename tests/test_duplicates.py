@@ -3,15 +3,27 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import dedupe
 
-FLEET = [
-    ("A1", "E1", 10), ("A1", "E1", 20), ("A2", "E2", 5), ("A3", "E3", 1), ("A3", "E3", 9), ("A3", "E3", 3),
+# Parcels scanned at docks: repeated pairs, a pair with a null, ties and nulls among the weights.
+SCANS = [
+    ("oslo", 4, 2.5), ("oslo", 7, 1.0), ("oslo", 4, 9.0), (None, 4, None), ("bern", 4, 3.0), ("oslo", 4, 9.0),
+    (None, 4, 0.5), ("bern", 4, 3.0), ("oslo", 7, None), ("lima", 1, None), (None, 4, 0.5),
 ]
-KEYS = ["VIN", "Engine"]
+KEYS = ["site", "dock"]
+
+
+def kept_rows(keep):
+    """Row numbers that stay, by plain Python."""
+    groups = {}
+    for i, (site, dock, _) in enumerate(SCANS):
+        groups.setdefault((site, dock), []).append(i)
+    weight = lambda i: (SCANS[i][2] is not None, SCANS[i][2] or 0, -i)
+    pick = {"first": min, "last": max, "highest": lambda rows: max(rows, key=weight)}[keep]
+    return {pick(rows) for rows in groups.values()}
 
 
 @pytest.fixture
-def fleet(frame):
-    return frame("VIN string, Engine string, Score long", *FLEET)
+def scans(frame):
+    return frame("site string, dock long, weight double", *SCANS)
 
 
 def mask(df, **options):
@@ -19,20 +31,20 @@ def mask(df, **options):
     return [r.is_duplicate for r in flagged.orderBy("row_id").collect()]
 
 
-@pytest.mark.parametrize(
-    "keep, expected",
-    [
-        ("first", [False, True, False, False, True, True]),
-        ("last", [True, False, False, True, True, False]),
-        ("highest", [True, False, False, True, False, True]),
-    ],
-)
-def test_mask_and_removal_agree(fleet, rows, keep, expected):
-    assert mask(fleet, keep=keep) == expected
-    kept = dedupe.drop_duplicates(fleet, KEYS, "row_id", keep)
-    assert rows(kept, "row_id") == [(i,) for i, dup in enumerate(expected) if not dup]
-    flagged = dedupe.duplicate_rows(fleet, KEYS, "row_id", keep)
-    assert rows(flagged, "row_id") == [(i,) for i, dup in enumerate(expected) if dup]
+@pytest.mark.parametrize("keep", ["first", "last", "highest"])
+def test_mask_and_removal_agree(scans, rows, keep):
+    kept = kept_rows(keep)
+    assert mask(scans, keep=keep) == [i not in kept for i in range(len(SCANS))]
+    assert rows(dedupe.drop_duplicates(scans, KEYS, "row_id", keep), "row_id") == [(i,) for i in sorted(kept)]
+    flagged = dedupe.duplicate_rows(scans, KEYS, "row_id", keep)
+    assert rows(flagged, "row_id") == [(i,) for i in range(len(SCANS)) if i not in kept]
+    narrow = dedupe.duplicate_mask(scans, KEYS, "row_id", keep)
+    assert rows(narrow) == [(i, i not in kept) for i in range(len(SCANS))]
+
+
+def test_flag_name_must_be_free(scans):
+    with pytest.raises(ValueError, match="in use"):
+        dedupe.mark_duplicates(scans, KEYS, "row_id", mask="Weight")
 
 
 def test_nulls_and_nans_are_equal_keys(frame):
@@ -64,34 +76,35 @@ def test_several_order_columns(frame):
     assert [r.is_duplicate for r in flagged.orderBy("row_id").collect()] == [True, True, False]
 
 
-def test_report(fleet):
-    report = dedupe.duplicate_report(fleet, KEYS, "last").first()
-    assert tuple(report) == ("VIN, Engine", 6, 3, 50.0, "last")
+def test_report(scans):
+    report = dedupe.duplicate_report(scans, KEYS, "last").first()
+    assert tuple(report) == ("site, dock", 11, 6, 54.5, "last")
 
 
-def test_report_of_empty_table(fleet):
-    report = dedupe.duplicate_report(fleet.where("false"), KEYS).first()
+def test_report_of_empty_table(scans):
+    report = dedupe.duplicate_report(scans.where("false"), KEYS).first()
     assert (report.total_rows, report.duplicate_rows, report.duplicate_pct) == (0, 0, 0.0)
 
 
-def test_full_row_duplicates(fleet):
-    assert tuple(dedupe.full_row_duplicates(fleet.select(*KEYS)).first()) == (6, 3)
+def test_full_row_duplicates(scans):
+    repeated = len(SCANS) - len(set(SCANS))
+    assert tuple(dedupe.full_row_duplicates(scans.drop("row_id")).first()) == (len(SCANS), repeated)
 
 
 def test_column_names_with_blanks_and_dots(frame):
-    df = frame("`Engine Number` string, `a.b` string", ("x", "y"), ("x", "y"), ("x", "z"))
-    assert mask(df, keys=["Engine Number", "a.b"]) == [False, True, False]
+    df = frame("`dock no` string, `a.b` string", ("x", "y"), ("x", "y"), ("x", "z"))
+    assert mask(df, keys=["dock no", "a.b"]) == [False, True, False]
     assert dedupe.drop_duplicates(df, ["a.b"], "row_id").count() == 2
 
 
 @pytest.mark.parametrize(
     "keys, keep, message",
-    [([], "first", "At least one"), (["Nope"], "first", "not found"), (KEYS, "best", "Unknown keep")],
+    [([], "first", "key column"), (["weather"], "first", "not found"), (KEYS, "middle", "is none of")],
 )
-def test_errors_come_before_any_job(fleet, keys, keep, message):
+def test_errors_come_before_any_job(scans, keys, keep, message):
     for run in (dedupe.mark_duplicates, dedupe.drop_duplicates):
         with pytest.raises(ValueError, match=message):
-            run(fleet, keys, "row_id", keep)
+            run(scans, keys, "row_id", keep)
 
 
 def test_dropping_twice_changes_nothing(spark, rows):
