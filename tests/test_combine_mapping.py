@@ -5,26 +5,44 @@ from tallyframe.operators import combine, mapping, search
 from tallyframe.plans import specs
 
 
+BOATS = [(3, "sloop"), (5, "ketch"), (5, "yawl"), (None, "raft"), (8, "canoe"), (13, None)]
+BERTHS = [(5, "pier"), (8, "quay"), (8, "mole"), (21, "buoy"), (None, "beach")]
+
+
 @pytest.fixture
-def names_and_depts(spark):
-    left = local_table(spark, [(1, "A"), (2, "B")], "ID long, Name string")
-    right = local_table(spark, [(2, "Eng"), (3, "Sales")], "ID long, Dept string")
-    return left, right
+def harbour(spark):
+    return local_table(spark, BOATS, "length long, boat string"), local_table(spark, BERTHS, "length int, berth string")
+
+
+def joined_by_hand(mode):
+    out = [(a, boat, berth) for a, boat in BOATS for b, berth in BERTHS if a == b]
+    if mode in ("left", "outer"):
+        out += [(a, boat, None) for a, boat in BOATS if a not in [b for b, _ in BERTHS]]
+    if mode in ("right", "outer"):
+        out += [(b, None, berth) for b, berth in BERTHS if b not in [a for a, _ in BOATS]]
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("mode, count", [("inner", 1), ("left", 2), ("right", 2), ("outer", 3)])
-def test_join_modes(names_and_depts, mode, count):
-    joined = combine.join_tables(*names_and_depts, ["ID"], mode)
-    assert joined.columns == ["ID", "Name", "Dept"]
-    assert joined.count() == count
-    assert joined.where("ID IS NULL").isEmpty()
-    assert tuple(combine.join_report(joined, mode, ["ID"]).first()) == (mode, "ID", 2, count, 3)
+@pytest.mark.parametrize("mode", ["inner", "left", "right", "outer"])
+def test_join_modes(harbour, mode):
+    joined = combine.join_tables(*harbour, ["length"], mode)
+    assert joined.columns == ["length", "boat", "berth"]
+    assert sorted((tuple(r) for r in joined.collect()), key=str) == joined_by_hand(mode)
+    report = combine.join_report(joined, mode, ["length"]).first()
+    assert tuple(report) == (mode, "length", 2, len(joined_by_hand(mode)), 3)
 
 
-def test_join_errors(names_and_depts):
-    for keys, mode in ((["ID"], "cross"), ([], "inner"), (["Name"], "inner")):
+def test_join_errors(harbour):
+    for keys, mode in ((["length"], "sideways"), ([], "inner"), (["boat"], "inner")):
         with pytest.raises(ValueError):
-            combine.join_tables(*names_and_depts, keys, mode)
+            combine.join_tables(*harbour, keys, mode)
+
+
+def test_join_names_must_differ(spark):
+    a = local_table(spark, [(1, 2, 3)], "k long, v long, V_right long")
+    b = local_table(spark, [(1, 2)], "k long, v long")
+    with pytest.raises(ValueError, match="one name"):
+        combine.join_tables(a, b, ["k"], "inner")
 
 
 def test_overlapping_columns_and_null_keys(spark, rows):
@@ -36,11 +54,12 @@ def test_overlapping_columns_and_null_keys(spark, rows):
 
 
 def test_union_aligns_and_tags(spark, rows):
-    a = local_table(spark, [(1, "A"), (2, "B")], "ID long, Name string")
-    b = local_table(spark, [(3, "C", "x")], "ID long, Name string, Extra string")
-    union = combine.union_tables([a, b], ["a.csv", "b.csv"])
-    assert rows(union, "ID", "Extra", "Source File") == [
-        (1, None, "a.csv"), (2, None, "a.csv"), (3, "x", "b.csv"),
+    a = local_table(spark, [(4, "dry"), (None, "wet"), (4, "dry")], "depth long, ground string")
+    b = local_table(spark, [("mud", 9, True)], "ground string, depth long, mapped boolean")
+    union = combine.union_tables([a, b], ["spring.csv", "fall.csv"])
+    assert rows(union, "depth", "ground", "mapped", "Source File") == [
+        (None, "wet", None, "spring.csv"), (4, "dry", None, "spring.csv"), (4, "dry", None, "spring.csv"),
+        (9, "mud", True, "fall.csv"),
     ]
 
 
@@ -65,22 +84,22 @@ def test_union_errors(spark):
 
 
 def test_consolidate(spark, rows):
-    s1 = local_table(spark, [("S1", "V")], "Signal string, Unit string")
-    s2 = local_table(spark, [("S2", "A")], "Signal string, Unit string")
-    other = local_table(spark, [(1,)], "Different long")
-    listed = [("o.xlsx", "Sheet1", other), ("a.xlsx", "Sheet1", s1), ("b.xlsx", "Data", s2)]
-    merged = combine.consolidate(listed, "2024-01-31T00:00:00")
-    assert rows(merged) == [
-        ("S1", "V", "a.xlsx", "Sheet1", "2024-01-31T00:00:00"),
-        ("S2", "A", "b.xlsx", "Data", "2024-01-31T00:00:00"),
-    ]
-    assert tuple(combine.consolidation_summary(spark, listed, merged).first()) == (2, 0, 2, 2, 1)
+    header = "river string, gauge double"
+    parts = {
+        ("n.xlsx", "May"): [("rhine", 3.5), ("ems", None)], ("n.xlsx", "June"): [], ("s.xlsx", "May"): [("inn", 1.0)] * 2,
+    }
+    listed = [("odd.xlsx", "May", local_table(spark, [("x",)], "lake string"))]
+    listed += [(file, sheet, local_table(spark, data, header)) for (file, sheet), data in parts.items()]
+    merged = combine.consolidate(listed, "2031-05-01T06:00:00")
+    expected = [(*row, *source, "2031-05-01T06:00:00") for source, data in parts.items() for row in data]
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted(expected, key=str)
+    assert tuple(combine.consolidation_summary(spark, listed, merged).first()) == (2, 0, 4, 3, 1)
     report = combine.consolidation_report(spark, listed, merged)
-    assert rows(report, "source_file", "consolidated", "rows") == [
-        ("a.xlsx", True, 1), ("b.xlsx", True, 1), ("o.xlsx", False, None),
+    assert rows(report, "source_file", "source_sheet", "consolidated", "rows") == [
+        ("n.xlsx", "June", True, 0), ("n.xlsx", "May", True, 2), ("odd.xlsx", "May", False, None), ("s.xlsx", "May", True, 2),
     ]
     with pytest.raises(ValueError):
-        combine.consolidate([], "now")
+        combine.consolidate([], "2031-05-01")
 
 
 def test_header_groups_look_at_order_and_first_seen(spark):
@@ -91,27 +110,28 @@ def test_header_groups_look_at_order_and_first_seen(spark):
 
 
 def test_map_columns(spark):
-    df = local_table(spark, [("S1", "V", "X")], "SignalName string, Unit string, Owner string")
+    df = local_table(spark, [("p", 1, 2.0)], "herb string, bed long, yield double")
     pairs = specs.mappings_from(
-        [{"source": "SignalName", "destination": "Signal"}, {"source": "Unit", "destination": "Engineering Unit"}]
+        [{"source": "yield", "destination": "kilos per bed"}, {"source": "herb", "destination": "plant"}]
     )
-    assert mapping.map_columns(df, pairs).columns == ["Signal", "Engineering Unit"]
-    kept = mapping.map_columns(df, [("Owner", "Who")], keep_unmapped=True)
-    assert kept.columns == ["Who", "SignalName", "Unit"]
+    assert mapping.map_columns(df, pairs).columns == ["kilos per bed", "plant"]
+    kept = mapping.map_columns(df, [("bed", "row")], keep_unmapped=True)
+    assert kept.columns == ["row", "herb", "yield"]
+    assert tuple(kept.first()) == (1, "p", 2.0)
 
 
 def test_mapping_errors(spark):
-    df = local_table(spark, [(1, 2)], "A long, B long")
-    for pairs in ([], [("Nope", "x")], [("A", "x"), ("A", "y")], [("A", "x"), ("B", "x")]):
+    df = local_table(spark, [(1, 2)], "bed long, yield long")
+    for pairs in ([], [("soil", "x")], [("bed", "x"), ("bed", "y")], [("bed", "x"), ("yield", "x")]):
         with pytest.raises(ValueError):
             mapping.map_columns(df, pairs)
     with pytest.raises(ValueError):
-        mapping.map_columns(df, [("A", "B")], keep_unmapped=True)
+        mapping.map_columns(df, [("bed", "yield")], keep_unmapped=True)
 
 
 def test_identical_names():
-    pairs = mapping.map_identical_names(["SignalName", "Unit", "Extra"], ["Unit", "SignalName", "Other", "extra"])
-    assert pairs == [("SignalName", "SignalName"), ("Unit", "Unit")]
+    pairs = mapping.map_identical_names(["herb", "Bed", "yield", "soil"], ["yield", "bed", "herb", "rain"])
+    assert pairs == [("herb", "herb"), ("yield", "yield")]
 
 
 def test_search_takes_text_literally_and_ignores_case(spark, rows):
