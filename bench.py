@@ -13,6 +13,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -112,6 +113,8 @@ def headline(spark):
 
 
 def main():
+    # One machine: a folder of its own is shared by driver and executors.
+    shared = tempfile.TemporaryDirectory(prefix="bench-")
     spark = build_session(
         "bench",
         f"local[{CPUS}]",
@@ -119,6 +122,7 @@ def main():
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
+        spark__checkpoint__dir=shared.name,
     )
     spark.sparkContext.setLogLevel("OFF")
     timings = {}

@@ -1,5 +1,7 @@
 """Session settings the operators are tuned for, and the shared scratch folder."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,15 +32,27 @@ def build_session(app_name="tallyframe", master=None, **settings):
     return builder.getOrCreate()
 
 
+_local_root = None
+
+
+def _local_folder():
+    """One temporary folder of this process, gone when it ends."""
+    global _local_root
+    if _local_root is None:
+        _local_root = tempfile.mkdtemp(prefix="tallyframe-")
+        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
+    return _local_root
+
+
 def shared_folder(spark, purpose):
     """A fresh path below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session, where driver and executors are one machine, may fall
-    back to a temporary folder.
+    Only where that is unset and driver and executors are one machine, as in tests,
+    is it a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-        root = tempfile.mkdtemp(prefix="tallyframe-")
+        root = _local_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -4,10 +4,14 @@ A report is a folder with one dataset per table. Inputs are never overwritten:
 an existing target is an error unless the caller says otherwise.
 """
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import col
-from tallyframe.operators.compare import compare_summary, compare_tables
+from tallyframe.functions.local import local_table
+from tallyframe.operators.compare import (
+    MISSING, MODIFIED, NEW, UNCHANGED, compare_summary, compare_tables,
+)
 from tallyframe.operators.dedupe import duplicate_report, duplicate_rows
 from tallyframe.operators.profile import column_statistics, table_metadata
 from tallyframe.operators.rules import validate, validation_report
@@ -56,21 +60,22 @@ def duplicate_tables(df, keys, order_by, keep="first", rank_by=None):
     return {"duplicate_rows": duplicate_rows(df, keys, order_by, keep, rank_by), "summary": summary}
 
 
+# What the comparison's summary calls its figures.
+COMPARISON_METRICS = {
+    "Master File": "master",
+    "Second File": "second",
+    "Key Column(s)": "key_columns",
+    "Matched Rows": "matched",
+    "Missing In Second": "missing_in_second",
+    "New In Second": "new_in_second",
+    "Modified Rows": "modified",
+}
+
+
 def comparison_tables(master, second, keys, master_label="master", second_label="second", **options):
     """All differing rows, told apart by ``status``, and ``Summary``."""
     compared = compare_tables(master, second, keys, **options)
-    summary = metric_rows(
-        compare_summary(compared, keys, master_label, second_label),
-        {
-            "Master File": "master",
-            "Second File": "second",
-            "Key Column(s)": "key_columns",
-            "Matched Rows": "matched",
-            "Missing In Second": "missing_in_second",
-            "New In Second": "new_in_second",
-            "Modified Rows": "modified",
-        },
-    )
+    summary = metric_rows(compare_summary(compared, keys, master_label, second_label), COMPARISON_METRICS)
     return {"differences": compared.where("status <> 'unchanged'"), "summary": summary}
 
 
@@ -81,6 +86,27 @@ def write_comparison(tables, folder, fmt="parquet"):
     write_table(tables["summary"], f"{folder}/summary", fmt)
 
 
+def save_comparison(
+    master, second, keys, folder, fmt="parquet", master_label="master", second_label="second", **options
+):
+    """The comparison report in one pass: figures are counted while the differences are written."""
+    compared = compare_tables(master, second, keys, **options)
+    counts = Observation()
+    states = (MISSING, NEW, MODIFIED, UNCHANGED)
+    seen = compared.observe(counts, *[F.count_if(F.col("status") == s).alias(s) for s in states])
+    folder = folder.rstrip("/")
+    write_table(seen.where(F.col("status") != UNCHANGED), f"{folder}/differences", fmt, partition_by=["status"])
+    found = counts.get
+    row = (
+        master_label, second_label, ", ".join(keys), found[MODIFIED] + found[UNCHANGED], found[MISSING], found[NEW],
+        found[MODIFIED],
+    )
+    schema = "master string, second string, key_columns string, matched long, missing_in_second long," \
+        " new_in_second long, modified long"
+    summary = metric_rows(local_table(master.sparkSession, [row], schema), COMPARISON_METRICS)
+    write_table(summary, f"{folder}/summary", fmt)
+
+
 def validation_tables(df, rules, row_id):
     """``Issues`` with 1-based rows for a 0-based ``row_id``, and ``Summary``."""
     issues = validate(df, rules, row_id).select(

@@ -12,20 +12,28 @@ from tallyframe.operators.rules import UNIQUE, split_rows
 from tallyframe.sources.delimited import NA_TOKENS, apply_types
 
 
-def read_folder_stream(spark, folder, types, sep=",", files_per_batch=1000):
-    """New files of ``folder`` as typed rows; ``types`` gives column names and types."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in types])
+def read_folder_stream(spark, folder, types, sep=",", files_per_batch=1000, corrupt_column="_corrupt_record"):
+    """New files of ``folder`` as typed rows; ``types`` gives column names and types.
+
+    A line with more or fewer fields than ``types`` is kept as text in ``corrupt_column``, so that no
+    cell of it is lost.
+    """
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*types, corrupt_column]])
     texts = (
         spark.readStream.schema(schema)
         .option("header", True)
         .option("sep", sep)
         .option("escape", '"')
         .option("multiLine", True)
+        .option("maxColumns", max(20_480, len(types) + 16))
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", corrupt_column)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
     )
     filled = texts.select(
         *[F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in types],
+        col(corrupt_column),
         F.col("_metadata.file_path").alias("_source_file"),
     )
     return apply_types(filled, types)

@@ -420,3 +420,15 @@ def test_folder_stream(spark, tmp_path, rows):
     assert rows(spark.read.parquet(str(tmp_path / "bad")), "id", "v") == [(None, "b"), (3, "D")]
     with pytest.raises(ValueError):
         stream_folder.split_stream(spark.readStream.format("rate").load(), [Rule("unique", "value")])
+
+
+def test_comparison_saved_in_one_pass(spark, tmp_path, rows):
+    first = spark.range(40).selectExpr("id AS k", "id % 4 AS v")
+    second = spark.range(10, 60).selectExpr("id AS k", "id % 4 + (id = 30)::int AS v")
+    reports.save_comparison(first, second, ["k"], str(tmp_path / "report"))
+    tables = reports.comparison_tables(first, second, ["k"])
+    read = lambda name: spark.read.parquet(str(tmp_path / "report" / name))
+    assert rows(read("summary")) == rows(tables["summary"])
+    assert rows(read("differences").groupBy("status").count()) == [
+        ("missing_in_second", 10), ("modified", 1), ("new_in_second", 20),
+    ]
