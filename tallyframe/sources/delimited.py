@@ -91,11 +91,15 @@ def _parse_headers(batches):
             if line is None or not line.strip("\ufeff \t"):
                 rows.append((path, None, "No columns to parse from file"))
                 continue
+            line = line.removeprefix("\ufeff")
             try:
-                cells = next(csv.reader(io.StringIO(line.removeprefix("\ufeff"), newline=""), delimiter=sep))
-                rows.append((path, tidy_header(cells), None))
-            except (StopIteration, csv.Error) as error:
-                rows.append((path, None, str(error)))
+                list(csv.reader(io.StringIO(line, newline=""), delimiter=sep, strict=True))
+            except csv.Error as error:
+                if "end of data" in str(error):
+                    rows.append((path, None, "The header record spans lines"))
+                    continue
+            cells = next(csv.reader(io.StringIO(line, newline=""), delimiter=sep))
+            rows.append((path, tidy_header(cells), None))
         yield pd.DataFrame(rows, columns=["path", "header", "error"])
 
 

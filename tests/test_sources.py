@@ -432,3 +432,11 @@ def test_comparison_saved_in_one_pass(spark, tmp_path, rows):
     assert rows(read("differences").groupBy("status").count()) == [
         ("missing_in_second", 10), ("modified", 1), ("new_in_second", 20),
     ]
+
+
+def test_a_header_that_spans_lines(spark, write, tmp_path):
+    path = write("h.csv", 'a,"b\nc"\n1,2\n')
+    df = delimited.read_delimited(spark, path)
+    assert df.columns[:2] == ["a", "b\nc"] and tuple(df.first())[:2] == (1, 2)
+    log = delimited.read_folder(spark, str(tmp_path))[1].first()
+    assert (log.status, log.error) == ("failed", "The header record spans lines")
