@@ -16,6 +16,10 @@ Copies first: classes that share a run of ``BAND`` coordinates are confirmed aga
 which links large groups of near copies without pairing them all. After that only pairs of classes that
 are not linked yet are sought, so the confirmed links connect exactly what all links would connect.
 
+Nowhere are the pairs of a group written out. A list hands on a forest of its matching pairs; the classes
+that such forests and known links connect form a group, and the sets of a group are compared inside tasks,
+one for every two chunks of ``GROUP_CHUNK`` classes, which again hand on a forest of confirmed links.
+
 Defined results: a text that is null or has no words has an empty set and links with nothing, nor does a
 row without id; such rows are kept, each in a component of its own id. Repeated rows are in one class.
 Rows that repeat an id with other texts share one component entry per text. An empty table gives an empty
@@ -26,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import components, runs, staged, utf8
+from tallyframe.llm.common import components, forest, runs, staged, utf8
 
 WORDS = 2
 PERCENT = 80
@@ -37,6 +41,7 @@ LONG_LIST = 4096
 DEPTH = 3
 CHUNK = 4096
 HUB_ROWS = 2000  # texts confirmed against one in a task
+GROUP_CHUNK = 512
 STEP_BYTES = 1 << 21
 PAIRS = 1 << 20  # compared at a time
 
@@ -207,10 +212,11 @@ def _value(at):
     return F.expr(f"substring(signature, ({at}) * 4 + 1, 4)")
 
 
-def candidate_pairs(classes, percent=PERCENT):
-    """(a, b), a < b: classes of different components whose signatures match in enough coordinates.
+def candidate_links(classes, percent=PERCENT):
+    """(a, b): forests over the classes of different components whose signatures match in enough coordinates.
 
-    ``classes`` has cid, component, n and signature.
+    Every class with such a match is in a forest, with every class it matches. ``classes`` has cid,
+    component, n and signature.
     """
     facts = classes.select("cid", "component", "n", "signature")
     posted = facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(PREFIX - 1))).alias("last")).select(
@@ -258,19 +264,19 @@ def candidate_pairs(classes, percent=PERCENT):
 
 
 def _merge(batches, percent):
-    """Pairs of each run of postings, sorted by set size, that match in enough coordinates."""
+    """A forest of the matching pairs of each run of postings, sorted by set size."""
     bits = np.int64(1) << np.arange(COORDINATES, dtype=np.int64)
     for table, starts in runs(batches):
         column = lambda name: table.column(name).to_numpy()  # noqa: B023, E731
         cid, path, last, side, component, n = map(column, ("cid", "path", "last", "side", "component", "n"))
-        raw = b"".join(table.column("signature").to_pylist())
-        signature = np.frombuffer(raw, np.uint32).reshape(len(cid), COORDINATES)
+        signature = _signatures(table)
         out = []
         for a, b in zip(starts, np.append(starts[1:], len(cid))):
             crossed = side[a:b].any()
             # Sizes ascend: from each class on, those at most 100 / percent times as large.
             ends = a + np.searchsorted(n[a:b], n[a:b] * 100 // percent, "right")
             counts = ends - np.arange(a, b) - 1
+            pairs = []
             for lo, hi in _parts(counts):
                 reach = counts[lo:hi]
                 x = np.repeat(np.arange(a + lo, a + hi), reach)
@@ -285,12 +291,94 @@ def _merge(batches, percent):
                 # The list's coordinates must be the pair's first matches; else another list has it.
                 first = (same * bits).sum(1) & ((np.int64(2) << last[x].astype(np.int64)) - 1)
                 keep = first == path[x]
-                out.append((cid[x[keep]], cid[y[keep]]))
-        left = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)
-        right = np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"]
-        )
+                pairs.append((x[keep] - a, y[keep] - a))
+            out.append(_forest_of(pairs, cid[a:b]))
+        yield _links(out)
+
+
+def _signatures(table):
+    raw = b"".join(table.column("signature").to_pylist())
+    return np.frombuffer(raw, np.uint32).reshape(table.num_rows, COORDINATES)
+
+
+def _forest_of(pairs, names):
+    """(node, root) names of a forest over pairs of positions."""
+    x, y = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+    if not len(x):
+        return names[:0], names[:0]
+    roots = forest(x, y, len(names))
+    hung = np.flatnonzero(roots != np.arange(len(names)))
+    return names[hung], names[roots[hung]]
+
+
+def _links(parts):
+    columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+
+def confirm_groups(candidates, classes, docs, words=WORDS, percent=PERCENT):
+    """(a, b): forests of the confirmed links between classes of different components.
+
+    ``candidates`` are links (a, b) whose groups, with the links known already, hold all pairs to check.
+    """
+    known = classes.select(F.col("cid").alias("_c"), "component")
+    touched = candidates.select("a").union(candidates.select("b")).distinct().toDF("cid")
+    touched = staged(touched.join(known, F.col("cid") == F.col("_c")).select("cid", "component"), "touched")
+    joined = candidates.unionByName(touched.select(F.col("cid").alias("a"), F.col("component").alias("b")))
+    groups = components(joined).select(F.col("node").alias("_node"), "root")
+    members = touched.select("cid").join(groups, F.col("cid") == F.col("_node")).select("cid", F.col("root").alias("group"))
+    sizes = members.groupBy(F.col("group").alias("_group")).agg(F.ceil(F.count("*") / GROUP_CHUNK).alias("_chunks"))
+    members = members.join(sizes, F.col("group") == F.col("_group"))
+    members = members.select("cid", "group", "_chunks", F.pmod(F.xxhash64("cid"), F.col("_chunks")).alias("_own"))
+    members = members.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_met")
+    ).select(
+        F.xxhash64("group", F.least("_own", "_met"), F.greatest("_own", "_met")).alias("piece"), "cid",
+        (F.col("_own") > F.col("_met")).cast("int").alias("side"),
+    )
+    facts = classes.select(F.col("cid").alias("_cid"), "component", "first", "n", "h1", "h2", "signature")
+    rows = members.join(facts, F.col("cid") == F.col("_cid")).drop("_cid")
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    rows = rows.join(texts, F.col("first") == F.col("_doc"))
+    rows = rows.select("piece", "cid", "side", "component", "n", "h1", "h2", "signature", "_text")
+    rows = rows.repartition("piece").sortWithinPartitions("piece", "n", "cid")
+    return staged(
+        rows.mapInArrow(lambda batches: _confirm_runs(batches, words, percent), "a long, b long"), "group-links"
+    )
+
+
+def _confirm_runs(batches, words, percent):
+    with np.errstate(over="ignore"):
+        for table, starts in runs(batches):
+            column = lambda name: table.column(name).to_numpy()  # noqa: B023, E731
+            cid, side, component, n, h1, h2 = map(column, ("cid", "side", "component", "n", "h1", "h2"))
+            signature = _signatures(table)
+            text = utf8(table.column("_text"))
+            out = []
+            for a, b in zip(starts, np.append(starts[1:], len(cid))):
+                sets = [shingles([t], words)[0] for t in text[a:b]]
+                # An id may be repeated with another text, which is not this class.
+                own = [_facts(found)[:3] == (n[a + i], h1[a + i], h2[a + i]) for i, found in enumerate(sets)]
+                crossed, pairs = side[a:b].any(), []
+                ends = a + np.searchsorted(n[a:b], n[a:b] * 100 // percent, "right")
+                for x in range(a, b):
+                    y = np.arange(x + 1, ends[x - a])
+                    y = y[component[y] != component[x]]
+                    if crossed:
+                        y = y[side[y] != side[x]]
+                    y = y[(signature[y] == signature[x]).sum(1) >= MATCHES] if len(y) else y
+                    y = np.array([j for j in y - a if own[j] and own[x - a]], np.int64)
+                    if not len(y):
+                        continue
+                    base = sets[x - a]
+                    others = np.concatenate([sets[j] for j in y])
+                    at = np.minimum(np.searchsorted(base, others), len(base) - 1)
+                    lengths = np.array([len(sets[j]) for j in y])
+                    both = np.add.reduceat((base[at] == others).astype(np.int64), np.cumsum(lengths) - lengths)
+                    similar = y[100 * both >= percent * (len(base) + lengths - both)]
+                    pairs.append((np.full(len(similar), x - a), similar))
+                out.append(_forest_of(pairs, cid[a:b]))
+            yield _links(out)
 
 
 def _parts(counts):
@@ -318,9 +406,9 @@ def near_duplicates(docs, words=WORDS, percent=PERCENT):
     )
     links = confirm(staged(copy_pairs(classes), "copy-pairs"), classes, docs, words, percent)
     known = staged(_with_components(classes, links), "text-components")
-    pairs = staged(candidate_pairs(known, percent), "candidate-pairs")
-    if not pairs.isEmpty():
-        links = links.unionByName(confirm(pairs, classes, docs, words, percent))
+    candidates = staged(candidate_links(known, percent), "candidate-links")
+    if not candidates.isEmpty():
+        links = links.unionByName(confirm_groups(candidates, known, docs, words, percent))
         known = _with_components(classes, links)
     smallest = known.groupBy(F.col("component").alias("_c")).agg(F.min("first").alias("_component"))
     known = known.join(smallest, F.col("component") == F.col("_c")).select(

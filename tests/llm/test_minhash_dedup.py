@@ -66,7 +66,7 @@ def near_copies(groups, size, seed=0):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"LONG_LIST": 4, "CHUNK": 3, "HUB_ROWS": 2}])
+@pytest.mark.parametrize("limits", [{}, {"LONG_LIST": 4, "CHUNK": 3, "HUB_ROWS": 2, "GROUP_CHUNK": 3}])
 def test_equals_brute_force(documents, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(minhash_dedup, name, value)
