@@ -10,7 +10,7 @@ All stages but the last return the columns they were given.
 """
 
 from tallyframe.llm import minhash_dedup, mixing, packing, quality_rules, secret_scan
-from tallyframe.llm.common import staged, table
+from tallyframe.llm.common import ship, staged, table
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
@@ -25,6 +25,7 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def secrets(spark, docs, sf_dir):
+    ship(spark)
     return secret_scan.redact(docs)
 
 
@@ -33,6 +34,7 @@ def mix(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
+    ship(spark)
     return packing.pack(docs)
 
 

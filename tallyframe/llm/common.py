@@ -1,5 +1,9 @@
 """Helpers the corpus operators share."""
 
+import os
+import tempfile
+import zipfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
@@ -12,7 +16,27 @@ SPACES = b" \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark):
+    """Make this package importable in Spark's Python workers, wherever they run; done once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyframe_shipped", None):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # Spark copies the archive to every executor; the driver's own copy lives as long as the session.
+    kept = tempfile.TemporaryDirectory(prefix="tallyframe-package-")
+    path = os.path.join(kept.name, "tallyframe-package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    archive.write(file, os.path.relpath(file, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._tallyframe_shipped = kept
+
+
 def table(spark, folder, name):
+    ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -21,6 +45,7 @@ def staged(df, purpose):
 
     A lost executor costs nothing that was staged, and a retried task reads the same rows.
     """
+    ship(df.sparkSession)
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
