@@ -14,6 +14,7 @@ from tallyframe.llm.common import ship, staged, table
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
+REMEMBERED_WORDS = 200_000  # by a worker while packing; workers serve the other stages too
 
 
 def quality(spark, docs, sf_dir):
@@ -35,7 +36,7 @@ def mix(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED_WORDS)
 
 
 STAGES = [

@@ -64,7 +64,8 @@ class Encoder:
 
     opened = {}
 
-    def __init__(self, path, end_id=END_ID):
+    def __init__(self, path, end_id=END_ID, remembered=None):
+        self.remembered = CACHED_WORDS if remembered is None else remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,11 +73,11 @@ class Encoder:
         self.clear()
 
     @classmethod
-    def of(cls, path, end_id=END_ID):
+    def of(cls, *arguments):
         """The worker's encoder, which outlives a task."""
-        if (path, end_id) not in cls.opened:
-            cls.opened[path, end_id] = cls(path, end_id)
-        return cls.opened[path, end_id]
+        if arguments not in cls.opened:
+            cls.opened[arguments] = cls(*arguments)
+        return cls.opened[arguments]
 
     def clear(self):
         self.index = {None: 0}  # None ends a text
@@ -96,7 +97,7 @@ class Encoder:
 
     def encode(self, texts):
         """A list of id arrays, each with the end id, for a list of UTF-8 texts or None."""
-        if self.starts.size > CACHED_WORDS:
+        if self.starts.size > self.remembered:
             self.clear()
         words, ends = [], []
         for text in texts:
@@ -195,15 +196,18 @@ def steps(batch):
         yield batch.slice(a, b - a)
 
 
-def pack(docs, path=None, length=LENGTH, end_id=END_ID, with_ids=False):
-    """One row per piece of a document; ``with_ids`` adds the piece's ids, little-endian 32-bit, as binary."""
+def pack(docs, path=None, length=LENGTH, end_id=END_ID, with_ids=False, remembered=CACHED_WORDS):
+    """One row per piece of a document; ``with_ids`` adds the piece's ids, little-endian 32-bit, as binary.
+
+    A worker remembers the ids of at most ``remembered`` words, some 200 bytes each, between tasks.
+    """
     path = path or vocabulary()
     kind = dict(docs.dtypes)["doc_id"]
     schema = PIECES.format(kind=kind) + (", ids binary" if with_ids else "")
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
-        encoder, rows = Encoder.of(path, end_id), []
+        encoder, rows = Encoder.of(path, end_id, remembered), []
         number = TaskContext.get().partitionId() << 40
         doc_type = None
 
