@@ -33,8 +33,8 @@ DISCOUNT = 0.75
 THRESHOLD = 0.7
 MODEL_ENTRIES = 1_000_000
 CURVE_ROWS = 8_000
-STEP_BYTES = 1 << 21
-HELD_KEYS = 2_000_000
+STEP_BYTES = 1 << 20
+HELD_KEYS = 1_000_000
 TOP = 3  # words that count as the most toxic ones
 UNSEEN = 255  # never a byte of UTF-8: stands for bytes not seen in a context
 
@@ -305,7 +305,8 @@ def learn(docs, labels):
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").where(fold("_doc", FOLDS) != HELD_OUT)
     part = F.pmod(F.xxhash64(F.lit("curve"), "_id"), F.lit(4))
     models, curve = marked.where(part > 0), marked.where(part == 0)
-    rows = texts.join(models, F.col("_doc") == F.col("_id")).select("text", "toxic")
+    # Labels grow with the documents: they are joined by a shuffle at every size, never broadcast.
+    rows = texts.join(models.hint("merge"), F.col("_doc") == F.col("_id")).select("text", "toxic")
     keys, gains = learn_model(rows)
     parts = [
         curve.where(F.col("toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(CURVE_ROWS // 2) for kind in (0, 1)
