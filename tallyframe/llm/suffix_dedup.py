@@ -146,10 +146,12 @@ def _anchor_rows(batches):
                 continue
             gram, context, doc, place = (np.concatenate(c) for c in zip(*found))
             order = np.lexsort((doc, context))
-            gram, context, doc, place = gram[order], context[order], doc[order], place[order]
-            new = np.concatenate([[True], context[1:] != context[:-1]])[: len(context)]
-            smallest = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else doc
-            first = doc == smallest
+            ranked = context[order]
+            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+            smallest = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else doc
+            # Rows keep the order of the texts: a document's rows lie together in every shuffle block.
+            first = np.empty(len(order), bool)
+            first[order] = doc[order] == smallest
             key = (gram >> np.uint64(33)).astype(np.int32)
             lost = _lost(doc[~first], place[~first])
             yield pa.RecordBatch.from_arrays(
