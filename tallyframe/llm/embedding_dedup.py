@@ -20,6 +20,7 @@ result. Other columns of the input are ignored.
 """
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,18 @@ def parameters(vectors, threshold=THRESHOLD, recall=RECALL):
     return projections, math.ceil(math.log(1 - recall) / math.log(1 - near**projections))
 
 
+@lru_cache(16)
+def _hashing(dims, projections, tables, seed):
+    """Directions, offsets and multipliers; the same in every task."""
+    rng = np.random.default_rng([seed, dims])
+    directions = rng.standard_normal((dims, tables * projections))
+    offsets = rng.uniform(0, WIDTH, tables * projections)
+    return directions, offsets, rng.integers(1, 2**63, projections, dtype=np.uint64) | np.uint64(1)
+
+
 def codes(vectors, projections, tables, seed=0):
     """Bucket numbers of normalised vectors: (vectors, tables)."""
-    rng = np.random.default_rng([seed, vectors.shape[1]])
-    directions = rng.standard_normal((vectors.shape[1], tables * projections))
-    offsets = rng.uniform(0, WIDTH, tables * projections)
-    multipliers = rng.integers(1, 2**63, projections, dtype=np.uint64) | np.uint64(1)
+    directions, offsets, multipliers = _hashing(vectors.shape[1], projections, tables, seed)
     steps = np.floor((vectors @ directions + offsets) / WIDTH).astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
         mixed = (steps.reshape(len(vectors), tables, projections) * multipliers).sum(2, dtype=np.uint64)
