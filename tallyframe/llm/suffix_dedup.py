@@ -370,7 +370,8 @@ def _text_table(docs):
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), check, "text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_folder(spark, "suffix-texts")
-    rows.write.bucketBy(buckets, "doc", "variant").option("path", path).saveAsTable(name)
+    # The table stays until the last round: stronger compression than usual for files of a moment.
+    rows.write.bucketBy(buckets, "doc", "variant").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
