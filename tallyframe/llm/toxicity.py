@@ -9,10 +9,9 @@ by length: over the text, and over its most toxic words, which a long text would
 logistic curve fitted on labelled texts that the models have not seen turns these into a score.
 
 Counts are taken from all labelled texts of the learning folds, a quarter of which is set aside for the
-curve. The model that tasks receive is bounded: of the counted sequences, the ``MODEL_ENTRIES`` whose
-removal would change likelihoods most; without an entry, a sequence is predicted by the shared orders
-alone, which do not tell the classes apart. The curve is fitted on at most ``CURVE_ROWS`` documents,
-those with the lowest hashes of each class.
+curve. The model that tasks receive has every counted sequence, however rare, and every context: it grows
+with the distinct sequences of the learning texts, about 50 bytes in a worker for each. The curve is
+fitted on at most ``CURVE_ROWS`` documents, those with the lowest hashes of each class.
 
 Defined results: a null or empty text, or one without a letter, has no evidence and gets the score of
 the curve there. Without labels of both classes every score is 0. A document labelled repeatedly is toxic
@@ -31,7 +30,6 @@ FOLDS, HELD_OUT = 3, 1
 ORDER = 6  # bytes of a sequence, the predicted one included
 DISCOUNT = 0.75
 THRESHOLD = 0.7
-MODEL_ENTRIES = 1_000_000
 CURVE_ROWS = 8_000
 STEP_BYTES = 1 << 20
 HELD_KEYS = 1_000_000
@@ -143,8 +141,8 @@ def _shared(grams):
     return below
 
 
-def learn_model(rows, entries=MODEL_ENTRIES):
-    """Sorted sequences and the log-likelihood difference, toxic minus ordinary, each of them adds."""
+def learn_model(rows):
+    """All sequences, sorted, and the log-likelihood difference, toxic minus ordinary, each of them adds."""
     grams = staged(counted(rows), "kneser-counts")
     context = F.shiftright("key", 8)
     sums = grams.groupBy(context.alias("_context")).agg(
@@ -164,18 +162,14 @@ def learn_model(rows, entries=MODEL_ENTRIES):
 
     suffix = F.col("key").bitwiseAND(F.lit((1 << (8 * (ORDER - 1))) - 1).cast("long"))
     known = grams.join(sums, context == F.col("_context")).join(_shared(grams), suffix == F.col("gram"))
-    known = known.select(
-        "key", (log_p("toxic") - log_p("ordinary")).alias("gain"), (F.col("toxic") + F.col("ordinary")).alias("n")
-    )
+    known = known.select("key", (log_p("toxic") - log_p("ordinary")).alias("gain"))
     # Bytes not seen after a context differ by what the classes leave over there.
     unseen = sums.select(
         (F.shiftleft("_context", 8) + UNSEEN).alias("key"),
         (F.log(left_over("toxic")) - F.log(left_over("ordinary"))).alias("gain"),
-        (F.col("_kinds_toxic") + F.col("_kinds_ordinary")).alias("n"),
     )
-    best = known.unionByName(unseen).orderBy(F.desc(F.abs("gain") * F.col("n")), "key").limit(entries)
-    best = best.select("key", F.col("gain").cast("float")).toArrow().combine_chunks()
-    keys, gains = (best.column(c).to_numpy() for c in ("key", "gain"))
+    model = known.unionByName(unseen).select("key", F.col("gain").cast("float")).toArrow()
+    keys, gains = (model.column(c).to_numpy() for c in ("key", "gain"))
     order = np.argsort(keys)
     return keys[order], gains[order]
 
@@ -186,7 +180,7 @@ class Table:
     FREE = -1
 
     def __init__(self, keys, gains):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.bits = max(4, (len(keys) * 3 // 2).bit_length())
         self.keys = np.full(1 << self.bits, self.FREE, np.int64)
         self.gains = np.zeros(1 << self.bits, np.float32)
         left, slot = np.arange(len(keys)), self._slot(keys)

@@ -76,6 +76,18 @@ def test_gains_equal_plain_kneser_ney(spark):
         assert abs(found[packed(context, byte)] - expected) < 1e-4
 
 
+def test_rare_sequences_of_large_models_are_kept(spark):
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    words = np.full((250_000, 9), 32, np.uint8)
+    words[:, :8] = np.random.default_rng(3).choice(letters, (250_000, 8))
+    texts = [words[i : i + 25_000].tobytes() for i in range(0, len(words), 25_000)]
+    rows = [(t.decode(), int(i == 0)) for i, t in enumerate(texts)]
+    keys, gains = learn_model(local_table(spark, rows, "text string, toxic int"))
+    counted_keys = np.unique(events(texts)[0])
+    assert len(counted_keys) > 1_000_000 and np.isin(counted_keys, keys).all()
+    assert len(keys) == len(gains) and (np.diff(keys) > 0).all()
+
+
 def test_counts(spark):
     rows = [("to be", 0), ("to be", 1), ("be", 1), (None, 0)]
     got = {r.key: (r.toxic, r.ordinary) for r in counted(local_table(spark, rows, "text string, toxic int")).collect()}
