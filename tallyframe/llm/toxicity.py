@@ -11,7 +11,8 @@ logistic curve fitted on labelled texts that the models have not seen turns thes
 Counts are taken from all labelled texts of the learning folds, a quarter of which is set aside for the
 curve. The model that tasks receive has every counted sequence, however rare, and every context: it grows
 with the distinct sequences of the learning texts, about 50 bytes in a worker for each. The curve is
-fitted on at most ``CURVE_ROWS`` documents, those with the lowest hashes of each class.
+fitted on at most ``CURVE_ROWS`` documents, those with the lowest hashes of each class, each weighted by
+the inverse of its class's sampling rate: scores follow the true share of toxic texts at every size.
 
 Defined results: a null or empty text, or one without a letter, has no evidence and gets the score of
 the curve there. Without labels of both classes every score is 0. A document labelled repeatedly is toxic
@@ -251,15 +252,17 @@ def evidence(texts, table):
     return out
 
 
-def fit_curve(rows, toxic, steps=50, ridge=1e-3):
-    """Weights of a logistic curve over standardised evidence, by Newton's method."""
-    middle, scale = rows.mean(0), rows.std(0) + 1e-9
+def fit_curve(rows, toxic, weights=None, steps=50, ridge=1e-3):
+    """Weights of a logistic curve over standardised evidence, by Newton's method; rows may be weighted."""
+    weights = np.ones(len(rows)) if weights is None else weights / weights.mean()
+    middle = np.average(rows, 0, weights)
+    scale = np.sqrt(np.average((rows - middle) ** 2, 0, weights)) + 1e-9
     x = np.column_stack([(rows - middle) / scale, np.ones(len(rows))])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - toxic) + ridge * len(x) * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(x) * np.eye(len(w))
+        gradient = x.T @ (weights * (p - toxic)) + ridge * len(x) * w
+        curve = (x * (weights * p * (1 - p))[:, None]).T @ x + ridge * len(x) * np.eye(len(w))
         move = np.linalg.solve(curve, gradient)
         w -= move
         if np.abs(move).max() < 1e-8:
@@ -302,9 +305,9 @@ def learn(docs, labels):
     # Labels grow with the documents: they are joined by a shuffle at every size, never broadcast.
     rows = texts.join(models.hint("merge"), F.col("_doc") == F.col("_id")).select("text", "toxic")
     keys, gains = learn_model(rows)
-    parts = [
-        curve.where(F.col("toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(CURVE_ROWS // 2) for kind in (0, 1)
-    ]
+    sizes = dict(curve.groupBy("toxic").count().collect())
+    most = CURVE_ROWS // 2
+    parts = [curve.where(F.col("toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(most) for kind in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     sampled = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "toxic", "text")
     scorer = docs.sparkSession.sparkContext.broadcast(Scorer(keys, gains, None))
@@ -313,12 +316,17 @@ def learn(docs, labels):
     def measure(texts: pa.Array) -> pa.Array:
         return pa.array(list(scorer.value.evidence(utf8(texts))), pa.list_(pa.float64()))
 
-    rows = sampled.select("_id", "toxic", measure(F.col("text")).alias("e")).limit(2 * CURVE_ROWS).collect()
+    # Repeated ids may give more rows than were chosen; those that stay are drawn at one rate for both classes.
+    drawn = F.xxhash64("_id", "text", F.monotonically_increasing_id()).alias("_drawn")
+    measured = sampled.select("_id", "toxic", drawn, measure(F.col("text")).alias("e"))
+    rows = measured.orderBy("_drawn").limit(2 * CURVE_ROWS).collect()
     rows.sort(key=lambda r: (r._id, r.e))
     toxic = np.array([r.toxic for r in rows], np.float64)
     if not 0 < toxic.sum() < len(toxic):
         return None
-    fitted = fit_curve(np.array([r.e for r in rows]), toxic)
+    # A class is sampled at the rate of its chosen labels; every row stands for as many as that leaves out.
+    weights = np.array([max(sizes[r.toxic] / most, 1.0) for r in rows])
+    fitted = fit_curve(np.array([r.e for r in rows]), toxic, weights)
     return docs.sparkSession.sparkContext.broadcast(Scorer(keys, gains, fitted))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 
 from tallyframe.functions.local import local_table
 from tallyframe.llm import toxicity
-from tallyframe.llm.toxicity import ORDER, Table, counted, events, learn_model, score_documents
+from tallyframe.llm.toxicity import ORDER, Table, counted, events, fit_curve, learn_model, score_documents
 
 
 def plain_events(text):
@@ -134,6 +134,28 @@ def test_planted_words_are_found_in_held_out_texts(documents, labels):
     assert all(r.predicted == 0 for r in out if r.doc_id is None or r.doc_id >= 5000)
 
 
+def test_weights_stand_for_rows_left_out():
+    rng = np.random.default_rng(5)
+    toxic = np.repeat([0.0, 1.0], [900, 100])
+    rows = rng.normal(size=(1000, 2)) + toxic[:, None]
+    weights = np.where(toxic > 0, 1.0, 3.0)
+    repeated = np.repeat(np.arange(1000), weights.astype(int))
+    for a, b in zip(fit_curve(rows, toxic, weights), fit_curve(rows[repeated], toxic[repeated])):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+def test_scores_do_not_depend_on_the_sample(documents, labels, monkeypatch):
+    rng = random.Random(9)
+    plain, mixed = "table chair window garden river".split(), "grizzled chair window garden river".split()
+    rows = [(i, " ".join(rng.choices(mixed if i % 10 == 0 or i % 10 == 5 and i % 4 else plain, k=6))) for i in range(4000)]
+    docs, marks = documents(*rows), labels(*[(i, 1, int(i % 10 == 0), "t") for i, _ in rows])
+    mean = lambda: np.mean([r.score for r in score_documents(docs, marks).collect()])
+    whole = mean()
+    assert abs(whole - 0.1) < 0.02
+    monkeypatch.setattr(toxicity, "CURVE_ROWS", 120)
+    assert abs(mean() - whole) < 0.05
+
+
 def test_nothing_to_learn_from(odd, labels):
     for given in (labels(), labels((5, 1, 0, "t"), (9, 1, 0, "t"))):
         rows = score_documents(odd, given).collect()
