@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and random strings by their token efficiency.
 
 A public byte-pair vocabulary writes ordinary words in few tokens. A run of code-like characters that
-needs a token for every two characters or so is random: a key, a token, a password. Known digests,
-identifiers and names are excluded first.
+needs a token for every two characters or so is random: a key, a token, a password. Runs join secrets to
+names and paths, so the ratio is taken of the whole run, of each long part between separators, and of up
+to ``JOINED`` neighbouring parts, as a secret may hold separators itself; if one is random, the whole run is
+a span. Known digests and identifiers are excluded first, inside runs too.
 
 Defined results: null text is empty and has no spans. Repeated rows are scanned alike, each on its own.
 Spans count code points, end exclusive, and are ordered by start, then by kind as in ``KINDS``. An empty
@@ -29,11 +31,17 @@ HEX = rb"[0-9a-f]+"
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 KEYWORD = re.compile(rb"passw|secret|token|api_?key", re.I)
 
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 16  # characters of a random string
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 CHARS_PER_TOKEN = 2.2  # at most, for a random string
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # hexadecimal digits of known digests
 IDENTIFIER = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9+/_=-]+")
+UUID = re.compile(rb"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])")
 PART = re.compile(rb"[/_=+-]+")
+PIECE = 512  # characters encoded at a time
+JOINED = 3  # neighbouring parts looked at as one string
+DIGIT, LOWER, UPPER = re.compile(rb"[0-9]"), re.compile(rb"[a-z]"), re.compile(rb"[A-Z]")
+PLAIN_CHARS_PER_TOKEN = 1.9  # at most, for a random string of letters of one case
 REPLACEMENT = "<secret>"
 
 SPANS = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -46,6 +54,14 @@ def vocabulary(name="byte_bpe_50k.tiktoken"):
     return public_tokenizers.path(name)
 
 
+def _mixed(part):
+    """Whether a part has digits and letters, or an upper-case letter after a lower-case one."""
+    lower = LOWER.search(part)
+    if DIGIT.search(part):
+        return bool(lower or UPPER.search(part))
+    return bool(lower and UPPER.search(part, lower.end()))
+
+
 class Scanner:
     def __init__(self, path, chars_per_token=CHARS_PER_TOKEN):
         import public_tokenizers
@@ -61,17 +77,40 @@ class Scanner:
         self.access, self.hex = re.compile(ACCESS), re.compile(HEX + b"")
         self.long_hex = re.compile(rb"[0-9a-f]{%d}" % HEX_LENGTH)
 
+    def _tokens(self, part):
+        # In pieces: the encoder takes time with the square of a run's length.
+        encode, text = self.encoding.encode_ordinary, part.decode("ascii")
+        return sum(len(encode(text[i : i + PIECE])) for i in range(0, len(text), PIECE))
+
     def _random(self, run):
-        """Whether a run of at least 20 code-like characters is written in too many tokens."""
-        if IDENTIFIER.fullmatch(run) or not re.search(rb"[0-9]", run) or not re.search(rb"[A-Za-z]", run):
-            return False
-        if len(run) in DIGEST_LENGTHS and re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run):
+        """Whether a run of code-like characters, a part or neighbouring parts of it take too many tokens."""
+        whole_digest = len(run) in DIGEST_LENGTHS and re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run)
+        if IDENTIFIER.fullmatch(run) or whole_digest:
             return False
         # Paths, slugs and names in parts: at least one part has to be long and mixed itself.
-        parts = [p for p in PART.split(run) if len(p) >= 12 and re.search(rb"[0-9]", p) and re.search(rb"[A-Za-z]", p)]
-        if not parts:
-            return False
-        return len(run) <= self.limit * len(self.encoding.encode_ordinary(run.decode("ascii")))
+        if any(len(p) >= 12 and _mixed(p) for p in PART.split(run)) and len(run) <= self.limit * self._tokens(run):
+            return True
+        return any(self._random_parts(piece) for piece in UUID.split(run) if len(piece) >= LEAST)
+
+    def _random_parts(self, run):
+        """Whether a part, or neighbouring parts, of a run take too many tokens; digests and words are neither."""
+        parts = [p for p in PART.split(run) if p]
+        digest = [len(p) in DIGEST_LENGTHS and re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", p) is not None for p in parts]
+        mixed = [not d and _mixed(p) for p, d in zip(parts, digest)]
+        tokens = [self._tokens(p) if m else 0 for p, m in zip(parts, mixed)]
+        for i, part in enumerate(parts):
+            if not mixed[i]:
+                if len(part) >= LEAST and part.isalpha() and len(part) <= PLAIN_CHARS_PER_TOKEN * self._tokens(part):
+                    return True
+                continue
+            size = count = 0
+            for j in range(i, min(i + JOINED, len(parts))):
+                if not mixed[j]:
+                    break
+                size, count = size + len(parts[j]), count + tokens[j]
+                if size >= LEAST and size <= self.limit * count:
+                    return True
+        return False
 
     def spans(self, text):
         """Byte spans (start, kind number, end), in order."""

@@ -64,6 +64,30 @@ def test_random_strings_and_ordinary_ones():
     assert found in ([], ["DE89370400440532013000"])
 
 
+def test_random_strings_in_paths_and_without_digits():
+    scanner = Scanner(vocabulary())
+    rng = random.Random(12)
+    letters = string.ascii_letters + string.digits
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    shapes = {
+        "path": lambda: "/services/configuration/production/" + draw(letters, 20),
+        "name": lambda: "authorization_header_value=" + draw(letters, 24),
+        "after an identifier": lambda: "/550e8400-e29b-41d4-a716-446655440000/" + draw(letters, 20),
+        "no digit": lambda: draw(string.ascii_letters, 24),
+        "short": lambda: draw(letters, 16),
+        "base64": lambda: draw(letters + "+/", 20),
+    }
+    for name, shape in shapes.items():
+        texts = [shape() for _ in range(200)]
+        found = [t for t in texts if (4, 3, 4 + len(t)) in scanner.spans(f"see {t} here".encode())]
+        assert len(found) > 0.9 * len(texts), name
+    clean = [
+        "lib/x86_64-linux-gnu/libssl3", "MacBookPro2019-with-TouchBar", "XMLHttpRequestEventTarget", "kubernetes-dashboard-v2-7-0",
+        "Donaudampfschifffahrtsgesellschaft", "tensorflow_gpu_2_10_cuda11_cudnn8", "IMG_20230415_123456789_HDR", "getHTTPResponseCode",
+    ]
+    assert not [s for s in clean if any(k == 3 for _, k, _ in scanner.spans(s.encode()))]
+
+
 def test_odd_rows_and_redaction(odd, documents):
     assert scan(odd).count() == redact(odd).count() == 13
     assert redact(odd).columns == odd.columns
