@@ -127,7 +127,7 @@ def _steps(batch, text):
 
 
 def signatures(docs, words=WORDS):
-    """(doc_id, n, h1, h2, signature) for every row; equal sets have equal (n, h1, h2)."""
+    """(doc_id, text_hash, n, h1, h2, signature) for every row; equal sets have equal (n, h1, h2)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def sign(batches):
@@ -138,12 +138,13 @@ def signatures(docs, words=WORDS):
                     rows = list(zip(*map(_facts, shingles(text[a:b], words))))
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                     columns = [pa.array(c, t) for c, t in zip(rows, types)]
+                    given = [batch.column(i).slice(a, b - a) for i in (0, 2)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, b - a), *columns], ["doc_id", "n", "h1", "h2", "signature"]
+                        [*given, *columns], ["doc_id", "text_hash", "n", "h1", "h2", "signature"]
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        sign, f"doc_id {kind}, n long, h1 long, h2 long, signature binary"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        sign, f"doc_id {kind}, text_hash long, n long, h1 long, h2 long, signature binary"
     )
 
 
@@ -394,8 +395,8 @@ def _with_components(classes, links):
     return joined.withColumn("component", F.coalesce("root", "cid")).drop("_node", "root")
 
 
-def near_duplicates(docs, words=WORDS, percent=PERCENT):
-    """One row per document: its set's size, the smallest id reachable by links, and whether that is its own."""
+def _grouped(docs, words, percent):
+    """(doc_id, text_hash, n, group, component_id) per row; ``group`` numbers what links reach."""
     signed = staged(signatures(docs, words), "signatures")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = staged(
@@ -412,13 +413,21 @@ def near_duplicates(docs, words=WORDS, percent=PERCENT):
         known = _with_components(classes, links)
     smallest = known.groupBy(F.col("component").alias("_c")).agg(F.min("first").alias("_component"))
     known = known.join(smallest, F.col("component") == F.col("_c")).select(
-        F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_component"
+        F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "component", "_component"
     )
     same = (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    out = usable.join(known, same).select("doc_id", "n", F.col("_component").alias("component_id"))
-    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = out.unionByName(alone)
-    return out.select(
+    out = usable.join(known, same).select(
+        "doc_id", "text_hash", "n", F.col("component").alias("group"), F.col("_component").alias("component_id")
+    )
+    alone = signed.where("n = 0 OR doc_id IS NULL").select(
+        "doc_id", "text_hash", "n", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id")
+    )
+    return out.unionByName(alone)
+
+
+def near_duplicates(docs, words=WORDS, percent=PERCENT):
+    """One row per document: its set's size, the smallest id reachable by links, and whether that is its own."""
+    return _grouped(docs, words, percent).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
@@ -427,14 +436,17 @@ def near_duplicates(docs, words=WORDS, percent=PERCENT):
 def drop_near_duplicates(docs, words=WORDS, percent=PERCENT):
     """The documents with one of every group left, the one with the smallest id; all columns are kept.
 
-    Texts without words and rows without id all stay. Where rows repeat an id, one row stays.
+    Texts without words and rows without id all stay. Where rows repeat an id, each text counts by itself:
+    of a group's texts with the smallest id, one row of the text with the least hash stays.
     """
-    found = near_duplicates(docs, words, percent)
-    kept = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("n_shingles").alias("_n")
+    kept = _grouped(docs, words, percent).where("doc_id = component_id")
+    worded = kept.where("n > 0").groupBy("doc_id", "group").agg(F.min("text_hash").alias("text_hash"), F.max("n").alias("n"))
+    chosen = worded.select("doc_id", "text_hash", "n").unionByName(
+        kept.where("n = 0").select("doc_id", "text_hash", "n").distinct()
     )
-    packed = docs.select(F.col("doc_id").alias("_doc"), F.struct("*").alias("_row"))
-    joined = packed.join(kept, F.col("_doc") == F.col("_id"))
-    worded = joined.where("_n > 0").groupBy("_doc").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row"))
-    rest = joined.where("_n = 0").select("_doc", "_row").unionByName(packed.where("_doc IS NULL").select("_doc", "_row"))
-    return worded.unionByName(rest).select("_row.*")
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_chosen"), F.col("n").alias("_n"))
+    packed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.struct("*").alias("_row"))
+    joined = packed.join(chosen, (F.col("_doc") == F.col("_id")) & (F.col("_hash") == F.col("_chosen")))
+    one = joined.where("_n > 0").groupBy("_doc", "_hash").agg(F.min_by("_row", "_hash").alias("_row"))
+    rest = joined.where("_n = 0").select("_row").unionByName(packed.where("_doc IS NULL").select("_row"))
+    return one.select("_row").unionByName(rest).select("_row.*")

@@ -99,6 +99,16 @@ def test_one_row_of_a_group_stays(odd, documents):
     assert [r.doc_id for r in drop_near_duplicates(twice).collect()] == [1]
 
 
+def test_texts_that_share_an_id_are_kept_apart(documents):
+    a, b, c = ("alpha beta gamma delta " * 3, "one two three four five", "red green blue white black")
+    rows = documents((3, b), (5, a), (5, b), (5, c), (5, c), (5, "..."), (6, a), (3, "11 --"))
+    kept = sorted((r.doc_id, r.text) for r in drop_near_duplicates(rows).collect())
+    assert kept == sorted([(3, b), (5, a), (5, c), (5, "..."), (3, "11 --")])
+    near = documents((1, c + " and"), (1, c + " AND"), (1, a), *[(1, f"{w} {b} {w}") for w in ("x", "yy", "zzz")])
+    texts = [r.text for r in drop_near_duplicates(near, 1, 60).collect()]
+    assert len(texts) == 3 and a in texts
+
+
 def test_shingle_numbers_tell_sets_apart():
     texts = ["a b c a b", "A  b\tc", "ab c", "a bc", "one", "ONE", "", " ", "é b", "a\x00 b", "a b"]
     with np.errstate(over="ignore"):
