@@ -1,20 +1,20 @@
-"""Repeated passages by distributed prefix doubling over sampled positions.
+"""Repeated passages by hash joins on strings of fixed length around sampled positions.
 
 A byte is removed where a string of ``LENGTH`` bytes covering it also starts in a document with a smaller
-id. Positions are ranked by the bytes that follow (and precede) them at growing offsets: Spark shuffles
-and sorts (rank, document, position) rows, positions whose rank no other document shares drop out, and the
-others are ranked again by longer strings, until the strings have the full length.
+id. This is not prefix doubling, there are no ranks of pairs of ranks: Spark groups positions by hashes of
+strings of fixed lengths around them (16, 84, 33 and 50 bytes), positions whose string no other document shares
+drop out, and the others go on to the next length, up to strings of the full length.
 
 Sampling keeps this small without losing a match: of the strings of ``GRAM`` bytes inside every ``LENGTH``
 bytes, the one with the smallest hash is an anchor. Equal strings have equal anchors, so two documents
-that share a string share its anchor, and only anchors (about one position in eighteen) are ranked.
+that share a string share its anchor, and only anchors (about one position in eighteen) are compared.
 
-1. Rank by the anchor's gram, then by its context: all bytes of any string of full length around it. If an
+1. Group by the anchor's gram, then by its context: all bytes of any string of full length around it. If an
    earlier document has the same context, all of it is removed, and the anchor is done. Only anchors whose
    gram is found in different contexts in different documents go on.
-2. Rank by the strings of ``HALF`` bytes that begin or end with the gram; every string of full length
+2. Group by the strings of ``HALF`` bytes that begin or end with the gram; every string of full length
    around the gram contains one of them. Strings no other document has drop out.
-3. Rank by the strings of full length that contain what is left.
+3. Group by the strings of full length that contain what is left.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` lose nothing. Rows without id neither
 lose bytes nor make others lose any. Rows that repeat an id are one document: they lose nothing to each
