@@ -1,7 +1,10 @@
 """The queries of the corpus operators, by name: (function of session and folder, checking SQL)."""
 
 import corpus_pipeline
-from tallyframe.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity
+from tallyframe.llm import (
+    embedding_dedup, language_id, minhash_dedup, mixing, packing, quality_rules, secret_scan, sharding, spelling, suffix_dedup,
+    toxicity, vector_codes, vector_forest,
+)
 from tallyframe.llm.common import table
 
 
@@ -45,6 +48,18 @@ def op10_suffix_dedup(spark, folder):
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+def op11_vector_codes(spark, folder):
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+def op12_vector_forest(spark, folder):
+    return vector_forest.nearest_of_every(table(spark, folder, "embeddings"))
+
+
+def op13_spelling_variants(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_mixing": (op2_mixing, None),
@@ -56,5 +71,8 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op11_vector_codes": (op11_vector_codes, None),
+    "op12_vector_forest": (op12_vector_forest, None),
+    "op13_spelling_variants": (op13_spelling_variants, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
