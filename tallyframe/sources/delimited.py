@@ -16,6 +16,7 @@ from tallyframe.sources.files import (
     BLOCK, POSITION, POSITION_COLUMNS, SEPARATORS, SOURCE, list_files, readable_path, require_suffix, suffix_of,
     with_position,
 )
+from tallyframe.sources.records import ends_open, field_count, parse, regroup
 
 # Cell texts that mean "missing".
 NA_TOKENS = (
@@ -56,21 +57,22 @@ def separator_of(path):
 def scan_lines(spark, paths, sep=None):
     """``path, first_line, spans_lines, widths`` per file, from one scan of lines.
 
-    ``spans_lines``: a quoted field is left open at the end of some line, so the file cannot be read in
-    blocks. ``widths`` counts the lines of each number of fields. Lines are combined before anything is
+    ``spans_lines``: a quoted field is left open at the end of some line, so records are more than lines.
+    ``widths`` counts the lines of each number of fields. Lines are combined before anything is
     shuffled, and files without any line have no row.
     """
     lines = with_position(spark.read.text(paths)).where("trim(value) <> ''")
-    sep = F.lit(sep) if sep else separator_of(F.col(SOURCE))
-    lines = lines.select(SOURCE, BLOCK, POSITION, "value", sep.alias("sep")).where("sep IS NOT NULL")
-    # Without its complete quoted parts, a line has separators between fields only.
-    bare = F.when(F.contains("value", F.lit('"')), F.regexp_replace("value", '"[^"]*"', "")).otherwise(F.col("value"))
-    lines = lines.withColumn("bare", bare)
+    line, known = F.col("value"), F.lit(sep) if sep else separator_of(F.col(SOURCE))
+    lines = lines.select(SOURCE, BLOCK, POSITION, "value", known.alias("sep")).where("sep IS NOT NULL")
+
+    def by_separator(of):
+        kinds = [sep] if sep else SEPARATORS.values()
+        return F.coalesce(*[F.when(F.col("sep") == kind, of(line, kind)) for kind in kinds])
+
     lines = lines.select(
-        SOURCE, F.struct(BLOCK, POSITION).alias("at"), "value",
-        (F.length("bare") - F.length(F.replace("bare", F.col("sep"))) + 1).alias("width"),
-        F.contains("bare", F.lit('"')) & (F.col("bare").rlike(r'^\s*"') | F.contains("bare", F.concat("sep", F.lit('"'))))
-    ).toDF(SOURCE, "at", "value", "width", "open")
+        SOURCE, F.struct(BLOCK, POSITION).alias("at"), "value", by_separator(field_count).alias("width"),
+        by_separator(ends_open).alias("open"),
+    )
     counted = lines.groupBy(SOURCE, "width").agg(
         F.count(F.lit(1)).alias("lines"), F.max("open").alias("open"), F.min_by("value", "at").alias("value"),
         F.min("at").alias("at"),
@@ -122,24 +124,26 @@ def file_headers(spark, folder):
     headers = listed.select("path", "sep", "first_line").mapInPandas(_parse_headers, schema)
     found = listed.drop("sep", "first_line").join(headers, "path")
     return found.select(
-        "path", "size_bytes", "modified", "header", _width_error("header", "error").alias("error"),
-        F.coalesce("spans_lines", F.lit(False)).alias("spans_lines"), _rows_where("header", "<").alias("short_rows"),
+        "path", "size_bytes", "modified", "header",
+        F.when(F.coalesce("spans_lines", F.lit(False)), F.col("error")).otherwise(
+            F.coalesce("error", _surplus_error(_rows_where("header", ">")))
+        ).alias("error"),
+        F.coalesce("spans_lines", F.lit(False)).alias("spans_lines"),
+        F.when(~F.coalesce("spans_lines", F.lit(False)), _rows_where("header", "<")).alias("short_rows"),
     )
 
 
 def _rows_where(header, compare):
-    """Lines with fewer (or more) fields than the header; known where no field spans lines."""
+    """Lines with fewer (or more) fields than the header; these are rows where no field spans lines."""
     entries = F.map_entries("widths")
     size = F.size(header)
     fits = (lambda e: e["key"] < size) if compare == "<" else (lambda e: e["key"] > size)
     total = F.aggregate(F.filter(entries, fits), F.lit(0).cast("long"), lambda a, e: a + e["value"])
-    return F.when(F.col("spans_lines"), F.lit(None)).otherwise(F.coalesce(total, F.lit(0)))
+    return F.coalesce(total, F.lit(0))
 
 
-def _width_error(header, error):
-    surplus = _rows_where(header, ">")
-    found = F.concat(surplus.cast("string"), F.lit(" row(s) have more fields than the header"))
-    return F.coalesce(F.col(error), F.when(surplus > 0, found))
+def _surplus_error(rows):
+    return F.when(rows > 0, F.concat(rows.cast("string"), F.lit(" row(s) have more fields than the header")))
 
 
 def header_group_counts(headers):
@@ -147,64 +151,37 @@ def header_group_counts(headers):
     return headers.where("error IS NULL").groupBy("header").agg(F.count(F.lit(1)).alias("files"))
 
 
-SURPLUS = "__surplus"
+def _faults(records, unclosed, header):
+    """``path, error`` of the files among regrouped ones that cannot be read."""
+    surplus = records.where(F.col("fields") > len(header)).groupBy(F.col(SOURCE).alias("path")).agg(F.count("*").alias("n"))
+    faults = surplus.select("path", _surplus_error(F.col("n")).alias("error"))
+    return faults.unionAll(unclosed.select("path", F.lit("A quoted field is never closed").alias("error")))
 
 
-def _reader(spark, schema, sep, whole_files):
-    # Spark's own limit of columns is below what a header may hold.
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+def _scan_records(records, header, sep, corrupt_column=None):
+    return _without_missing(parse(records, header, sep, corrupt_column), header, corrupt_column)
+
+
+def _scan(spark, paths, header, sep, corrupt_column=None):
+    """Files in which every line is a record."""
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    reader = (
+        spark.read.option("header", True)
         .option("sep", sep)
         .option("escape", '"')
-        .option("multiLine", whole_files)
-        .option("maxColumns", max(20_480, len(schema) + 16))
+        # Spark's own limit of columns is below what a header may hold.
+        .option("maxColumns", max(20_480, len(header) + 16))
         .option("mode", "PERMISSIVE")
     )
-
-
-def _check_whole_files(spark, paths, header, sep):
-    """Raise if a row of these files, read whole, has a filled field beyond the header."""
-    names = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
-    schema = T.StructType([*names, T.StructField(SURPLUS, T.StringType())])
-    # All fields are parsed, as a pruned reader would not look for more than it is asked for.
-    reader = _reader(spark, schema, sep, True).option("columnPruning", False)
-    if not reader.csv(paths).where(F.col(SURPLUS).isNotNull()).isEmpty():
-        raise LoadError(f"A row has more fields than the header of {len(header)} columns in {paths}")
-
-
-def read_text_columns(spark, paths, header, sep, multi_line=None, corrupt_column=None):
-    """All columns as text with missing tokens folded to null, plus row positions.
-
-    ``multi_line`` says whether quoted fields may hold line breaks; if None, the
-    files are scanned for such fields and only those that have them are read whole.
-    """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if multi_line is None:
-        found = scan_lines(spark, paths, sep).where("spans_lines").select("path").collect()
-        broken = {row.path for row in found}
-        if not broken:
-            return _scan(spark, paths, header, sep, False, corrupt_column)
-        listed = [row.path for p in paths for row in list_files(spark, p).select("path").collect()]
-        whole = [readable_path(p) for p in sorted(broken)]
-        split = [readable_path(p) for p in listed if p not in broken]
-        parts = [_scan(spark, whole, header, sep, True, corrupt_column)]
-        if split:
-            parts.append(_scan(spark, split, header, sep, False, corrupt_column))
-        return reduce(lambda a, b: a.unionAll(b), parts)
-    return _scan(spark, paths, header, sep, multi_line, corrupt_column)
-
-
-def _scan(spark, paths, header, sep, whole_files, corrupt_column=None):
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    extra = []
     if corrupt_column:
         schema = schema.add(corrupt_column, T.StringType())
-        extra = [corrupt_column]
-    reader = _reader(spark, schema, sep, whole_files)
-    if corrupt_column:
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    return with_position(reader.csv(paths)).select(
+    return _without_missing(with_position(reader.schema(schema).csv(paths)), header, corrupt_column)
+
+
+def _without_missing(rows, header, corrupt_column):
+    extra = [corrupt_column] if corrupt_column else []
+    return rows.select(
         *[F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in header],
         *map(col, [*extra, *POSITION_COLUMNS]),
     )
@@ -305,7 +282,7 @@ def _first_records(spark, paths, sep):
         rows = lines.select("path", F.lit(sep).alias("sep"), "first_line", "spans_lines", "widths")
         headers = rows.mapInPandas(_parse_headers, HEADER_SCHEMA)
         found = rows.join(headers, "path").select(
-            "path", "header", _width_error("header", "error").alias("error"), "spans_lines"
+            "path", "header", "error", "spans_lines", _surplus_error(_rows_where("header", ">")).alias("surplus")
         ).collect()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
@@ -316,24 +293,17 @@ def _first_records(spark, paths, sep):
     return sorted(found, key=lambda row: row.path)
 
 
-def _spanning_header(spark, path, sep):
-    """Column names of a file whose first record may span lines."""
-    reader = spark.read.option("header", False).option("sep", sep).option("escape", '"')
-    first = reader.option("multiLine", True).option("maxColumns", 1 << 20).csv(readable_path(path)).first()
-    cells = [cell or "" for cell in first]
-    return tidy_header([cells[0].removeprefix("\ufeff"), *cells[1:]])
-
-
 def read_delimited(
     spark, path, *, sep=None, infer=True, types=None, multi_line=None, corrupt_column=None
 ):
     """A csv or tsv file, or several with one header, as a typed table.
 
     Row positions are in ``_source_file, _block_start, _position``. Pass ``types``
-    (name to Spark type) to skip the inference scan, and ``multi_line`` to say
-    whether quoted fields hold line breaks. Files whose headers differ, and rows
-    with more fields than the header, are errors; with ``corrupt_column`` such
-    rows are kept there as text. Rows with fewer fields are filled with nulls.
+    (name to Spark type) to skip the inference scan. Files whose quoted fields hold line
+    breaks are found and regrouped into records, by blocks; ``multi_line`` says that all
+    files (or none) are such files. Files whose headers differ, rows with more fields than the
+    header, and quoted fields that are never closed are errors; with ``corrupt_column`` rows of
+    more fields are kept there as text. Rows with fewer fields are filled with nulls.
     """
     paths = [path] if isinstance(path, str) else list(path)
     require_some(paths, "At least one file is required.")
@@ -342,28 +312,35 @@ def read_delimited(
             require_suffix(p, SEPARATORS)
     sep = sep or SEPARATORS[suffix_of(paths[0])]
     files = _first_records(spark, paths, sep)
-    headers = {}
+    headers, whole, split = {}, [], []
     for row in files:
+        spans = row.spans_lines if multi_line is None else multi_line
+        (whole if spans else split).append(readable_path(row.path))
+        if spans:
+            continue
         # With a column for broken lines, rows of more fields are kept there.
-        fatal = row.error and not row.spans_lines and (row.header is None or not corrupt_column)
-        if fatal:
-            raise LoadError(f"Failed to read {row.path!r}: {row.error}")
-        header = _spanning_header(spark, row.path, sep) if row.spans_lines else row.header
-        headers.setdefault(tuple(header), row.path)
+        fault = row.error or (None if corrupt_column else row.surplus)
+        if fault:
+            raise LoadError(f"Failed to read {row.path!r}: {fault}")
+        headers.setdefault(tuple(row.header), row.path)
+    if whole:
+        records, first, unclosed = regroup(spark, whole, sep)
+        for row in unclosed.orderBy("path").take(1):
+            raise LoadError(f"Failed to read {row.path!r}: A quoted field is never closed")
+        first = first.select("path", F.lit(sep).alias("sep"), F.col("record").alias("first_line"))
+        for row in first.mapInPandas(_parse_headers, HEADER_SCHEMA).orderBy("path").collect():
+            headers.setdefault(tuple(row.header), row.path)
     if len(headers) > 1:
         raise LoadError(f"The files have different headers: {dict((p, list(h)) for h, p in headers.items())}")
-    header = list(next(iter(headers)))
-    broken = [readable_path(row.path) for row in files if row.spans_lines]
-    if multi_line is None and broken:
-        if not corrupt_column:
-            _check_whole_files(spark, broken, header, sep)
-        parts = [_scan(spark, broken, header, sep, True, corrupt_column)]
-        split = [readable_path(row.path) for row in files if not row.spans_lines]
-        if split:
-            parts.append(_scan(spark, split, header, sep, False, corrupt_column))
-        df = reduce(lambda a, b: a.unionAll(b), parts)
-    else:
-        df = _scan(spark, paths, header, sep, bool(multi_line), corrupt_column)
+    header, parts = list(next(iter(headers))), []
+    if whole:
+        faults = [] if corrupt_column else _faults(records, unclosed, header).orderBy("path").take(1)
+        for fault in faults:
+            raise LoadError(f"Failed to read {fault.path!r}: {fault.error}")
+        parts.append(_scan_records(records, header, sep, corrupt_column))
+    if split:
+        parts.append(_scan(spark, split, header, sep, corrupt_column))
+    df = reduce(lambda a, b: a.unionAll(b), parts)
     if types is None and not infer:
         return df
     return apply_types(df, types or infer_types(df, header))
@@ -389,14 +366,19 @@ def read_folder(spark, folder, *, infer=True, types=None, multi_line=None, by_fi
         .agg(F.collect_list("path").alias("paths"))
         .collect()
     )
-    scans = {}
+    scans, faults = {}, []
     for group in sorted(groups, key=lambda g: (min(g.paths), g.spans_lines)):
         paths = [readable_path(p) for p in sorted(group.paths)]
         sep = SEPARATORS[separators[group.suffix]]
-        whole = group.spans_lines if multi_line is None else multi_line
-        if group.spans_lines:
-            _check_whole_files(spark, paths, group.header, sep)
-        scans.setdefault(tuple(group.header), []).append((paths, _scan(spark, paths, group.header, sep, whole)))
+        if group.spans_lines if multi_line is None else multi_line:
+            records, _, unclosed = regroup(spark, paths, sep)
+            faulty = _faults(records, unclosed, group.header)
+            faults.append(faulty)
+            good = records.join(faulty, F.col(SOURCE) == F.col("path"), "left_anti")
+            scan = _scan_records(good, group.header, sep)
+        else:
+            scan = _scan(spark, paths, group.header, sep)
+        scans.setdefault(tuple(group.header), []).append((paths, scan))
     order = sorted(scans, key=lambda h: (-sum(len(p) for p, _ in scans[h]), min(min(p) for p, _ in scans[h])))
     tables, counts = [], local_table(spark, [], f"{SOURCE} string, rows long")
     for header in order:
@@ -408,6 +390,9 @@ def read_folder(spark, folder, *, infer=True, types=None, multi_line=None, by_fi
         if types is not None or infer:
             df = apply_types(df, types or infer_types(df, list(header)))
         tables.append((header, df))
+    if faults:
+        faulty = reduce(lambda a, b: a.unionAll(b), faults).withColumnRenamed("error", "fault")
+        headers = headers.join(faulty, "path", "left").withColumn("error", F.coalesce("error", "fault"))
     readable = F.col("error").isNull()
     log = headers.join(counts, F.col("path") == F.col(SOURCE), "left").select(
         F.col("path").alias("source_file"),

@@ -1,6 +1,7 @@
 """File listings, suffix checks and row positions shared by the readers."""
 
 import re
+from itertools import accumulate
 from urllib.parse import unquote
 
 from pyspark.sql import Window
@@ -79,11 +80,12 @@ def with_position(scan):
 POSITION_COLUMNS = [SOURCE, BLOCK, POSITION]
 
 
-def number_rows(positioned, name="row_no"):
-    """Replace block and running number by a gapless row number from 0 per file.
+def number_rows(positioned, name="row_no", across_files=False):
+    """Replace block and running number by a gapless row number from 0 per file, or over all files by path.
 
     One count per file block is summed up in file order; no row is sorted or
-    moved, as the block sums are small enough for Spark to broadcast on its own.
+    moved, as the block sums are small enough for Spark to broadcast on its own. Over
+    all files, the driver adds up one count per file while the plan is made.
     """
     blocks = positioned.groupBy(SOURCE, BLOCK).agg(
         F.count(F.lit(1)).alias("__rows"), F.min(POSITION).alias("__first")
@@ -97,6 +99,14 @@ def number_rows(positioned, name="row_no"):
         "__first",
         F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
     )
+    if across_files:
+        counts = blocks.groupBy(SOURCE).agg(F.sum("__rows")).orderBy(SOURCE).collect()
+        starts = accumulate((n for _, n in counts), initial=0)
+        listed = [(path, start) for (path, _), start in zip(counts, starts)]
+        files = local_table(positioned.sparkSession, listed, "__path string, __start long")
+        offsets = offsets.join(files, F.col("__file") == F.col("__path")).select(
+            "__file", "__block", "__first", (F.col("__before") + F.col("__start")).alias("__before")
+        )
     same = (F.col(SOURCE) == F.col("__file")) & (F.col(BLOCK) == F.col("__block"))
     number = F.col("__before") + F.col(POSITION) - F.col("__first")
     kept = [c for c in positioned.columns if c not in (BLOCK, POSITION)]

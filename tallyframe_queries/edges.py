@@ -1,5 +1,7 @@
 """Queries on inputs unlike one clean file: several files, mixed types, hot and odd values."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallyframe.operators import combine, compare, dedupe, profile, rules
@@ -7,8 +9,8 @@ from tallyframe.operators.rules import Rule
 from tallyframe.plans.specs import workflow_from
 from tallyframe.plans.workflow import run_workflow_batch, run_workflow_folder
 from tallyframe.session import shared_folder
-from tallyframe.sources import delimited
-from tallyframe.sources.files import POSITION_COLUMNS
+from tallyframe.sources import delimited, reports
+from tallyframe.sources.files import POSITION_COLUMNS, number_rows
 from tallyframe.sources.parquet import read_parquet
 from tallyframe_queries.inputs import sql, table, view, with_views
 
@@ -191,6 +193,44 @@ def two_files(spark, folder):
     return delimited.read_delimited(spark, [f"{path}/a.csv", f"{path}/b.csv"]).select("o_orderkey", "o_orderstatus")
 
 
+def numbered_files(spark, folder):
+    """The running number of a row over all files, which hold the events in the order of their ids."""
+    return number_rows(several_files(spark, folder), across_files=True).select("event_id", "row_no")
+
+
+def spanning(spark, folder):
+    """Whole texts with line breaks in files that many tasks read, and each row's number."""
+    path = shared_folder(spark, "spanning") + ".csv"
+    rows = table(spark, folder, "documents").select("doc_id", "text", "source")
+    rows = rows.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    reports.write_table(rows.withColumn("quoted", F.concat(F.lit('"'), "source", F.lit('",\n"'))), path, "csv")
+    found = number_rows(delimited.read_delimited(spark, path), across_files=True)
+    return found.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "quoted", "row_no")
+
+
+# Lines of one order each, by status: stray quotes, those with a field too many, and records of two lines with
+# an empty third field and a fourth one.
+ODD_LINES = {
+    "F": ["concat(o_orderkey, ',6\" pipe of ', o_custkey)"],
+    "O": ["concat('6\" x', o_orderkey, ',7\" y,', o_custkey)"],
+    "P": ["concat('\"', o_orderkey)", "concat(o_custkey, '\",1,,3')"],
+}
+
+
+def odd_files(spark, folder):
+    """What the folder log says of files with such lines."""
+    found = []
+    for status, lines in ODD_LINES.items():
+        path = shared_folder(spark, f"odd-{status}")
+        orders = table(spark, folder, "orders").where(F.col("o_orderstatus") == status)
+        rows = orders.selectExpr(f"explode(array({', '.join(lines)})) AS `order,customer`")
+        rows.write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
+        found.append(delimited.read_folder(spark, path)[1].withColumn("kind", F.lit(status)))
+    surplus = F.regexp_extract("error", r"^(\d+) row\(s\) have more fields than the header$", 1).try_cast("bigint")
+    log = reduce(lambda a, b: a.unionAll(b), found).where("source_file LIKE '%.csv'")
+    return log.groupBy("kind", "status").agg(F.sum("rows").alias("rows"), F.sum(surplus).alias("surplus"))
+
+
 QUERIES = {
     "dup_mask_several_files": (
         mask_of_files,
@@ -265,5 +305,19 @@ QUERIES = {
         " WHEN 'F' THEN 0 END AS short_rows, CASE o_orderstatus WHEN 'P' THEN concat(CAST(count(*) AS VARCHAR),"
         " ' row(s) have more fields than the header') END AS error FROM orders GROUP BY o_orderstatus",
     ),
+    "row_numbers_over_files": (
+        numbered_files, "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_no FROM events",
+    ),
+    "read_delimited_spanning": (
+        spanning,
+        "SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars, concat('\"', source, '\",', chr(10), '\"')"
+        " AS quoted, row_number() OVER (ORDER BY doc_id) - 1 AS row_no FROM documents",
+    ),
+    "read_folder_odd_lines": (
+        odd_files,
+        "SELECT o_orderstatus AS kind, CASE o_orderstatus WHEN 'F' THEN 'ok' ELSE 'failed' END AS status,"
+        " CASE o_orderstatus WHEN 'F' THEN count(*) END AS rows, CASE WHEN o_orderstatus <> 'F' THEN count(*) END"
+        " AS surplus FROM orders GROUP BY o_orderstatus",
+    ),
     "read_delimited_two_files": (two_files, "SELECT o_orderkey, o_orderstatus FROM orders"),
 }

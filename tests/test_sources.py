@@ -11,7 +11,7 @@ from tallyframe.operators.rules import Rule
 from tallyframe.plans.specs import Step
 from tallyframe.plans.workflow import run_workflow_folder
 from tallyframe.session import shared_folder
-from tallyframe.sources import delimited, files, parquet, reports, snapshots, workbook
+from tallyframe.sources import delimited, files, parquet, records, reports, snapshots, workbook
 from tallyframe.sources.files import POSITION_COLUMNS
 from tallyframe.sources.consolidation import consolidate_folder, file_summary
 from tallyframe.streaming import folder as stream_folder
@@ -270,7 +270,7 @@ def test_task_functions_need_no_package_on_executors(tmp_path):
 
     from pyspark import cloudpickle
 
-    for function in (delimited._parse_headers, workbook._read_workbooks):
+    for function in (delimited._parse_headers, records._mark, workbook._read_workbooks):
         (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(function))
         code = "import pickle, sys; f = pickle.load(open('f.pkl', 'rb')); list(f([]));" \
             "assert not any(m.startswith('tallyframe') for m in sys.modules)"
@@ -440,3 +440,111 @@ def test_a_header_that_spans_lines(spark, write, tmp_path):
     assert df.columns[:2] == ["a", "b\nc"] and tuple(df.first())[:2] == (1, 2)
     log = delimited.read_folder(spark, str(tmp_path))[1].first()
     assert (log.status, log.error) == ("failed", "The header record spans lines")
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files of a few kilobytes are read in many blocks."""
+    settings = {"spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+# No cell is lost: stray quotes, an empty surplus field, and files said to be of many lines.
+@pytest.mark.parametrize(
+    "text, multi_line",
+    [
+        ('a,b\n6" x,7" y,lost\n', None),
+        ('a,b\n"x\ny",1,,3\n', None),
+        ('a,b\n"x\ny",1,9\n', True),
+        ("a,b\n1,2,\n", None),
+        ('a,b\n1,2,""\n', True),
+        ('a,b\n"x,y",1,3\n"p\nq",2\n', None),
+        ('a,b\n"never closed,1\n2,3\n', None),
+        ('a,b\n"x",1\n"y,1,2\n', False),
+        ('a,b\n1,2,"y\n', False),
+    ],
+)
+def test_no_cell_is_lost(spark, write, text, multi_line, request):
+    path = write("lost.csv", text)
+    if multi_line is False and text.endswith('"y,1,2\n'):
+        df = delimited.read_delimited(spark, path, multi_line=False)
+        assert sorted(map(tuple, df.select("a", "b").collect()), key=str) == [("x", 1), ("y,1,2", None)]
+        return
+    with pytest.raises(LoadError, match="more fields|never closed"):
+        delimited.read_delimited(spark, path, multi_line=multi_line)
+    tables, log = delimited.read_folder(spark, path.rsplit("/", 1)[0], multi_line=multi_line)
+    entry = log.first()
+    if multi_line is None:
+        assert entry.status == "failed" and ("more fields" in entry.error or "never closed" in entry.error)
+        assert all(df.isEmpty() for _, df in tables)
+
+
+def test_a_faulty_file_stops_no_other(spark, write, tmp_path, rows):
+    write("good.csv", 'a,b\n"two\nlines",2\n')
+    write("long.csv", 'a,b\n"two\nlines",2,3\n"x",1\n')
+    write("open.csv", 'a,b\n1,2\n"two\nlines,2\n')
+    tables, log = delimited.read_folder(spark, str(tmp_path))
+    name = F.regexp_extract("source_file", r"([^/]+)$", 1)
+    assert rows(log, name, "status", "rows", "error") == [
+        ("good.csv", "ok", 1, None),
+        ("long.csv", "failed", None, "1 row(s) have more fields than the header"),
+        ("open.csv", "failed", None, "A quoted field is never closed"),
+    ]
+    assert [r for _, df in tables for r in rows(df, "a", "b")] == [("two\nlines", 2)]
+
+
+def cells(draw):
+    pieces = ["a", "b c", '"', ",", "\n", "\n\n", "", "é\U0001f600", "\t", '""', "6\" pipe", "  "]
+    return "".join(draw.choice(pieces) for _ in range(draw.choice([0, 1, 2, 3, 8, 60])))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_records_are_regrouped_over_blocks(spark, tmp_path, small_blocks, seed):
+    import csv
+    import random
+
+    draw, expected = random.Random(seed), []
+    for name in ("one.csv", "two.csv"):
+        table = [(f"{name}{i}", *(cells(draw) for _ in range(2))) for i in range(30)]
+        with open(tmp_path / name, "w", newline="") as file:
+            writer = csv.writer(file, lineterminator=draw.choice(["\n", "\r\n"]))
+            writer.writerows([("id", "x", "y"), *table])
+        expected += table
+    paths = [str(tmp_path / n) for n in ("one.csv", "two.csv")]
+    df = delimited.read_delimited(spark, paths, infer=False)
+    assert spark.read.text(paths).rdd.getNumPartitions() > 4
+    missing = delimited.NA_TOKENS
+    assert sorted(map(tuple, df.select("id", "x", "y").fillna("").collect())) == sorted(
+        (i, "" if x in missing else x, "" if y in missing else y) for i, x, y in expected
+    )
+    # Places give the rows of a file in their order.
+    ordered = [r.id for r in df.orderBy(*POSITION_COLUMNS).collect()]
+    assert ordered == [i for i, _, _ in expected]
+    numbered = files.number_rows(df).select("id", "row_no").collect()
+    assert {r.id: r.row_no for r in numbered} == {i: n % 30 for n, (i, _, _) in enumerate(expected)}
+
+
+def test_a_header_and_blank_lines_over_blocks(spark, write, small_blocks, rows):
+    header = "long\nheader " * 60
+    path = write("h.csv", f'\n  \n"{header}",b\n\n1,"x\n\n\ny"\n' + "\n" * 500 + '2,"z\n"\n')
+    df = delimited.read_delimited(spark, path)
+    assert df.columns[:2] == [header, "b"]
+    assert rows(files.number_rows(df), header, "b", "row_no") == [(1, "x\n\n\ny", 0), (2, "z\n", 1)]
+
+
+def test_one_long_record_spans_many_blocks(spark, write, small_blocks, rows):
+    long = "\n".join(f'line {i}, with a ""quote""' for i in range(60))
+    path = write("long.csv", f'a,b\n1,x\n2,"{long}"\n3,"y"\n\n4,"p\nq"\n')
+    df = delimited.read_delimited(spark, path)
+    assert rows(df, "a", "b") == [(1, "x"), (2, long.replace('""', '"')), (3, "y"), (4, "p\nq")]
+
+
+def test_broken_records_can_be_kept(spark, write, rows):
+    path = write("kept.csv", 'a,b\n"x\ny",1\n"p\nq",2,3\nz\n')
+    df = delimited.read_delimited(spark, path, corrupt_column="broken")
+    assert rows(df, "a", "b", "broken") == [("p\nq", 2, '"p\nq",2,3'), ("x\ny", 1, None), ("z", None, "z")]
