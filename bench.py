@@ -108,7 +108,7 @@ def headline(spark):
             combine.join_tables(orders.withColumnRenamed("o_orderkey", "l_orderkey"), lines, ["l_orderkey"], "outer")
         ),
         "union": lambda: run(combine.union_tables([lines, raised], ["a", "b"])),
-        "workflow_by_source": lambda: [run(df) for df in run_tagged(lines, STEPS, POSITION_COLUMNS, "l_returnflag")],
+        "workflow_by_source": lambda: [run(df) for df in run_tagged(lines, STEPS, POSITION_COLUMNS, "l_returnflag", one_pass=True)],
     }
 
 

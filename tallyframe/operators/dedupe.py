@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.errors import require_columns, require_free, require_some
 from tallyframe.functions.columns import (
-    all_of, col, is_numeric, match_key, rounded_percent, value_of,
+    INTEGRAL, all_of, col, dtype_of, is_numeric, match_key, rounded_percent, value_of,
 )
 
 KEEP_STRATEGIES = ("first", "last", "highest")
@@ -73,6 +73,38 @@ def drop_duplicates(df, keys, order_by, keep="first", rank_by=None):
     return _kept(df, keys, order_by, keep, rank_by)
 
 
+def merge_duplicates(df, keys, order_by, keep="first", rank_by=None, *, removed="removed", sums=()):
+    """The rows that ``drop_duplicates`` keeps, each with the number of rows ``removed`` in its favour.
+
+    ``sums`` are number columns that the row kept takes over from the rows removed. One aggregation, combined
+    before the shuffle: a task sends one row per key. Returns None where ``highest`` would have to
+    rank values that are no numbers, which takes a window.
+    """
+    keys, order_by = _names(keys), _names(order_by)
+    _check(df, keys, order_by, keep)
+    require_some(order_by, "Name the columns that order the rows (order_by).")
+    require_free(df, [removed])
+    place = [col(c) for c in order_by]
+    if keep == "highest":
+        rank = rank_by or pick_rank_column(df, keys, [*order_by, *sums])
+        if rank is not None:
+            require_columns(df, [rank], "Rank column")
+            if not is_numeric(dtype_of(df, rank)):
+                return None
+            value = value_of(df, rank)
+            # Lowest first, so turned around: the complement of a whole number cannot overflow.
+            turned = F.bitwise_not(value) if isinstance(dtype_of(df, rank), INTEGRAL) else -value
+            place = [value.isNull(), turned, *place]
+    pick = F.max_by if keep == "last" else F.min_by
+    rows = [c for c in df.columns if c not in sums]
+    merged = df.groupBy(*[k.alias(f"__key_{i}") for i, k in enumerate(_keys(df, keys))]).agg(
+        pick(F.struct(*map(col, rows)), F.struct(*place)).alias("__row"),
+        *[F.sum(col(c)).alias(c) for c in sums],
+        (F.count(F.lit(1)) - 1).alias(removed),
+    )
+    return merged.select(*[F.col("__row").getField(c).alias(c) for c in rows], *map(col, sums), col(removed))
+
+
 def mark_duplicates(df, keys, order_by, keep="first", rank_by=None, mask="is_duplicate"):
     """Add a boolean column that is true for every row the keep strategy would drop.
 

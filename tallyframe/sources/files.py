@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.errors import UnsupportedFileTypeError
 from tallyframe.functions.columns import col
 from tallyframe.functions.local import local_table
+from tallyframe.session import shared_folder
 
 # Readable suffixes and the field separator of the delimited ones.
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
@@ -77,6 +78,13 @@ def with_position(scan):
     )
 
 
+def write_once(df, purpose):
+    """``df`` written below the shared folder and read back, so that later jobs do not compute it again."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 POSITION_COLUMNS = [SOURCE, BLOCK, POSITION]
 
 

@@ -20,8 +20,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import col
-from tallyframe.session import shared_folder
-from tallyframe.sources.files import BLOCK, POSITION, POSITION_COLUMNS, SOURCE, with_position
+from tallyframe.sources.files import BLOCK, POSITION, POSITION_COLUMNS, SOURCE, with_position, write_once
 
 HEADER = -1  # the header's number
 QUOTED = '"(?:[^"]++|"")*+'  # a quoted field up to its closing quote
@@ -130,12 +129,6 @@ def _mark(batches):
         )
 
 
-def _written(df, purpose):
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _beginnings(marked):
     """Per block: whether it begins and ends inside quotes, and the record that goes on in it."""
     last = F.struct("after0", "after1", "number0", "number1", "head")
@@ -170,7 +163,7 @@ def regroup(spark, paths, sep):
         (F.trim("value") != "").alias("filled"),
     )
     marked = lines.mapInArrow(_mark, MARKED)
-    blocks = _written(_beginnings(marked), "blocks")
+    blocks = write_once(_beginnings(marked), "blocks")
     unclosed = blocks.groupBy("__file").agg(F.max_by("ends", "__block").alias("ends")).where("ends").select(F.col("__file").alias("path"))
     same = (F.col(SOURCE) == F.col("__file")) & (F.col(BLOCK) == F.col("__block"))
     found = marked.join(blocks.drop("ends"), same, "left").join(unclosed, F.col(SOURCE) == F.col("path"), "left_anti")
@@ -193,7 +186,7 @@ def regroup(spark, paths, sep):
         SOURCE, F.col("block").alias(BLOCK), F.col("number").alias(POSITION), "record",
         field_count(F.col("record"), sep).alias("fields"),
     )
-    records = _written(records, "records")
+    records = write_once(records, "records")
     is_header = F.col(POSITION) == HEADER
     return records.where(~is_header), records.where(is_header).select(F.col(SOURCE).alias("path"), "record"), unclosed
 

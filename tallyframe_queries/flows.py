@@ -68,6 +68,20 @@ def tagged_report(spark, folder):
     return reports.batch_run_table(report)
 
 
+def one_pass(spark, folder):
+    """The result and the report of one pass, as rows of one table."""
+    result, report = run_tagged(events(spark, folder), EVENT_STEPS, "event_id", "event_type", one_pass=True)
+    told = report.select(F.col("source").alias("event_type"), "rows_before", "rows_after", "detail")
+    return result.unionByName(told, allowMissingColumns=True)
+
+
+def one_pass_batch(spark, folder):
+    """Sources of one header, with a unique rule that begins a new pass: results and report."""
+    sources = [("customer.csv", view(spark, folder, PARTY)), ("supplier.csv", view(spark, folder, PARTY_SUPPLIER))]
+    (result,), report = run_workflow_batch(sources, PARTY_STEPS, "id", source="source", one_pass=True)
+    return result.unionByName(report.select("source", "rows_before", "rows_after", "detail"), allowMissingColumns=True)
+
+
 PARTY = ("customer", ["c_custkey AS id", "c_nationkey AS nation", "c_acctbal AS balance"])
 PARTY_SUPPLIER = ("supplier", ["s_suppkey AS id", "s_nationkey AS nation", "s_acctbal AS balance"])
 OTHER = ("part", ["p_partkey AS id", "p_brand AS brand"])
@@ -280,6 +294,25 @@ QUERIES = {
         " ' row(s); validate: ', CAST(issues AS VARCHAR), ' issue(s) found; column_map: Result has"
         " 2 column(s)') AS \"Detail\" FROM b JOIN n USING (event_type)",
     ),
+    "workflow_one_pass": (
+        one_pass,
+        f"WITH k AS ({KEPT}), n AS (SELECT event_type, count(*) AS after, count(*) FILTER (value < 50) AS issues"
+        " FROM k GROUP BY event_type), b AS (SELECT event_type, count(*) AS before FROM events GROUP BY event_type)"
+        ' SELECT user_id AS "User", value AS "Value", event_type, NULL::BIGINT AS rows_before, NULL::BIGINT AS rows_after,'
+        " NULL::VARCHAR AS detail FROM k UNION ALL SELECT NULL, NULL, event_type, before, after,"
+        " concat('remove_duplicates: Removed ', CAST(before - after AS VARCHAR), ' row(s); validate: ',"
+        " CAST(issues AS VARCHAR), ' issue(s) found; column_map: Result has 2 column(s)') FROM b JOIN n USING (event_type)",
+    ),
+    "workflow_one_pass_batch": (
+        one_pass_batch,
+        f"WITH p AS ({PARTIES}), k AS ({LAST_OF_NATION}), n AS (SELECT source, count(*) AS after,"
+        " count(*) FILTER (balance < 0) AS issues FROM k GROUP BY source),"
+        " b AS (SELECT source, count(*) AS before FROM p GROUP BY source)"
+        " SELECT id, nation, balance, source, NULL::BIGINT AS rows_before, NULL::BIGINT AS rows_after,"
+        " NULL::VARCHAR AS detail FROM k UNION ALL SELECT NULL, NULL, NULL, source, before, after,"
+        " concat('remove_duplicates: Removed ', CAST(before - after AS VARCHAR), ' row(s); validate: ',"
+        " CAST(issues AS VARCHAR), ' issue(s) found') FROM b JOIN n USING (source)",
+    ),
     "workflow_batch": (batch_result, LAST_OF_NATION),
     "workflow_batch_report": (
         batch_report,

@@ -197,3 +197,68 @@ def test_a_recorded_workflow(spark, frame):
     assert result.count() == 126
     below = sum(kilos < 0 for _, _, kilos in racks)
     assert [r.detail for r in log.orderBy("step_no").collect()] == ["Removed 35 row(s)", f"{below} issue(s) found"]
+
+
+CHAINS = {
+    "carried": [BY_HIVE, ("validate", {"rules": [{"rule_type": "required", "column": "kilos"}, {"rule_type": "required", "column": "hive"}]}),
+                ("remove_duplicates", {"columns": ["hive"], "keep": "last"})],
+    "highest": [("remove_duplicates", {"columns": ["frame"], "keep": "highest"}), ("remove_duplicates", {"columns": ["hive"]})],
+    "text rank": [("remove_duplicates", {"columns": ["hive"], "keep": "highest", "rank_by": "frame"}), ("validate", {"rules": [{"rule_type": "no_negative", "column": "kilos"}]})],
+    "unique": [BY_HIVE, ("validate", {"rules": [{"rule_type": "unique", "column": "hive"}, {"rule_type": "required", "column": "kilos"}]}),
+               ("remove_duplicates", {"columns": ["hive"]})],
+    "mapped": [("column_map", {"mappings": [{"source": "hive", "destination": "kilos"}, {"source": "kilos", "destination": "hive"}]}),
+               ("remove_duplicates", {"columns": ["kilos"], "keep": "last"}), ("validate", {"rules": [{"rule_type": "required", "column": "hive"}]})],
+    "failing": [BY_HIVE, ("validate", {"rules": [{"rule_type": "required", "column": "queen"}]}), BY_HIVE],
+    "failing first": [("remove_duplicates", {"columns": ["queen"]})],
+}
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_one_pass_gives_the_same(frame, rows, name):
+    df = frame("hive long, frame string, kilos double, apiary string", *[(*r, "abc"[i % 2]) for i, r in enumerate(HARVEST * 2)])
+    chain = steps(*CHAINS[name])
+    for one, lazy in zip(workflow.run_workflow(df, chain, "row_id", one_pass=True), workflow.run_workflow(df, chain, "row_id")):
+        assert one.dtypes == lazy.dtypes and rows(one) == rows(lazy)
+    args = df, chain, "row_id", "apiary", ["a", "b", "none"]
+    for one, lazy in zip(workflow.run_tagged(*args, one_pass=True), workflow.run_tagged(*args)):
+        assert one.dtypes == lazy.dtypes and rows(one) == rows(lazy)
+
+
+def test_one_pass_of_an_empty_table_and_own_steps(frame, rows):
+    df = frame("hive long, frame string, kilos double")
+    result, log = workflow.run_workflow(df, steps(*CHAINS["unique"]), "row_id", one_pass=True)
+    assert result.isEmpty() and [r.detail for r in log.orderBy("step_no").collect()] == [
+        "Removed 0 row(s)", "0 issue(s) found", "Removed 0 row(s)",
+    ]
+
+    def heavy(df, parameters, order_by, scope):
+        kept = df.where(F.col("kilos") > 4)
+        return workflow.StepOutcome(kept, "Keep heavy frames", "done", figure=0)
+
+    workflow.register_step("heavy", heavy)
+    try:
+        df = frame("hive long, frame string, kilos double, apiary string", *[(*r, "ab"[r[0] == 2]) for r in HARVEST])
+        chain = steps(BY_HIVE, ("heavy", {}), BY_HIVE)
+        for one, lazy in zip(
+            workflow.run_tagged(df, chain, "row_id", "apiary", one_pass=True), workflow.run_tagged(df, chain, "row_id", "apiary")
+        ):
+            assert rows(one) == rows(lazy)
+    finally:
+        del workflow.STEPS["heavy"]
+
+
+def test_one_pass_reads_the_source_once(spark, frame, monkeypatch):
+    """All jobs together scan the source once; the shuffle gets a row per key and task."""
+    from tallyframe.sources import files
+
+    written = []
+    monkeypatch.setattr(workflow, "write_once", lambda df, purpose: written.append(df) or files.write_once(df, purpose))
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    chain = steps(
+        ("remove_duplicates", {"columns": ["user_id", "event_type"], "keep": "highest", "rank_by": "value"}),
+        ("validate", {"rules": [{"rule_type": "custom_expression", "parameter": "value >= 50"}]}),
+    )
+    result, report = workflow.run_tagged(source, chain, "event_id", "event_type", one_pass=True)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*written, result, report)]
+    assert sum("events.parquet" in plan for plan in plans) == len(written) == 1
+    assert plans[0].count("FileScan") == 1 and plans[0].count("partial_min_by") == 1
