@@ -11,6 +11,7 @@ from tallyframe.errors import require_columns, require_free, require_some
 from tallyframe.functions.columns import (
     INTEGRAL, all_of, col, dtype_of, is_numeric, match_key, rounded_percent, value_of,
 )
+from tallyframe.operators.skew import hot_keys
 
 KEEP_STRATEGIES = ("first", "last", "highest")
 
@@ -123,6 +124,39 @@ def mark_duplicates(df, keys, order_by, keep="first", rank_by=None, mask="is_dup
     )
 
 
+def mark_duplicates_once(df, keys, order_by, keep="first", rank_by=None, mask="is_duplicate", *, min_hot_rows=None):
+    """``mark_duplicates`` with one shuffle of rows.
+
+    A first job counts rows by hash of the key. Keys of an ordinary number of rows are numbered in a window. Rows
+    of a key with more than ``min_hot_rows`` stay where they are: the row kept of each such key is found
+    first, a row per key and task, and looked up.
+    """
+    keys, order_by = _names(keys), _names(order_by)
+    _check(df, keys, order_by, keep)
+    require_some(order_by, "Name the columns that order the rows (order_by).")
+    require_free(df, [mask])
+    names = [f"__key_{i}" for i in range(len(keys))]
+    order = _keep_order(df, keys, order_by, keep, rank_by)
+    keyed = df.withColumns(dict(zip(names, _keys(df, keys))))
+    first = Window.partitionBy(*names).orderBy(*order)
+
+    def numbered(rows):
+        return rows.select(*map(col, df.columns), (F.row_number().over(first) > 1).alias(mask))
+
+    hot = hot_keys(keyed, None, names, min_hot_rows=min_hot_rows)
+    if hot is None:
+        return numbered(keyed)
+    places = [f"__at_{i}" for i in range(len(order_by))]
+    hot_rows = hot.rows_of(keyed).withColumns({p: col(c) for p, c in zip(places, order_by)})
+    kept = hot_rows.withColumn("__place", F.row_number().over(first)).where("__place = 1")
+    kept = kept.select(*[F.col(n).alias(f"__kept_{i}") for i, n in enumerate(names)], *[F.col(p).alias(f"{p}_kept") for p in places])
+    same = all_of(F.col(n).eqNullSafe(F.col(f"__kept_{i}")) for i, n in enumerate(names))
+    # One row per hot key, of which there are at most rows / min_hot_rows.
+    found = hot_rows.join(F.broadcast(kept), same)
+    stays = all_of(F.col(p).eqNullSafe(F.col(f"{p}_kept")) for p in places)
+    return numbered(hot.rows_of(keyed, "left_anti")).unionAll(found.select(*map(col, df.columns), (~stays).alias(mask)))
+
+
 def _kept_places(df, keys, order_by, keep, rank_by):
     """``__kept_<i>, __kept_at_<i>``: keys and order columns of the rows that stay, one per key."""
     _check(df, keys, order_by, keep)

@@ -50,6 +50,10 @@ class HotKeys:
         }
         return F.broadcast(listed.withColumns(instants) if instants else listed)
 
+    def rows_of(self, df, how="left_semi"):
+        """The rows of ``df`` whose key is hot, or with ``left_anti`` is not."""
+        return _with_keys(df, self.table(self.rows), self.keys, how)
+
     def kinds(self):
         """``(keys with rows on both sides, keys of one side only)``."""
         both = [row for row in self.rows if min(row[-2:]) > 0]

@@ -1,8 +1,10 @@
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from tallyframe.operators import compare
+from tallyframe.operators import combine, compare
 from tallyframe.sources.reports import comparison_tables
-from tallyframe_queries.inputs import ORDERS, ORDERS_LATER, table, view, with_views
+from tallyframe_queries.inputs import ORDERS, ORDERS_LATER, sql, table, view, with_views
 
 KEY = ["o_orderkey"]
 
@@ -68,6 +70,32 @@ def report_summary(spark, folder):
     return comparison_tables(*both(spark, folder), KEY, "orders", "later")["summary"]
 
 
+def counts(spark, folder):
+    return compare.compare_counts(*both(spark, folder), KEY, "orders", "later")
+
+
+def pruned(spark, folder):
+    """Only rows that differ; most orders of the later state are the same."""
+    master, second = both(spark, folder)
+    rows = compare.compare_pruned(master, second.where("o_orderkey % 4 <> 1").unionAll(master.where("o_orderkey % 4 = 1")), KEY)
+    return rows.select("o_orderkey", "status", F.array_join("changed_columns", ",").alias("changed"), "o_totalprice_second")
+
+
+# A key with a third of the rows on both sides, and equal rows among them.
+LINES = ("lineitem", ["CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_partkey END AS part", "l_linenumber AS line", "l_returnflag AS flag"])
+ORDERED = ("orders", ["CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey END AS part", "o_custkey % 7 AS line", "o_orderstatus AS flag"])
+
+
+def factorised(spark, folder):
+    return compare.compare_counts(view(spark, folder, LINES), view(spark, folder, ORDERED), ["part"])
+
+
+def joins_counted(spark, folder):
+    sides = view(spark, folder, LINES), view(spark, folder, ORDERED).withColumnRenamed("flag", "status")
+    reports = [combine.count_joined(*sides, ["part", "line"], mode) for mode in ("inner", "left", "right", "outer")]
+    return reduce(lambda a, b: a.unionAll(b), reports)
+
+
 NAMES = ("customer", ["c_name AS name", "c_mktsegment AS segment", "c_acctbal AS balance"])
 NAMES_SHOUTED = (
     "customer",
@@ -118,7 +146,40 @@ SUMMARY = (
     f" {PAIRS}"
 )
 
+FACTORS = (
+    "l AS (SELECT part, line, flag, count(*) AS n FROM ({}) GROUP BY ALL), o AS (SELECT part, line, flag, count(*) AS m"
+    " FROM ({}) GROUP BY ALL)"
+).format(sql(LINES), sql(ORDERED))
+JOINED = f"({sql(LINES)}) a {{}} JOIN ({sql(ORDERED)}) b ON a.part = b.part AND a.line = b.line"
+
 QUERIES = {
+    "compare_counts": (
+        counts, orders_sql(f"SELECT 'orders' AS master, 'later' AS second, 'o_orderkey' AS key_columns, * FROM ({SUMMARY})"),
+    ),
+    "compare_summary_factorised": (
+        factorised,
+        f"WITH {FACTORS}, k AS (SELECT part, sum(n) AS n FROM l GROUP BY part), j AS (SELECT part, sum(m) AS m FROM o"
+        " GROUP BY part), e AS (SELECT coalesce(sum(n * m), 0) AS same FROM l JOIN o USING (part, line, flag))"
+        " SELECT 'master' AS master, 'second' AS second, 'part' AS key_columns, CAST(sum(n * m) AS BIGINT) AS matched,"
+        " CAST(coalesce(sum(n) FILTER (m IS NULL), 0) AS BIGINT) AS missing_in_second,"
+        " CAST(coalesce(sum(m) FILTER (n IS NULL), 0) AS BIGINT) AS new_in_second,"
+        " CAST(sum(n * m) - (SELECT same FROM e) AS BIGINT) AS modified FROM k FULL JOIN j USING (part)",
+    ),
+    "compare_pruned": (
+        pruned,
+        f"WITH m AS ({sql(ORDERS)}), l AS ({sql(ORDERS_LATER)}), s AS (SELECT * FROM l WHERE o_orderkey % 4 <> 1 UNION ALL"
+        f" SELECT * FROM m WHERE o_orderkey % 4 = 1) SELECT coalesce(m.o_orderkey, s.o_orderkey) AS o_orderkey,"
+        f" {STATUS} AS status, CASE WHEN m.o_orderkey IS NULL OR s.o_orderkey IS NULL THEN '' ELSE {CHANGED} END AS changed,"
+        f" s.o_totalprice AS o_totalprice_second {PAIRS} WHERE {STATUS} <> 'unchanged'",
+    ),
+    "join_counts": (
+        joins_counted,
+        " UNION ALL ".join(
+            f"SELECT '{mode}' AS mode, 'part, line' AS key_columns, 2::BIGINT AS source_count, count(*) AS result_rows,"
+            f" 4::BIGINT AS result_columns FROM {JOINED.format(mode if mode != 'outer' else 'FULL')}"
+            for mode in ("inner", "left", "right", "outer")
+        ),
+    ),
     "compare_status": (
         status,
         orders_sql(

@@ -153,3 +153,14 @@ def test_sort_is_typed_and_puts_blanks_lowest(spark):
 def test_mark_blanks(spark, rows):
     df = local_table(spark, [(None, 1.0), ("", float("nan"))], "a string, b double")
     assert rows(search.mark_blanks(df), "a_is_blank", "b_is_blank") == [(False, True), (True, False)]
+
+
+@pytest.mark.parametrize("mode", ["inner", "left", "right", "outer"])
+def test_joined_rows_are_counted_without_a_join(frame, mode):
+    left = frame("k string, n long, a long", *[("x", 1, 1)] * 5, ("y", 1, 2), (None, 2, 3), (None, 2, 4), ("z", None, 5)).drop("row_id")
+    right = frame("n double, k string, a long", (1.0, "x", 1), (1.0, "x", 1), (2.0, None, 2), (7.0, "q", 3), (float("nan"), "z", 4)).drop("row_id")
+    counted = combine.count_joined(left, right, ["k", "n"], mode)
+    expected = combine.join_report(combine.join_tables(left, right, ["k", "n"], mode), mode, ["k", "n"])
+    assert counted.dtypes == expected.dtypes and counted.first() == expected.first()
+    assert "Join" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert combine.count_joined(left.limit(0), right.limit(0), ["k"], mode).first().result_rows == 0

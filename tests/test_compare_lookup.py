@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.functions.local import local_table
 from tallyframe.operators import compare
@@ -205,3 +206,70 @@ def test_lookup_key_options(frame):
 def test_lookup_errors(stations, match, copied):
     with pytest.raises(ValueError):
         lookup_and_copy(*stations, match, copied, "row_id")
+
+
+def random_sides(frame, seed, unique=False):
+    import random
+
+    draw = random.Random(seed)
+    texts = ["a", "A ", "b", None, ""]
+    numbers = [1, 2, None, 3]
+
+    def side(wide):
+        rows = [(draw.choice(texts), draw.choice(numbers), draw.choice(texts), draw.choice([0.5, None, float("nan")])) for _ in range(60)]
+        if unique:
+            rows = list({r[:2]: r for r in rows}.values())
+        if wide:
+            rows = [(k, None if n is None else float(n), t, v) for k, n, t, v in rows]
+        return frame(f"k string, n {'double' if wide else 'long'}, t string, v double", *rows).drop("row_id")
+
+    return side(False), side(True)
+
+
+@pytest.mark.parametrize("options", [{}, {"ignore_case": True, "ignore_whitespace": True}])
+@pytest.mark.parametrize("keys", [["k"], ["k", "n"], ["n"]])
+def test_counts_without_pairs(frame, options, keys):
+    for seed in range(3):
+        master, second = random_sides(frame, seed)
+        pairs = compare.compare_tables(master, second, keys, **options)
+        counted = compare.compare_counts(master, second, keys, **options)
+        expected = compare.compare_summary(pairs, keys)
+        assert counted.dtypes == expected.dtypes and counted.first() == expected.first()
+    assert "Join" not in counted._jdf.queryExecution().executedPlan().toString()
+    nothing = compare.compare_counts(master.limit(0), second.limit(0), keys).first()
+    assert tuple(nothing)[3:] == (0, 0, 0, 0)
+
+
+def test_pruned_comparison_gives_the_differences(frame, rows):
+    for seed in range(3):
+        master, second = random_sides(frame, seed, unique=True)
+        for keys in (["k", "n"],):
+            found = compare.compare_pruned(master, second, keys)
+            expected = compare.compare_tables(master, second, keys).where("status <> 'unchanged'")
+            assert found.dtypes == expected.dtypes and list(map(str, rows(found))) == list(map(str, rows(expected)))
+    # Which of two columns is null is a difference.
+    one, other = (frame("k long, a string, b string", *r).drop("row_id") for r in ([(1, "x", None)], [(1, None, "x")]))
+    assert rows(compare.compare_pruned(one, other, ["k"]), "status") == [("modified",)]
+    assert compare.compare_pruned(one, one, ["k"]).isEmpty() and compare.compare_pruned(one.limit(0), one.limit(0), ["k"]).isEmpty()
+
+
+def test_equal_buckets_are_not_joined(spark, monkeypatch):
+    master = spark.range(20_000).selectExpr("id AS k", "id % 10 AS v")
+    second = master.withColumn("v", F.when(F.col("k") == 7, 99).otherwise(F.col("v"))).where("k <> 11").unionAll(
+        spark.range(1).selectExpr("20011L AS k", "0L AS v")
+    )
+    joined = []
+    plain = compare.compare_tables
+    monkeypatch.setattr(
+        compare, "compare_tables", lambda a, b, *args, **more: joined.extend((a.count(), b.count())) or plain(a, b, *args, **more)
+    )
+    found = {(r.k, r.status) for r in compare.compare_pruned(master, second, ["k"]).collect()}
+    assert found == {(7, "modified"), (11, "missing_in_second"), (20011, "new_in_second")}
+    assert max(joined) < 20
+
+
+def test_repeated_keys_of_equal_rows_are_unchanged(frame, rows):
+    df = frame("k long, v string", (1, "a"), (1, "b"), (2, "c")).drop("row_id")
+    assert compare.compare_pruned(df, df, ["k"]).isEmpty()
+    changed = frame("k long, v string", (1, "a"), (1, "z"), (2, "c")).drop("row_id")
+    assert {r.k for r in compare.compare_pruned(df, changed, ["k"]).collect()} == {1}

@@ -119,3 +119,37 @@ def test_mask_count_matches_report(spark):
     flagged = dedupe.mark_duplicates(events, ["user_id", "event_type"], "event_id")
     counted = flagged.agg(F.count_if("is_duplicate")).first()[0]
     assert counted == dedupe.duplicate_report(events, ["user_id", "event_type"]).first().duplicate_rows
+
+
+@pytest.mark.parametrize("keep", ["first", "last", "highest"])
+@pytest.mark.parametrize("min_hot_rows", [None, 20])
+def test_the_mask_in_one_shuffle(frame, rows, keep, min_hot_rows):
+    import random
+
+    draw = random.Random(4)
+    cells = [(draw.choice(["x", "x", "x", "y", None]), draw.choice([1.0, -0.0, 0.0, float("nan"), None]), draw.choice([1, 2, None])) for _ in range(300)]
+    df = frame("a string, b double, v long", *cells)
+    for keys in (["a"], ["a", "b"]):
+        one = dedupe.mark_duplicates_once(df, keys, "row_id", keep, min_hot_rows=min_hot_rows)
+        other = dedupe.mark_duplicates(df, keys, "row_id", keep)
+        assert one.dtypes == other.dtypes and rows(one, "row_id", "is_duplicate") == rows(other, "row_id", "is_duplicate")
+    empty = dedupe.mark_duplicates_once(df.limit(0), ["a"], "row_id", keep, min_hot_rows=min_hot_rows)
+    assert empty.isEmpty()
+
+
+def test_rows_of_a_hot_key_stay_in_their_tasks(spark):
+    df = spark.range(0, 30_000, 1, 6).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 ELSE id % 9000 END AS k", "id AS v")
+    plain = dedupe.mark_duplicates_once(df, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert plain.count("Exchange") == 1 and "Join" not in plain
+    marked = dedupe.mark_duplicates_once(df, ["k"], "id", min_hot_rows=1000)
+    # Cold rows are shuffled; of the hot key's 10,000 rows only a few candidates are.
+    sizes = marked.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_if(F.expr("k = -1")).alias("hot")).collect()
+    assert sum(r.hot for r in sizes) == 10_000 and max(r.hot for r in sizes) < 2000
+    assert marked.where("NOT is_duplicate").count() == df.select("k").distinct().count()
+
+
+def test_merged_rows_carry_counts(frame, rows):
+    df = frame("k string, v long, n long", ("a", 5, 1), ("a", 9, 2), ("b", None, 3), (None, 1, 4), (None, 7, 5))
+    merged = dedupe.merge_duplicates(df, ["k"], "row_id", "highest", "v", sums=["n"])
+    assert rows(merged, "k", "v", "n", "removed") == [(None, 7, 9, 1), ("a", 9, 3, 1), ("b", None, 3, 0)]
+    assert dedupe.merge_duplicates(df, ["v"], "row_id", "highest", "k") is None
