@@ -124,17 +124,36 @@ def forest(left, right, nodes):
             return root
 
 
+# So many links of a component search, 16 bytes each, are a task's work.
+LOCAL_LINKS = 1_000_000
+
+
+def _finish(batches):
+    """(node, root) of the links of a bounded table."""
+    parts = [np.stack([batch.column(c).to_numpy() for c in "ab"]) for batch in batches]
+    if not parts:
+        return
+    links = np.concatenate(parts, 1)
+    names, place = np.unique(links, return_inverse=True)
+    left, right = place.reshape(links.shape)
+    roots = names[forest(left, right, len(names))]
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(roots)], ["node", "root"])
+
+
 def components(links):
     """(node, root) for every node of ``links`` (a, b): the smallest node reachable.
 
     Alternates two star operations until nothing changes: every node's larger neighbours, then its
     smaller ones, are linked to its smallest. A node may have any number of links: neighbours are only
-    aggregated and joined, and adaptive execution splits the joins. Every round is written down.
+    aggregated and joined, and adaptive execution splits the joins. Every round is written down. As soon as
+    at most ``LOCAL_LINKS`` links are left, one task finishes them.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = staged(links.distinct(), "links")
     state = None
     while True:
+        if links.count() <= LOCAL_LINKS:
+            return staged(links.coalesce(1).mapInArrow(_finish, "node long, root long"), "components")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -130,3 +130,19 @@ def test_components_of_chains_stars_and_rings(spark):
         **{i: 100 for i in range(100, 161)}, 900: 100, **{i: 1 for i in range(1, 40)}, 500: 500, 501: 500, 502: 500,
     }
     assert components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, local):
+    from tallyframe.functions.local import local_table
+    from tallyframe.llm import common
+
+    monkeypatch.setattr(common, "LOCAL_LINKS", local)
+    length = 10_000 if local else 300
+    links = [(i + 1, i) for i in range(length)] + [(50_000, 50_000 + i) for i in range(1, 400)] + [(7, 7), (90_000, 90_001)]
+    rng = np.random.default_rng(1)
+    links = [links[i] for i in rng.permutation(len(links))]
+    got = {r.node: r.root for r in common.components(local_table(spark, links, "a long, b long")).collect()}
+    expected = {i: 0 for i in range(length + 1)} | {50_000 + i: 50_000 for i in range(400)} | {90_000: 90_000, 90_001: 90_000}
+    assert got == expected
+    assert common.components(local_table(spark, [], "a long, b long")).count() == 0
