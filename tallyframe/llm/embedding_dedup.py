@@ -107,9 +107,17 @@ def _compare(rows, projections, tables, threshold, seed):
             cid, count, number, side = (table.column(c).to_numpy() for c in ("cid", "n", "number", "side"))
             space, dims = table.column("space").to_numpy(), table.column("dims").to_numpy()
             out = [[], [], []]
+            # Buckets of two labels or tables may share a number by chance: each is compared for itself.
+            kinds = np.stack([np.repeat(starts, np.diff(np.append(starts, len(cid)))), space, dims, number])
+            if (kinds[:, 1:] != kinds[:, :-1]).any(0).sum() >= len(starts):
+                order = np.lexsort((cid, number, dims, space, kinds[0]))
+                table = table.take(pa.array(order))
+                cid, count, number, side, space, dims = (x[order] for x in (cid, count, number, side, space, dims))
+                kinds = kinds[:, order]
+                starts = np.flatnonzero(np.concatenate([[True], (kinds[:, 1:] != kinds[:, :-1]).any(0)]))
             for a, b in zip(starts, np.append(starts[1:], len(cid))):
-                if b - a < 2 or len(np.unique(dims[a:b])) > 1 or len(np.unique(space[a:b])) > 1:
-                    continue  # a chance meeting of two buckets' numbers is never between equal spaces
+                if b - a < 2:
+                    continue
                 vectors = _matrix(table.column("vector").slice(a, b - a))
                 found = codes(vectors, projections, tables, seed)
                 low = side[a:b] == 0

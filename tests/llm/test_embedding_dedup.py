@@ -78,3 +78,18 @@ def test_given_table(spark):
 def test_parameters_grow_with_the_table():
     small, large = parameters(1000), parameters(10**9)
     assert small[0] < large[0] and small[1] < large[1]
+
+
+def test_buckets_that_share_a_number_are_compared_apart(spark, monkeypatch):
+    """All buckets get one of three numbers."""
+    from pyspark.sql import functions as F
+
+    plain_postings = embedding_dedup._postings
+    few = lambda *args: plain_postings(*args).withColumn("bucket", F.pmod("bucket", F.lit(3)))
+    monkeypatch.setattr(embedding_dedup, "_postings", few)
+    rng = np.random.default_rng(9)
+    middles = rng.standard_normal((6, 8))
+    rows = [(i, (middles[i % 6] + rng.standard_normal(8) * 0.05).astype(np.float32).tolist(), i % 3) for i in range(60)]
+    rows += [(100 + i, rows[i][1][:7], i % 3) for i in range(12)]
+    df = local_table(spark, [(*r, 1, "x") for r in rows], SCHEMA)
+    assert found(near_duplicates(df)) == plain(rows)
