@@ -43,6 +43,7 @@ JOINED = 3  # neighbouring parts looked at as one string
 DIGIT, LOWER, UPPER = re.compile(rb"[0-9]"), re.compile(rb"[a-z]"), re.compile(rb"[A-Z]")
 PLAIN_CHARS_PER_TOKEN = 1.9  # at most, for a random string of letters of one case
 REPLACEMENT = "<secret>"
+SLICE = 200  # texts redacted at a time
 
 SPANS = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
@@ -164,6 +165,16 @@ def scan(docs, path=None):
     return found.select("doc_id", "_s.*")
 
 
+def _redacted(scanner, text, replacement):
+    found = scanner.spans(text.encode()) if text else ()
+    done, parts = 0, []
+    for start, _, end in found:
+        if start >= done:
+            parts += [text[done:start], replacement]
+        done = max(done, end)
+    return "".join([*parts, text[done:]]) if found else text
+
+
 def redact(docs, path=None, replacement=REPLACEMENT):
     """The documents with every span, overlapping ones joined, replaced; ``n_chars`` is counted anew."""
     path, kinds = path or vocabulary(), dict(docs.dtypes)
@@ -173,16 +184,10 @@ def redact(docs, path=None, replacement=REPLACEMENT):
     def replace(texts: pa.Array) -> pa.Array:
         if not opened:
             opened.append(Scanner(path))
-        out = []
-        for text in texts.to_pylist():
-            found = opened[0].spans(text.encode()) if text else ()
-            done, parts = 0, []
-            for start, _, end in found:
-                if start >= done:
-                    parts += [text[done:start], replacement]
-                done = max(done, end)
-            out.append("".join([*parts, text[done:]]) if found else text)
-        return pa.array(out, pa.string())
+        # In slices: a batch of long texts is held once as Arrow has it, and once more as the result.
+        parts = [texts.slice(at, SLICE) for at in range(0, len(texts), SLICE)]
+        done = [pa.array([_redacted(opened[0], t, replacement) for t in part.to_pylist()], pa.string()) for part in parts]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     packed = docs.select(F.struct("*").alias("_row"), replace.asNondeterministic()(F.col("text")).alias("_text"))
     return packed.select(
