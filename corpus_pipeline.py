@@ -14,7 +14,7 @@ from tallyframe.llm.common import ship, staged, table
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
-REMEMBERED_WORDS = 200_000  # by a worker while packing; workers serve the other stages too
+REMEMBERED_WORDS = 40_000  # by a worker while packing; workers serve the other stages too
 
 
 def quality(spark, docs, sf_dir):
