@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,19 @@ DATE_FORMATS = (
     "MM/dd/yyyy",
 )
 
+# Formats a column is voted to have, the earlier one of those that fit equally often.
+VOTED_FORMATS = (
+    "yyyy-MM-dd",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "yyyy/MM/dd",
+    "MM/dd/yyyy",
+    "dd/MM/yyyy",
+    "dd.MM.yyyy",
+    "MM-dd-yyyy",
+    "dd-MM-yyyy",
+)
+
 
 def is_number_text(column):
     return column.rlike(NUMBER_PATTERN)
@@ -82,6 +96,16 @@ def is_not_date(df, name, formats=DATE_FORMATS):
     return col(name).isNotNull() & parsed.isNull()
 
 
+def fitting_formats(df, name, formats):
+    """A bit per format that the cell's text fits; 0 for empty cells."""
+    text = strip(col(name).cast("string"))
+    bits = [
+        F.when(text.rlike(shape_of(f)) & F.try_to_timestamp(text, F.lit(f)).isNotNull(), 1 << i).otherwise(0)
+        for i, f in enumerate(formats)
+    ]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
 def spark_pattern(pattern):
     """A Python pattern, matched at the start of the text, as a Spark ``rlike`` pattern.
 

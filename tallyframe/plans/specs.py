@@ -1,10 +1,10 @@
 """JSON specs of mappings, rule sets and workflows."""
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from tallyframe.operators.mapping import ColumnMapping
-from tallyframe.operators.rules import Rule
+from tallyframe.operators.rules import EVALUATED, EXPRESSION, Rule
 
 
 @dataclass(frozen=True)
@@ -30,9 +30,13 @@ def mappings_from(spec):
     ]
 
 
-def rules_from(spec):
-    """``[{"rule_type", "column", "parameter", "description"}]``."""
-    return [
+def rules_from(spec, dataframe_expressions=False):
+    """``[{"rule_type", "column", "parameter", "description"}]``.
+
+    With ``dataframe_expressions`` custom expressions are in the syntax of data frames, as in rule files saved by
+    tools built on them; otherwise they are Spark SQL.
+    """
+    rules = [
         item
         if isinstance(item, Rule)
         else Rule(
@@ -40,6 +44,9 @@ def rules_from(spec):
         )
         for item in spec
     ]
+    if not dataframe_expressions:
+        return rules
+    return [replace(rule, rule_type=EVALUATED) if rule.rule_type == EXPRESSION else rule for rule in rules]
 
 
 def workflow_from(spec):

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import mapping, rules, search
 from tallyframe.plans.specs import mappings_from, rules_from
 from tallyframe.sources.reports import validation_tables
-from tallyframe_queries.inputs import CUSTOMER_NULLS, EVENTS_DIRTY, table, view, with_views
+from tallyframe_queries.inputs import CUSTOMER_NULLS, EVENTS_DIRTY, EVENTS_NULLS, table, view, with_views
 
 PROPS = r'\{"k": [1-4]\d\}$'
 PART_NAME = r"(?:small|large)\s"
@@ -180,7 +180,73 @@ def blanks(spark, folder):
 
 BAD_ROWS = f"FROM (SELECT *, {FAILED} FROM e) WHERE f0 + f1 + f2 + f3"
 
+# Conditions in the syntax of data frames, and what rows fail them in SQL, where a null comparison is false but
+# for "not equal".
+EVALUATED = [
+    ("10 < value <= 80 & user_id != 3", "NOT (value > 10 AND value <= 80 AND user_id IS DISTINCT FROM 3)"),
+    (
+        "event_type in ['click', 'view'] or ~(value > 50)",
+        "NOT (coalesce(event_type IN ('click', 'view'), false) OR NOT value > 50)",
+    ),
+    (
+        "event_type == 'click' | user_id >= 20 and not value < 5",
+        "NOT (coalesce(event_type = 'click', false) OR (coalesce(user_id >= 20, false) AND NOT value < 5))",
+    ),
+    (
+        "value / (user_id - 5) > 1",
+        "NOT coalesce(CASE WHEN user_id = 5 THEN value > 0 ELSE value / (user_id - 5) > 1 END, false)",
+    ),
+    ("`value` // 7 % 3 == 1 and event_type not in ('view',)", "NOT (floor(value / 7) % 3 = 1 AND event_type IS DISTINCT FROM 'view')"),
+]
+
+
+def evaluated(spark, folder):
+    spec = [{"rule_type": "custom_expression", "parameter": text} for text, _ in EVALUATED]
+    checks = rules_from(spec, dataframe_expressions=True)
+    return rules.validate(view(spark, folder, EVENTS_NULLS), checks, "event_id").select("row_id", "rule_no", "message")
+
+
+# Days before months, but for every fifth order; some days could be either. Another column has dots, mostly.
+DAY, MONTH = "lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0')", "lpad(CAST(1 + o_custkey % 12 AS STRING), 2, '0')"
+MIXED_DATES = (
+    "orders",
+    [
+        "o_orderkey",
+        f"CASE WHEN o_orderkey % 5 = 0 THEN concat({MONTH}, '/', {DAY}, '/2024') ELSE concat({DAY}, '/', {MONTH}, '/2024') END AS slashed",
+        f"CASE WHEN o_orderkey % 7 < 3 THEN concat('2024-', {MONTH}, '-', {DAY}) WHEN o_orderkey % 7 < 6"
+        f" THEN concat({DAY}, '.', {MONTH}, '.2024') WHEN o_custkey % 2 = 0 THEN concat({DAY}, '.', {MONTH}, '.2024') END AS dotted",
+    ],
+)
+
+
+def voted_dates(spark, folder):
+    checks = [rules.Rule("dtype_date", "slashed", "vote"), rules.Rule("dtype_date", "dotted", "vote:yyyy-MM-dd|dd.MM.yyyy")]
+    return rules.validate(view(spark, folder, MIXED_DATES), checks, "o_orderkey").select("row_id", "column", "message")
+
+
 QUERIES = {
+    "validate_pandas_expression": (
+        evaluated,
+        with_views(
+            " UNION ALL ".join(
+                "SELECT event_id AS row_id, {} AS rule_no, 'Row fails rule: {}' AS message FROM e WHERE {}".format(
+                    n, text.replace("'", "''"), failing
+                )
+                for n, (text, failing) in enumerate(EVALUATED)
+            ),
+            e=EVENTS_NULLS,
+        ),
+    ),
+    "validate_date_voted": (
+        voted_dates,
+        with_views(
+            "SELECT o_orderkey AS row_id, 'slashed' AS column, concat('''slashed'' value ''', slashed, ''' is not a valid"
+            " date') AS message FROM d WHERE o_orderkey % 5 = 0 AND o_orderkey % 28 >= 12 UNION ALL"
+            " SELECT o_orderkey, 'dotted', concat('''dotted'' value ''', dotted, ''' is not a valid date') FROM d"
+            " WHERE dotted NOT LIKE '%.%'",
+            d=MIXED_DATES,
+        ),
+    ),
     "validate_required": issues(0),
     "validate_regex": issues(1),
     "validate_numeric": issues(2),
