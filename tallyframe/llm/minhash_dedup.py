@@ -42,7 +42,7 @@ DEPTH = 3
 CHUNK = 4096
 HUB_ROWS = 2000  # texts confirmed against one in a task
 GROUP_CHUNK = 512
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 PAIRS = 1 << 20  # compared at a time
 
 _RANDOM = np.random.default_rng(6)
