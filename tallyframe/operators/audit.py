@@ -1,6 +1,8 @@
 """The audit log as an append-only table: write, search, count, prune."""
 
+import uuid
 from datetime import timedelta
+from itertools import accumulate
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.errors import require_columns
 from tallyframe.functions.local import local_table
 from tallyframe.operators.search import search_rows
+from tallyframe.sources.files import write_once
 
 ENTRY_SCHEMA = "id long, timestamp string, file_key string, sheet_name string, operation string"
 SEARCHED = ("file_key", "sheet_name", "operation")
@@ -33,6 +36,59 @@ def append_entries(spark, path, entries, at):
     ).partitionBy("day").parquet(path)
 
 
+def append_log(spark, path, entries, at, order_by):
+    """Append a DataFrame ``entries`` (file_key, sheet_name, operation, ...) of any size, made at the datetime ``at``.
+
+    Ids follow ``order_by`` and continue from the highest one so far, without gaps: rows are sorted and written to
+    scratch, counted per task, and numbered from there; the driver adds up one count per task. The batch goes to
+    ``path/data``, laid out by day, and is listed in ``path/manifest`` last: an append that breaks off before
+    is never read, see ``read_log``. A log has one writer at a time. Returns the number of entries appended.
+    """
+    require_columns(entries, ["file_key", "sheet_name", "operation", *order_by])
+    last = _manifest(spark, path).agg(F.coalesce(F.max("last_id"), F.lit(0)).cast("long")).first()[0]
+    rows = entries.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    # The lower 33 bits of a running number count a task's rows.
+    place = {"__task": F.shiftright(F.monotonically_increasing_id(), 33), "__row": F.monotonically_increasing_id() % (1 << 33)}
+    rows = write_once(rows.select("file_key", "sheet_name", "operation").withColumns(place), "audit")
+    counts = rows.groupBy("__task").agg(F.count(F.lit(1))).orderBy("__task").collect()
+    if not counts:
+        return 0
+    starts = accumulate((n for _, n in counts), initial=last + 1)
+    offsets = local_table(spark, [(task, start) for (task, _), start in zip(counts, starts)], "__t long, __start long")
+    batch, stamp = uuid.uuid4().hex, at.isoformat(timespec="seconds")
+    numbered = rows.join(offsets, F.col("__task") == F.col("__t")).select(
+        (F.col("__start") + F.col("__row")).alias("id"), F.lit(stamp).alias("timestamp"), "file_key", "sheet_name", "operation",
+        F.lit(stamp[:10]).alias("day"),
+    )
+    numbered.write.partitionBy("day").parquet(f"{path}/data/batch={batch}")
+    total = sum(n for _, n in counts)
+    listed = local_table(spark, [(batch, last + 1, last + total)], MANIFEST_SCHEMA)
+    listed.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return total
+
+
+MANIFEST_SCHEMA = "batch string, first_id long, last_id long"
+
+
+def _manifest(spark, path):
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return local_table(spark, [], MANIFEST_SCHEMA)
+
+
+def read_log(spark, path):
+    """The entries of every batch that was appended as a whole."""
+    batches = _manifest(spark, path).select("batch")
+    if batches.isEmpty():
+        return local_table(spark, [], ENTRY_SCHEMA)
+    names = ["id", "timestamp", "file_key", "sheet_name", "operation"]
+    schema = f"{ENTRY_SCHEMA}, batch string, day string"
+    return spark.read.schema(schema).parquet(f"{path}/data").join(batches, "batch", "left_semi").select(*names)
+
+
 def query_entries(entries, search=None, limit=None, columns=SEARCHED, newest="id"):
     """Newest first, all of them unless ``limit`` is given; ``search`` looks into ``columns``, case aside."""
     require_columns(entries, [*columns, newest])

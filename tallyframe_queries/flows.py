@@ -174,6 +174,15 @@ def audit_append(spark, folder):
     return spark.read.parquet(path).select("id", "timestamp", "file_key", "sheet_name", "operation")
 
 
+def audit_append_events(spark, folder):
+    """Entries of all events, appended in two runs."""
+    path = shared_folder(spark, "audit-log")
+    entries = view(spark, folder, LOG).select("file_key", "sheet_name", "operation", F.col("id").alias("event_id"))
+    for number, part in enumerate(("event_id % 3 = 0", "event_id % 3 <> 0")):
+        audit.append_log(spark, path, entries.where(part), datetime(2024, 1, 30 + number), ["event_id"])
+    return audit.read_log(spark, path)
+
+
 def delimited_customers(spark, folder):
     """Customers with nulls, written as csv and read back with inferred types."""
     path = shared_folder(spark, "customers") + ".csv"
@@ -362,6 +371,14 @@ QUERIES = {
         " 'Sheet1' AS sheet_name, n_name AS operation FROM nation UNION ALL"
         " SELECT r_regionkey + 26, '2024-01-31T00:00:00', 'region.csv', 'Sheet1', r_name FROM region",
     ),
+    "audit_append_events": (
+        audit_append_events,
+        with_views(
+            "SELECT row_number() OVER (ORDER BY CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END, id) AS id, CASE WHEN id % 3 = 0"
+            " THEN '2024-01-30T00:00:00' ELSE '2024-01-31T00:00:00' END AS timestamp, file_key, sheet_name, operation FROM l",
+            l=LOG,
+        ),
+    ),
     "read_delimited": (
         delimited_customers,
         with_views(

@@ -548,3 +548,18 @@ def test_broken_records_can_be_kept(spark, write, rows):
     path = write("kept.csv", 'a,b\n"x\ny",1\n"p\nq",2,3\nz\n')
     df = delimited.read_delimited(spark, path, corrupt_column="broken")
     assert rows(df, "a", "b", "broken") == [("p\nq", 2, '"p\nq",2,3'), ("x\ny", 1, None), ("z", None, "z")]
+
+
+def test_a_log_of_many_entries(spark, tmp_path, rows):
+    path = str(tmp_path / "log")
+    assert audit.read_log(spark, path).isEmpty()
+    entries = spark.range(1000).selectExpr("concat('f', id) AS file_key", "'Sheet1' AS sheet_name", "'x' AS operation", "-id AS place")
+    assert audit.append_log(spark, path, entries, datetime(2024, 1, 1, 8), ["place"]) == 1000
+    assert audit.append_log(spark, path, entries.limit(0), datetime(2024, 1, 1, 9), ["place"]) == 0
+    assert audit.append_log(spark, path, entries.where("place = -7"), datetime(2024, 1, 2, 9), ["place"]) == 1
+    # A batch that the manifest does not list was broken off.
+    audit.read_log(spark, path).limit(3).withColumn("day", F.lit("2024-01-03")).write.partitionBy("day").parquet(f"{path}/data/batch=broken")
+    log = audit.read_log(spark, path)
+    assert [r.file_key for r in log.orderBy("id").collect()] == [f"f{i}" for i in range(999, -1, -1)] + ["f7"]
+    assert [r.id for r in log.orderBy("id").collect()] == list(range(1, 1002))
+    assert rows(log.where("id > 999"), "id", "timestamp") == [(1000, "2024-01-01T08:00:00"), (1001, "2024-01-02T09:00:00")]
