@@ -34,7 +34,7 @@ def _cell(df, name):
     return value.cast("string")
 
 
-def _cells(df, columns, place=()):
+def cells_of(df, columns, place=()):
     cells = F.array(*[_cell(df, c) for c in columns])
     return df.select(*place, F.posexplode(cells).alias("ordinal", "value"))
 
@@ -42,14 +42,14 @@ def _cells(df, columns, place=()):
 def _distinct(df, columns, order_by=()):
     """Each column's distinct texts with their counts and, given an order, their first place."""
     if not order_by:
-        return _cells(df, columns).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
+        return cells_of(df, columns).groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
     place = F.struct(*map(col, order_by)) if len(order_by) > 1 else col(order_by[0])
-    return _cells(df, columns, [place.alias("place")]).groupBy("ordinal", "value").agg(
+    return cells_of(df, columns, [place.alias("place")]).groupBy("ordinal", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("place").alias("place")
     )
 
 
-def _per_column(columns, values):
+def of_column(columns, values):
     """Pick ``values[ordinal]`` for a column number."""
     return F.element_at(F.array(*map(F.lit, values)), F.col("ordinal") + 1)
 
@@ -81,7 +81,7 @@ def profile_columns(df, columns=None, per_column=False):
 
 def _figures(distinct, columns, numeric):
     present = F.col("value").isNotNull()
-    number = F.when(_per_column(columns, numeric), F.col("value").try_cast("double"))
+    number = F.when(of_column(columns, numeric), F.col("value").try_cast("double"))
     return distinct.groupBy("ordinal").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("null_count"),
@@ -118,8 +118,8 @@ def profile_columns_approx(df, columns=None, rsd=0.02):
     require_some(columns, "The table has no columns.")
     require_columns(df, columns)
     numeric = [is_numeric(dtype_of(df, c)) for c in columns]
-    number = F.when(_per_column(columns, numeric), F.col("value").try_cast("double"))
-    figures = _cells(df, columns).groupBy("ordinal").agg(
+    number = F.when(of_column(columns, numeric), F.col("value").try_cast("double"))
+    figures = cells_of(df, columns).groupBy("ordinal").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("value").isNull()).alias("null_count"),
         F.approx_count_distinct("value", rsd).alias("unique_count"),
@@ -141,11 +141,16 @@ def _described(df, columns, numeric, figures):
         ],
         "ordinal int, column string, dtype string, is_numeric boolean",
     )
+    return with_shares(names.join(figures, "ordinal", "left"))
+
+
+def with_shares(figures):
+    """The profile's columns from counts, lengths and ranges per column; without counts, those of an empty table."""
     rows = F.coalesce("rows", F.lit(0)).cast("long")
     nulls = F.coalesce("null_count", F.lit(0)).cast("long")
     uniques = F.coalesce("unique_count", F.lit(0)).cast("long")
     repeats = F.greatest(rows - nulls - uniques, F.lit(0))
-    return names.join(figures, "ordinal", "left").select(
+    return figures.select(
         "ordinal",
         "column",
         "dtype",
@@ -163,12 +168,16 @@ def _described(df, columns, numeric, figures):
     )
 
 
+def first_examples(distinct, count, group):
+    """The ``count`` rows of each group that come first by ``place``; a task passes on ``count`` per group."""
+    first = Window.partitionBy(*group).orderBy("place")
+    return distinct.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= count)
+
+
 def _examples(distinct, count):
-    """``ordinal, examples``: each column's first distinct texts; a task passes on ``count`` per column."""
-    first = Window.partitionBy("ordinal").orderBy("place")
-    ranked = distinct.where("value IS NOT NULL").withColumn("rank", F.row_number().over(first))
+    """``ordinal, examples``: each column's first distinct texts."""
     texts = F.array_sort(F.collect_list(F.struct("rank", "value")))
-    return ranked.where(F.col("rank") <= count).groupBy("ordinal").agg(
+    return first_examples(distinct.where("value IS NOT NULL"), count, ["ordinal"]).groupBy("ordinal").agg(
         F.transform(texts, lambda cell: cell["value"]).alias("examples")
     )
 

@@ -1,6 +1,10 @@
 from pyspark.sql import functions as F
 
 from tallyframe.operators import profile
+from tallyframe.operators.profile_state import (
+    DISTINCT_ERROR, file_states, merged_profile, merged_quantiles, update_profile,
+)
+from tallyframe.session import shared_folder
 from tallyframe.sources.reports import profile_tables
 from tallyframe_queries.inputs import CUSTOMER_NULLS, table, view, with_views
 
@@ -104,6 +108,61 @@ def summary_table(spark, folder):
     return profile_tables(customers(spark, folder), "c_custkey")["summary"]
 
 
+# Orders of one status have none.
+ORDERS_PROFILED = (
+    "orders",
+    ["o_orderkey", "o_custkey", "nullif(o_orderstatus, 'P') AS o_orderstatus", "o_totalprice", "o_orderpriority"],
+)
+PROFILED_COLUMNS = [
+    ("o_orderkey", "bigint", True),
+    ("o_custkey", "bigint", True),
+    ("o_orderstatus", "string", False),
+    ("o_totalprice", "double", True),
+    ("o_orderpriority", "string", False),
+]
+
+
+def arriving_orders(spark, folder):
+    """``orders, states``: the orders as files that came in two lots, profiled after each."""
+    orders = view(spark, folder, ORDERS_PROFILED)
+    arrived, kept = shared_folder(spark, "orders"), shared_folder(spark, "profile")
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    for lot in (~urgent, urgent):
+        orders.where(lot).write.mode("append").parquet(arrived)
+        update_profile(spark, kept, arrived)
+    return spark.read.parquet(arrived), file_states(spark, kept)
+
+
+def profile_merged(spark, folder):
+    """Figures merged from the states of files, and whether distinct counts are within three standard errors."""
+    orders, states = arriving_orders(spark, folder)
+    exact = profile.profile_columns(orders).select("ordinal", F.col("unique_count").alias("exact"))
+    far = F.abs(F.col("unique_count") - F.col("exact"))
+    near = far <= F.greatest(F.lit(1), 3 * DISTINCT_ERROR * F.col("exact"))
+    found = merged_profile(states).join(exact, "ordinal").withColumn("unique_near", near)
+    return found.drop("exact", "unique_count", "unique_pct", "duplicate_pct")
+
+
+def profile_merged_quantiles(spark, folder):
+    """Whether merged quartiles of the prices lie at their share of the rows, by two in a hundred."""
+    orders, states = arriving_orders(spark, folder)
+    found = merged_quantiles(states).where("column = 'o_totalprice'")
+    prices = orders.groupBy("o_totalprice").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("o_totalprice").alias("column"), "o_totalprice", "n"
+    )
+    beside = prices.join(F.broadcast(found), "column")
+    price, rows = F.col("o_totalprice"), F.sum("n")
+    checks = [
+        (F.sum(F.when(price < F.col("quantiles")[i], F.col("n")).otherwise(0)) <= (share + 0.02) * rows)
+        & (F.sum(F.when(price <= F.col("quantiles")[i], F.col("n")).otherwise(0)) >= (share - 0.02) * rows)
+        for i, share in enumerate((0.25, 0.5, 0.75))
+    ]
+    return beside.groupBy("column").agg(
+        *[check.alias(f"{name}_near") for check, name in zip(checks, ("lower", "median", "upper"))],
+        rows.alias("row_count"),
+    )
+
+
 QUERIES = {
     "profile_columns": (
         profile_customers, with_views(profile_sql(CUSTOMER_COLUMNS, "c"), c=CUSTOMER_NULLS),
@@ -111,6 +170,19 @@ QUERIES = {
     "profile_orders": (profiled("orders", ORDER_COLUMNS), profile_sql(ORDER_COLUMNS, "orders")),
     "profile_lineitem": (profiled("lineitem", LINE_COLUMNS), profile_sql(LINE_COLUMNS, "lineitem")),
     "profile_approx": (profile_approx, None),
+    "profile_merged": (
+        profile_merged,
+        with_views(
+            "SELECT * EXCLUDE (unique_count, unique_pct, duplicate_pct), true AS unique_near"
+            f" FROM ({profile_sql(PROFILED_COLUMNS, 'o')})",
+            o=ORDERS_PROFILED,
+        ),
+    ),
+    "profile_merged_quantiles": (
+        profile_merged_quantiles,
+        "SELECT 'o_totalprice' AS column, true AS lower_near, true AS median_near, true AS upper_near,"
+        " count(*) AS row_count FROM orders",
+    ),
     "profile_examples": (
         examples, with_views(examples_sql(CUSTOMER_COLUMNS, 5), c=CUSTOMER_NULLS),
     ),
