@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Plans over many columns are built several times faster without call sites.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Sessions of arriving rows are combined before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Hot-key detection scans the key columns before its result is broadcast.
     "spark.sql.broadcastTimeout": "3600",
 }

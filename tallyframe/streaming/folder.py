@@ -1,6 +1,6 @@
 """A folder of delimited files as a stream: files that arrive are checked and split.
 
-Only row rules apply, since a row must be judged when it arrives. Both outputs are
+Only row rules apply, since a row must be judged when it arrives; rules about keys are in ``keyed``. Both outputs are
 file sinks, which commit each micro-batch exactly once through their checkpoints.
 """
 
@@ -43,7 +43,7 @@ def split_stream(stream, rules):
     """``(good, bad)`` streams by row rules."""
     kept_out = [r.rule_type for r in rules if r.rule_type == UNIQUE]
     if kept_out:
-        raise ValueError("The unique rule needs all rows and cannot be checked on a stream.")
+        raise ValueError("The unique rule needs more than one row: see tallyframe.streaming.keyed.split_unique.")
     return split_rows(stream, rules)
 
 
