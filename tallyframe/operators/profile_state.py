@@ -4,34 +4,25 @@ A file's state holds, per column, exact counts, lengths and ranges, a HyperLogLo
 of its numbers and its first distinct texts. States are merged without touching the files again. Row figures of
 the merged profile are exact; distinct counts are estimates with a standard error of ``DISTINCT_ERROR``, a share
 of the count, and quantiles are off by some hundredth of the rows.
-
-A state table has one writer at a time. A batch of states is written first and listed in a manifest last, so that an
-update which breaks off is never read.
 """
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyframe.errors import require_columns, require_some
 from tallyframe.functions.columns import col, dtype_of, is_numeric
-from tallyframe.functions.local import local_table
 from tallyframe.operators.profile import EXAMPLE_COUNT, cells_of, first_examples, of_column, with_shares
-from tallyframe.sources.files import BLOCK, POSITION, POSITION_COLUMNS, SOURCE, list_files, readable_path
+from tallyframe.sources.file_states import FILE_COLUMNS, add_states, changed_files, read_states
+from tallyframe.sources.files import BLOCK, POSITION, POSITION_COLUMNS, SOURCE, readable_path
 from tallyframe.sources.parquet import read_parquet
 
 PRECISION = 14  # a sketch has 2 ** PRECISION registers and takes 16 KB at most
 DISTINCT_ERROR = 1.04 / 2 ** (PRECISION / 2)
 
-MANIFEST_SCHEMA = "batch string, number long"
 STATE_SCHEMA = (
-    "file string, size_bytes long, modified timestamp, ordinal int, column string, dtype string, is_numeric boolean,"
+    "ordinal int, column string, dtype string, is_numeric boolean,"
     " rows long, null_count long, min_length int, max_length int, min_value double, max_value double,"
-    " distinct binary, numbers binary, first array<struct<place: struct<block: long, position: long>, value: string>>,"
-    " batch string"
+    " distinct binary, numbers binary, first array<struct<place: struct<block: long, position: long>, value: string>>"
 )
-GONE = -1  # the column number in the one state row of a file that is no longer there
 
 
 def read_positions(spark, paths):
@@ -46,27 +37,20 @@ def update_profile(spark, path, folder, columns=None, read=read_positions):
     and types must stay the same from update to update, or the call fails before it writes. Returns the number of
     files read; the driver sees the paths of those.
     """
-    listed = list_files(spark, folder).where("size_bytes > 0").withColumnRenamed("path", "file")
     states = file_states(spark, path)
-    known = states.where("ordinal = 0").select("file", "size_bytes", "modified")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"k.{c}")) for c in known.columns]
-    fresh = listed.alias("l").join(known.alias("k"), same, "left_anti")
-    gone = known.join(listed, "file", "left_anti").select("file", F.lit(GONE).alias("ordinal"))
-    paths = [row.file for row in fresh.select("file").orderBy("file").collect()]
+    fresh, gone = changed_files(spark, states, folder)
+    paths = [row.file for row in fresh.collect()]
     if not paths and gone.isEmpty():
         return 0
-    batch = uuid.uuid4().hex
-    rows = gone
+    rows = None
     if paths:
         df = read(spark, [readable_path(p) for p in paths])
         chosen = list(columns or [c for c in df.columns if c not in POSITION_COLUMNS])
         require_some(chosen, "The table has no columns.")
         require_columns(df, [*chosen, *POSITION_COLUMNS])
         _require_same_types(states, df, chosen)
-        rows = _states(df, fresh, chosen).unionByName(gone, allowMissingColumns=True)
-    rows.write.option("compression", "zstd").parquet(f"{path}/data/batch={batch}")
-    number = _manifest(spark, path).agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] + 1
-    local_table(spark, [(batch, number)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+        rows = _states(df, fresh, chosen)
+    add_states(spark, path, rows, gone)
     return len(paths)
 
 
@@ -107,29 +91,14 @@ def _states(df, files, columns):
             for i, (c, n) in enumerate(zip(columns, numeric))
         ]
     )
-    rows = files.select("file", "size_bytes", "modified", F.inline(described))
+    rows = files.select(*FILE_COLUMNS, F.inline(described))
     rows = rows.join(figures, ["file", "ordinal"], "left").join(first, ["file", "ordinal"], "left")
     return rows.fillna(0, ["rows", "null_count"])
 
 
-def _listed(spark, path, schema):
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return local_table(spark, [], schema)
-
-
-def _manifest(spark, path):
-    return _listed(spark, f"{path}/manifest", MANIFEST_SCHEMA)
-
-
 def file_states(spark, path):
     """The latest state of every file that is still there: a row per file and column."""
-    rows = _listed(spark, f"{path}/data", STATE_SCHEMA).join(_manifest(spark, path), "batch")
-    latest = rows.groupBy("file").agg(F.max("number").alias("number"))
-    return rows.join(latest, ["file", "number"], "left_semi").where(F.col("ordinal") != GONE)
+    return read_states(spark, path, STATE_SCHEMA)
 
 
 def merged_profile(states):

@@ -1,5 +1,6 @@
-"""Events that arrive as files: three lots, each read by a stream that was started again from its checkpoint."""
+"""Events that arrive as files: streams that are started again from their checkpoint, and an index that grows."""
 
+from tallyframe.operators.search_index import search_indexed, update_index
 from tallyframe.session import shared_folder
 from tallyframe.streaming.folder import write_stream
 from tallyframe.streaming.keyed import first_per_session, split_unique
@@ -39,6 +40,16 @@ def sessions_of_table(spark, folder):
     return sessions(table(spark, folder, "events")).select(*SHOWN, "session_rows")
 
 
+def search_by_index(spark, folder):
+    """Events in order of time, in eight files a lot; only files of the wanted day pass the index."""
+    events, files, kept = table(spark, folder, "events"), shared_folder(spark, "events"), shared_folder(spark, "index")
+    for lot in LOTS:
+        events.where(lot).repartitionByRange(8, "ts").write.mode("append").parquet(files)
+        update_index(spark, kept, files, ["ts", "event_type", "props"])
+    return search_indexed(spark, kept, files, DAY).select(*SHOWN)
+
+
+DAY = "2024-01-15"
 SESSIONS = f"""WITH e AS (SELECT *, ts - lag(ts) OVER k > INTERVAL {GAP_HOURS} HOURS AS apart FROM events
 WINDOW k AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
 n AS (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id
@@ -56,6 +67,11 @@ QUERIES = {
     "stream_unique": (
         stream_unique, f"{SESSIONS} SELECT {', '.join(SHOWN)} FROM s WHERE session_rows = 1 AND closed",
     ),
+    "search_indexed": (
+        search_by_index,
+        f"SELECT {', '.join(SHOWN)} FROM events WHERE contains(CAST(ts AS VARCHAR), '{DAY}')"
+        f" OR contains(lower(event_type), '{DAY}') OR contains(lower(props), '{DAY}')",
+    ),
     "first_per_session": (
         sessions_of_table, f"{SESSIONS} SELECT {', '.join(SHOWN)}, session_rows FROM s WHERE place = 1",
     ),
