@@ -93,15 +93,21 @@ def candidate_files(spark, path, folder, needle):
 def search_indexed(spark, path, folder, needle, columns=None, read=read_files):
     """Rows of the files in ``folder`` that show ``needle`` in any of ``columns`` (default and at most the indexed ones).
 
-    The driver sees the paths of the files that are read. None if no file passes: there is nothing to read types from.
+    The driver sees the paths of the files that are read. If no file passes, one known file is named for its types
+    and no row is read; a folder without files is an error.
     """
-    stored = read_states(spark, path, STATE_SCHEMA).select("columns").first()
+    states = read_states(spark, path, STATE_SCHEMA)
+    stored = states.select("columns").first()
     indexed = list(stored.columns) if stored else columns
     if columns and set(columns) - set(indexed):
         raise ValueError(f"Not in the index: {sorted(set(columns) - set(indexed))}")
     paths = [row.file for row in candidate_files(spark, path, folder, needle).orderBy("file").collect()]
     if not paths:
-        return None
+        _, gone = changed_files(spark, states, folder)
+        there = states.select("file").join(gone, "file", "left_anti").first()
+        if there is None:
+            raise ValueError(f"There are no files in {folder}.")
+        return read(spark, [readable_path(there.file)]).where(F.lit(False))
     df = read(spark, [readable_path(p) for p in paths])
     shown = columns or indexed or [c for c in df.columns if c not in POSITION_COLUMNS]
     return search_rows(df, needle, shown)

@@ -14,17 +14,11 @@ def shelf(spark, frame, tmp_path):
         return index.update_index(spark, path, folder)
 
     def found(needle, columns=None):
-        read = []
-
-        def reader(spark, paths):
-            read.extend(paths)
-            return index.read_files(spark, paths)
-
-        rows = index.search_indexed(spark, path, folder, needle, columns, reader)
-        titles = [] if rows is None else sorted(r.title or "" for r in rows.collect())
+        rows = index.search_indexed(spark, path, folder, needle, columns)
+        titles = sorted(r.title or "" for r in rows.collect())
         plain = search.search_rows(spark.read.parquet(folder), needle, columns or ["title", "pages"])
         assert titles == sorted(r.title or "" for r in plain.collect())
-        return titles, len(read)
+        return titles, len(rows.inputFiles())
 
     return add, update, found, tmp_path
 
@@ -41,7 +35,7 @@ def test_files_without_the_trigrams_are_not_read(shelf):
     assert found("no such title") == ([], 0)
     assert found("al") == (["Salt"], 2)
     assert found("")[1] == 2
-    assert found("harbour lights" * 30) [0] == []
+    assert found("harbour lights" * 30)[0] == []
     add(("Harbour Master", 3))
     assert found("harbour m") == (["Harbour Master"], 1)
     assert update() == 1 and found("harbour") == (["Harbour Lights", "Harbour Master"], 2)
