@@ -437,7 +437,8 @@ def drop_near_duplicates(docs, words=WORDS, percent=PERCENT):
     """The documents with one of every group left, the one with the smallest id; all columns are kept.
 
     Texts without words and rows without id all stay. Where rows repeat an id, each text counts by itself:
-    of a group's texts with the smallest id, one row of the text with the least hash stays.
+    of a group's texts with the smallest id, one row of the text with the least hash stays; of rows that
+    repeat both, the least by their other columns that have an order.
     """
     kept = _grouped(docs, words, percent).where("doc_id = component_id")
     worded = kept.where("n > 0").groupBy("doc_id", "group").agg(F.min("text_hash").alias("text_hash"), F.max("n").alias("n"))
@@ -445,8 +446,12 @@ def drop_near_duplicates(docs, words=WORDS, percent=PERCENT):
         kept.where("n = 0").select("doc_id", "text_hash", "n").distinct()
     )
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_chosen"), F.col("n").alias("_n"))
-    packed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.struct("*").alias("_row"))
+    ordered = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text" and "map<" not in kind and "variant" not in kind]
+    packed = docs.select(
+        F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.struct(*ordered).alias("_order"),
+        F.struct("*").alias("_row"),
+    )
     joined = packed.join(chosen, (F.col("_doc") == F.col("_id")) & (F.col("_hash") == F.col("_chosen")))
-    one = joined.where("_n > 0").groupBy("_doc", "_hash").agg(F.min_by("_row", "_hash").alias("_row"))
+    one = joined.where("_n > 0").groupBy("_doc", "_hash").agg(F.min_by("_row", "_order").alias("_row"))
     rest = joined.where("_n = 0").select("_row").unionByName(packed.where("_doc IS NULL").select("_row"))
     return one.select("_row").unionByName(rest).select("_row.*")
