@@ -1,11 +1,13 @@
 """Helpers the corpus operators share."""
 
+import ctypes
 import os
 import tempfile
 import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,23 @@ def utf8(texts):
     return texts.cast(pa.binary()).to_pylist()
 
 
+def slices(texts, step_bytes=1 << 20):
+    """An Arrow text array in slices of about ``step_bytes``, or of one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    step = np.cumsum(sizes, dtype=np.int64) // step_bytes
+    starts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])) if len(sizes) else []
+    for a, b in zip(starts, np.append(starts[1:], len(sizes))):
+        yield texts.slice(a, b - a)
+
+
+def give_back():
+    """Hands memory that a worker has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def characters(text):
     """Code points of UTF-8 bytes."""
     return len(text) if text.isascii() else len(text.decode("utf-8", "replace"))

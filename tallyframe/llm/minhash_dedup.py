@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import components, forest, runs, staged, utf8
+from tallyframe.llm.common import components, forest, give_back, runs, slices, staged, utf8
 
 WORDS = 2
 PERCENT = 80
@@ -114,18 +114,6 @@ def _facts(found):
     return len(found), signed(found.sum(dtype=np.uint64)), signed(second), signature.tobytes()
 
 
-def _steps(batch, text):
-    """The batch in pieces of about ``STEP_BYTES`` of text."""
-    start = size = 0
-    for i, t in enumerate(text):
-        size += len(t or b"")
-        if size > STEP_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(text):
-        yield start, len(text)
-
-
 def signatures(docs, words=WORDS):
     """(doc_id, text_hash, n, h1, h2, signature) for every row; equal sets have equal (n, h1, h2)."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -133,15 +121,18 @@ def signatures(docs, words=WORDS):
     def sign(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                text = utf8(batch.column(1))
-                for a, b in _steps(batch, text):
-                    rows = list(zip(*map(_facts, shingles(text[a:b], words))))
+                a = 0
+                for part in slices(batch.column(1), STEP_BYTES):
+                    b = a + len(part)
+                    rows = list(zip(*map(_facts, shingles(utf8(part), words))))
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                     columns = [pa.array(c, t) for c, t in zip(rows, types)]
                     given = [batch.column(i).slice(a, b - a) for i in (0, 2)]
                     yield pa.RecordBatch.from_arrays(
                         [*given, *columns], ["doc_id", "text_hash", "n", "h1", "h2", "signature"]
                     )
+                    a = b
+        give_back()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         sign, f"doc_id {kind}, text_hash long, n long, h1 long, h2 long, signature binary"

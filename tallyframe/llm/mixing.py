@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tallyframe.functions.local import local_table
-from tallyframe.llm.common import WORD, running_start, spread, staged, utf8
+from tallyframe.llm.common import WORD, give_back, running_start, slices, spread, staged, utf8
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -301,13 +301,19 @@ def words_between(text, start, count, size):
 
     @arrow_udf("string")
     def cut(texts: pa.Array, starts: pa.Array, counts: pa.Array, sizes: pa.Array) -> pa.Array:
-        word = re.compile(WORD.encode())
-        out = []
-        for t, s, n, size in zip(utf8(texts), starts.to_pylist(), counts.to_pylist(), sizes.to_pylist()):
+        word, out, parts = re.compile(WORD.encode()), [], slices(texts)
+        rows = zip((t for part in parts for t in utf8(part)), starts.to_pylist(), counts.to_pylist(), sizes.to_pylist())
+        for t, s, n, size in rows:
             if n < size:
-                spans = list(itertools.islice(word.finditer(t), s, s + n))
-                t = t[spans[0].start() : spans[-1].end()]
+                found = itertools.islice(word.finditer(t), s, s + n)
+                first = last = next(found)
+                for last in found:
+                    pass
+                t = t[first.start() : last.end()]
             out.append(t)
-        return pa.array(out, pa.binary()).cast(pa.string())
+        done = pa.array(out, pa.string())
+        out.clear()
+        give_back()
+        return done
 
     return cut.asNondeterministic()(text, start, count, size)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tallyframe.llm.common import utf8
+from tallyframe.llm.common import give_back, utf8
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -187,6 +187,7 @@ def redact(docs, path=None, replacement=REPLACEMENT):
         # In slices: a batch of long texts is held once as Arrow has it, and once more as the result.
         parts = [texts.slice(at, SLICE) for at in range(0, len(texts), SLICE)]
         done = [pa.array([_redacted(opened[0], t, replacement) for t in part.to_pylist()], pa.string()) for part in parts]
+        give_back()
         return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     packed = docs.select(F.struct("*").alias("_row"), replace.asNondeterministic()(F.col("text")).alias("_text"))
