@@ -28,8 +28,9 @@ ROW_BYTES = 16  # counted for a row besides its text
 BUCKET_ITEMS = 20_000
 HEAVY = 16  # items of more than 1 / (shards * HEAVY) of all bytes are held back for the last level
 FINE_ITEMS = 5_000  # and about so many others
-LAST_ITEMS = 10_000  # parts that the level before the last hands on
+LAST_ITEMS = 10_000  # parts that the level before the last hands on, at most
 LEAST_PARTS = 8  # of a bucket
+MOST_PARTS = 500  # with ``BUCKET_ITEMS``, the loads and orders of a bucket's merges take some 50 MB
 ROWS_PER_BUCKET = 20_000
 
 
@@ -56,7 +57,7 @@ def difference(sizes, parts):
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
         summed = tuple_of(a) + tuple_of(b)[::-1]
-        order = np.argsort(summed, kind="stable")
+        order = np.argsort(summed, kind="stable").astype(np.int32)
         node = n + len(merges)
         merges.append((a, b, order))
         loads[node] = summed[order]
@@ -101,8 +102,9 @@ def assign_groups(groups, shards=SHARDS):
             back = (F.col("_size") > total / (shards * HEAVY)) | fine
             held, level = level.where(back), level.where(~back)
         buckets = -(-count // BUCKET_ITEMS)
+        parts = min(MOST_PARTS, max(LEAST_PARTS, LAST_ITEMS // buckets))
         bucketed = level.withColumn("_bucket", spread(["_id"], count, BUCKET_ITEMS))
-        split = staged(_split(bucketed, max(LEAST_PARTS, LAST_ITEMS // buckets)), "shard-level")
+        split = staged(_split(bucketed, parts), "shard-level")
         levels.append(split)
         level = split.groupBy("_bucket", "_part").agg(F.sum("_size").alias("_size"))
         level = staged(level.select(_inner("_bucket", "_part").alias("_id"), "_size"), "shard-parts")

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -31,6 +32,36 @@ def test_closer_than_dealing_largest_first():
     assert found.max() - found.min() <= greedy.max() - greedy.min()
 
 
+def plain_difference(sizes, parts):
+    """Differencing on lists of (load, items), without a heap."""
+    partials = [[(0, [])] * (parts - 1) + [(s, [i])] for i, s in enumerate(sizes)]
+    while len(partials) > 1:
+        partials.sort(key=lambda p: p[-1][0] - p[0][0])
+        a, b = partials.pop(), partials.pop()
+        merged = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))]
+        partials.append(sorted(merged, key=lambda x: x[0]))
+    return {frozenset(items) for _, items in partials[0] if items}
+
+
+@pytest.mark.parametrize("parts", [2, 3, 7, 40])
+def test_differencing_against_a_plain_version(parts):
+    # Sizes so large that spreads are never equal.
+    sizes = np.random.default_rng(parts).integers(10**9, 10**15, 200)
+    found = difference(sizes, parts)
+    groups = {frozenset(np.flatnonzero(found == p).tolist()) for p in range(parts)} - {frozenset()}
+    assert groups == plain_difference(sizes.tolist(), parts)
+
+
+def test_memory_of_a_full_bucket():
+    sizes = np.random.default_rng(3).integers(100, 10_000, sharding.BUCKET_ITEMS)
+    tracemalloc.start()
+    found = difference(sizes, sharding.MOST_PARTS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == sharding.BUCKET_ITEMS
+    assert peak < 100 << 20
+
+
 @pytest.mark.parametrize("limits", [{}, {"BUCKET_ITEMS": 40, "FINE_ITEMS": 10, "LAST_ITEMS": 30, "ROWS_PER_BUCKET": 9}])
 def test_shards_of_the_given_table(spark, monkeypatch, limits):
     for name, value in limits.items():
