@@ -29,6 +29,7 @@ END_ID = 2
 OPEN_WINDOWS = 2048  # open at most in a task; beyond, their contents are cut into full sequences
 CACHED_WORDS = 800_000
 CACHED_BYTES = 64  # longest word that is remembered
+LEARNED_AT_ONCE = 4096  # new words in one pre-tokenized sequence
 STEP_BYTES = 1 << 20  # of text, or one longer document, encoded at a time
 
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -85,15 +86,26 @@ class Encoder:
         self.ids = Grown([self.end_id], np.uint32)
 
     def _learn(self, words):
-        encoded = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False
-        )
-        encoded = [e.ids for e in encoded]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        # Words go in as pre-tokenized sequences of many: each is still normalized and split on its own, and its
+        # ids are told apart by their word numbers, but the tokenizer makes one encoding for a whole sequence.
+        texts = [w.decode("utf-8", "replace") for w in words]
+        sequences = [texts[a : a + LEARNED_AT_ONCE] for a in range(0, len(texts), LEARNED_AT_ONCE)]
+        encoded = self.tokenizer.encode_batch(sequences, is_pretokenized=True, add_special_tokens=False)
+        ids, lengths = [], []
+        for sequence, whole in zip(sequences, encoded):
+            numbers = whole.word_ids
+            if None in numbers:  # ids of added tokens have no word; such words are encoded one by one
+                alone = [e.ids for e in self.tokenizer.encode_batch_fast(sequence, add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+                ids.append(np.fromiter(itertools.chain.from_iterable(alone), np.uint32, lengths[-1].sum()))
+            else:
+                lengths.append(np.bincount(np.array(numbers, np.int64), minlength=len(sequence)))
+                ids.append(np.array(whole.ids, np.uint32))
+        lengths = np.concatenate(lengths)
         self.index.update(zip(words, range(self.starts.size, self.starts.size + len(words))))
         self.starts.append(self.ids.size + np.cumsum(lengths) - lengths)
         self.lengths.append(lengths)
-        self.ids.append(np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, lengths.sum()))
+        self.ids.append(np.concatenate(ids))
 
     def encode(self, texts):
         """A list of id arrays, each with the end id, for a list of UTF-8 texts or None."""
